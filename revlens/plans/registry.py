@@ -38,7 +38,7 @@ def query(fn: Query) -> Query:
         ship_package(spark)
         return fn(spark, sf_dir)
 
-    _QUERIES[fn.__name__] = run
+    _QUERIES[fn.__name__.removesuffix("_scores")] = run
     return run
 
 
