@@ -26,6 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a table that arrives in fewer splits than there are cores.
+
+    The work per review (seven calls, array metrics) is far larger than its text,
+    so one file of one row group would keep a single core busy. A table with
+    enough splits, as on a cluster, is left as it is: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _platform() -> Column:
     number = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     return F.when(number % 2 == 0, "Google Play").otherwise("App Store")
@@ -42,7 +59,7 @@ def _date() -> Column:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unified review table in one pass over the documents."""
     platform = _platform()
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("review_id"),
         _date().alias("date"),
         _user().alias("user_name"),
