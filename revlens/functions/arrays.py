@@ -12,8 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MARK = "\u0001"
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
@@ -37,78 +35,102 @@ def ngrams(toks: Column, n: int) -> Column:
     """Word n-grams joined by one space; tokens hold no space, so joins are unique."""
     if n == 1:
         return toks
+
+    def gram(t: Column, first: Column, i: Column) -> Column:
+        rest = [part for k in range(1, n) for part in (F.lit(" "), F.get(t, i + k))]
+        return F.concat(first, *rest)
+
     return let(
         toks,
         lambda t: F.when(
             F.size(t) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size(t) - (n - 1)),
-                lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "),
-            ),
+            F.transform(F.slice(t, F.lit(1), F.size(t) - (n - 1)), lambda x, i: gram(t, x, i)),
         ).otherwise(F.array().cast("array<string>")),
     )
 
 
-def _runs(sorted_items: Column, starts: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """Apply body(item, run length) to each run of equal items in a sorted array."""
-    return F.transform(
-        starts,
-        lambda st, j: body(
-            F.get(sorted_items, st),
-            F.coalesce(F.get(starts, j + 1), F.size(sorted_items)) - st,
-        ),
-    )
-
+def term_counts(items: Column) -> Column:
+    """array<struct<term, n>> of the distinct items, in O(n log n): sort, find
+    where each run of equal items starts, and measure the runs."""
 
-def _per_run(items: Column, body: Callable[[Column, Column], Column]) -> Column:
     def with_sorted(s: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(0), F.size(s) - 1),
             lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
         )
-        return let(starts, lambda b: _runs(s, b, body))
+        return let(
+            starts,
+            lambda b: F.transform(
+                b,
+                lambda st, j: F.struct(
+                    F.get(s, st).alias("term"),
+                    (F.coalesce(F.get(b, j + 1), F.size(s)) - st).cast("bigint").alias("n"),
+                ),
+            ),
+        )
 
-    return let(F.sort_array(items), with_sorted)
+    return F.when(F.size(items) > 0, let(F.sort_array(items), with_sorted)).otherwise(
+        F.array().cast("array<struct<term:string,n:bigint>>")
+    )
 
 
-def term_counts(items: Column) -> Column:
-    """array<struct<term, n>> of the distinct items, in O(n log n)."""
-    return F.when(
-        F.size(items) > 0,
-        _per_run(items, lambda item, n: F.struct(item.alias("term"), n.cast("bigint").alias("n"))),
-    ).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
+def _times(items: Column, item: Column) -> Column:
+    return (F.size(items) - F.size(F.array_remove(items, item))).cast("bigint")
 
 
-def occurrence_tags(items: Column) -> Column:
-    """Each occurrence made distinct ('a','a' -> 'a#0','a#1'), so that a plain
-    array_intersect counts a multiset overlap."""
-    return F.when(
-        F.size(items) > 0,
-        F.flatten(
-            _per_run(
-                items,
-                lambda item, n: F.transform(
-                    F.sequence(F.lit(0), n - 1),
-                    lambda r: F.concat(item, F.lit(_MARK), r.cast("string")),
-                ),
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def overlaps(a: Column, b: Column) -> Column:
+    """struct<n_a, n_b, distinct_a, distinct_b, common, clipped>: sizes, distinct
+    sizes, shared items, and the sum over shared items of min(count in a, count
+    in b).
 
+    A shared item that ``a`` has once counts once, so ``b`` (the longer side, by
+    convention) is only searched for items that ``a`` repeats.
+    """
+    one = F.lit(1).cast("bigint")
+
+    def clipped(s: Column) -> Column:
+        return F.aggregate(
+            s["shared"],
+            F.lit(0).cast("bigint"),
+            lambda acc, x: acc
+            + let(
+                _times(s["a"], x),
+                lambda t: F.when(t == 1, one).otherwise(F.least(t, _times(s["b"], x))),
+            ),
+        )
 
-def set_overlap(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)).cast("bigint")
-
+    def measured(s: Column) -> Column:
+        return F.struct(
+            F.size(s["a"]).cast("bigint").alias("n_a"),
+            F.size(s["b"]).cast("bigint").alias("n_b"),
+            F.size(s["da"]).cast("bigint").alias("distinct_a"),
+            F.size(F.array_distinct(s["b"])).cast("bigint").alias("distinct_b"),
+            F.size(s["shared"]).cast("bigint").alias("common"),
+            F.when(F.size(s["da"]) == F.size(s["a"]), F.size(s["shared"]).cast("bigint"))
+            .otherwise(clipped(s))
+            .alias("clipped"),
+        )
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """sum over items of min(count in a, count in b).
+    def with_shared(s: Column) -> Column:
+        return let(
+            F.struct(
+                s["a"].alias("a"),
+                s["b"].alias("b"),
+                s["da"].alias("da"),
+                F.array_intersect(s["da"], s["b"]).alias("shared"),
+            ),
+            measured,
+        )
 
-    When one side has no repeats every common item counts once, and the plain
-    set overlap is already the answer.
-    """
-    no_repeat = (F.size(F.array_distinct(a)) == F.size(a)) | (
-        F.size(F.array_distinct(b)) == F.size(b)
-    )
-    return F.when(no_repeat, set_overlap(a, b)).otherwise(
-        set_overlap(occurrence_tags(a), occurrence_tags(b))
+    return let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda s: let(
+            F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(s["a"]).alias("da")),
+            with_shared,
+        ),
     )
+
+
+def occurrences(items: Column, item: Column) -> Column:
+    """How often ``item`` is in ``items``."""
+    return _times(items, item).cast("int")

@@ -34,3 +34,39 @@ def salted_join(
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def hot_key_join(
+    facts: DataFrame,
+    dim: DataFrame,
+    on: Sequence[str],
+    counts: DataFrame,
+    spread: Sequence[str],
+    how: str = "left",
+) -> DataFrame:
+    """Like :func:`salted_join`, for a ``dim`` that is itself large.
+
+    ``counts`` has (on, n_rows): how many fact rows each key has. A key is hot
+    when it alone exceeds the mean shuffle partition, and it is dealt over as many
+    salts as mean partitions it would fill; only its ``dim`` rows are repeated.
+    With P shuffle partitions there are fewer than P hot keys whatever the data,
+    which bounds both the repeats and the broadcast that names the hot keys.
+    """
+    on = list(on)
+    parts = max(2, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = counts.agg(F.sum("n_rows")).scalar()
+    hot = counts.filter(F.col("n_rows") * F.lit(parts) > total).select(
+        *on, F.ceil(F.col("n_rows") * F.lit(parts) / total).cast("int").alias("_salts")
+    )
+    n_salts = F.coalesce("_salts", F.lit(1))
+    left = (
+        facts.join(F.broadcast(hot), on, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*spread), n_salts).cast("int"))
+        .drop("_salts")
+    )
+    right = (
+        dim.join(F.broadcast(hot), on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+        .drop("_salts")
+    )
+    return left.join(right, [*on, "_salt"], how).drop("_salt")

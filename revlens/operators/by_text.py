@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.skew import salted_join
+from revlens.functions.skew import hot_key_join
 
 
 def digest(text: str = "review") -> Column:
@@ -35,7 +35,8 @@ def first_reference_by_text(reviews: DataFrame, references: DataFrame) -> DataFr
             F.min_by("reference_summary", "review_id").alias("reference_summary"),
         )
     )
-    return salted_join(keyed, first, ["_digest"], ["review_id"]).drop("_digest")
+    copies = keyed.groupBy("_digest").agg(F.count("*").alias("n_rows"))
+    return hot_key_join(keyed, first, ["_digest"], copies, ["review_id"]).drop("_digest")
 
 
 def last_output_by_text(calls: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -54,20 +54,22 @@ def _apply(chars: Column, hits: Column) -> Column:
 
 
 def add_noise(text: Column, key: Column, level: float = 0.1, seed: str = "noise") -> Column:
-    length = F.length(text)
-    n_draws = F.floor(F.lit(float(level)) * length).cast("int")
-    draws = F.transform(
-        F.sequence(F.lit(0), n_draws - 1), lambda i: _draw(key, seed, i, length)
-    )
-    last_per_position = let(
-        F.sort_array(draws),
-        lambda s: F.filter(
-            s,
-            lambda d, j: F.coalesce(F.get(s, j + 1)["pos"] != d["pos"], F.lit(True)),
-        ),
-    )
-    noisy = let(
-        F.struct(F.split(text, "").alias("chars"), last_per_position.alias("hits")),
-        lambda b: _apply(b["chars"], b["hits"]),
-    )
-    return F.when(n_draws > 0, noisy).otherwise(text)
+    def with_length(length: Column) -> Column:
+        n_draws = F.floor(F.lit(float(level)) * length).cast("int")
+        draws = F.transform(
+            F.sequence(F.lit(0), n_draws - 1), lambda i: _draw(key, seed, i, length)
+        )
+        last_per_position = let(
+            F.sort_array(draws),
+            lambda s: F.filter(
+                s,
+                lambda d, j: F.coalesce(F.get(s, j + 1)["pos"] != d["pos"], F.lit(True)),
+            ),
+        )
+        noisy = let(
+            F.struct(F.split(text, "").alias("chars"), last_per_position.alias("hits")),
+            lambda b: _apply(b["chars"], b["hits"]),
+        )
+        return F.when(n_draws > 0, noisy).otherwise(text)
+
+    return let(F.length(text), with_length)

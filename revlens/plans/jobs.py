@@ -6,6 +6,8 @@ Each job takes DataFrames and returns DataFrames; where the calls come from
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from revlens.operators import classification, reports
 from revlens.operators.lcs import rouge_l
 from revlens.operators.nearest_reference import best_reference
 from revlens.operators.noise import add_noise
-from revlens.operators.overlap import bleu, meteor, rouge_n
+from revlens.operators.overlap import meteor, rouge_n
 from revlens.operators.perplexity import perplexity, train
 from revlens.operators.polarity import polarity, tone
 from revlens.operators.scoring import (
@@ -26,8 +28,10 @@ from revlens.operators.scoring import (
 )
 from revlens.operators.soft_match import soft_match
 from revlens.operators.unify import unify
-from revlens.sources.catalog import models_table
+from revlens.session import materialise
+from revlens.sources.catalog import NO_REFERENCE, models_table
 
+WordIds = Callable[[Column], Column]
 KEY = ("review_id", "model")
 QUALITY = ("rouge_1", "rouge_2", "rouge_l", "soft_f1", "meteor", "compression")
 
@@ -64,47 +68,65 @@ def priced_text(calls: DataFrame, lower_responses_of: tuple[str, ...] = ()) -> D
     return price(with_output(calls, lower_responses_of), models_table(calls.sparkSession))
 
 
-def summary_pairs(calls: DataFrame, reference_summaries: DataFrame) -> DataFrame:
-    """Candidate and reference summary of each call, joined on the review key."""
-    return calls.join(reference_summaries, "review_id", "left").withColumnRenamed(
+def summary_pairs(
+    calls: DataFrame, reference_summaries: DataFrame, word_ids: WordIds | None = None
+) -> DataFrame:
+    """Candidate and reference summary of each call, joined on the review key.
+    ``word_ids`` adds r_ids, computed once per reference and not once per call."""
+    refs = reference_summaries
+    if word_ids is not None:
+        refs = refs.withColumn("r_ids", word_ids(F.col("reference_summary")))
+    return calls.join(refs, "review_id", "left").withColumnRenamed(
         "reference_summary", "reference"
     )
 
 
-def response_pairs(calls: DataFrame, reference_responses: DataFrame) -> DataFrame:
+def response_pairs(
+    calls: DataFrame, reference_responses: DataFrame, word_ids: WordIds | None = None
+) -> DataFrame:
     """Candidate reply and the best of its user's references."""
-    done = calls.filter(F.col("output").isNotNull())
-    best = best_reference(done, reference_responses, KEY)
-    return calls.join(best, list(KEY), "left")
+    if word_ids is None:
+        return best_reference(calls, reference_responses, KEY)
+    refs = reference_responses.withColumn("r_ids", word_ids(F.col("ref_text")))
+    stock = F.when(F.col("reference").isNotNull(), word_ids(F.lit(NO_REFERENCE)))
+    pairs = best_reference(calls, refs, KEY)
+    return pairs.withColumn("r_ids", F.coalesce("r_ids", stock))
 
 
-def overlap_metrics(candidate: Column, reference: Column) -> list[Column]:
-    return [
-        r6(rouge_n(candidate, reference, 1)["f_set"]).alias("rouge_1"),
-        r6(rouge_n(candidate, reference, 2)["f_set"]).alias("rouge_2"),
-        r6(rouge_l(candidate, reference)).alias("rouge_l"),
-        r6(meteor(candidate, reference)).alias("meteor"),
-    ]
+def with_overlap_metrics(pairs: DataFrame) -> DataFrame:
+    """ROUGE-1/2/L and METEOR of (output, reference), all local to the row."""
+    cand, ref = F.col("output"), F.col("reference")
+    return (
+        pairs.withColumn("_n", rouge_n(cand, ref))
+        .withColumn("rouge_1", r6(F.col("_n.n1.set")))
+        .withColumn("rouge_2", r6(F.col("_n.n2.set")))
+        .withColumn("rouge_l", r6(rouge_l(cand, ref)))
+        .withColumn("meteor", r6(meteor(cand, ref)))
+        .drop("_n")
+    )
 
 
 def quality_board(
-    pairs: DataFrame, corpus: DataFrame, vectors: DataFrame, word_id
+    pairs: DataFrame, corpus: DataFrame, vectors: DataFrame, word_ids: WordIds
 ) -> DataFrame:
     """The quality leaderboard of a text task: sums and means of all metrics.
 
-    Perplexity needs a join per token and the other metrics none, so it is
-    aggregated on its own and meets them again as one row per model.
+    ``pairs`` come with r_ids. They are read twice (perplexity needs a join per
+    token, the other metrics none), so the scored log is written first, like the
+    bigram model. The two parts meet again as one row per model.
     """
-    cand, ref = F.col("output"), F.col("reference")
-    scored = pairs.select(
-        *KEY, "error", "elapsed_s", "cost_usd", *overlap_metrics(cand, ref),
+    pairs = materialise(pairs, "pairs")
+    cand = F.col("output")
+    overlap = ("rouge_1", "rouge_2", "rouge_l", "meteor")
+    scored = with_overlap_metrics(pairs).select(
+        *KEY, "error", "elapsed_s", "cost_usd", *overlap,
         r6(compression_ratio(F.col("review_tokens"), cand)).alias("compression"),
-        word_id(cand).alias("c_ids"), word_id(ref).alias("r_ids"),
+        word_ids(cand).alias("c_ids"), "r_ids",
     )
     scored = soft_match(scored, vectors, KEY).withColumn("soft_f1", r6(F.col("soft_f1")))
     board = reports.metric_leaderboard(scored, QUALITY)
-    finished = pairs.filter(F.col("output").isNotNull()).select(*KEY, "output")
-    fluency = perplexity(finished, train(corpus), KEY)
+    finished = pairs.filter(F.col("error").isNull()).select(*KEY, "output")
+    fluency = perplexity(finished, bigram_model(corpus), KEY)
     sums = fluency.groupBy("model").agg(
         F.sum(F.col("perplexity").cast("decimal(24,6)")).cast("double").alias("perplexity_sum"),
         F.count("*").alias("_n"),
@@ -115,10 +137,9 @@ def quality_board(
     )
 
 
-def pair_scores(pairs: DataFrame) -> DataFrame:
-    """All row-local metrics of every finished pair."""
-    cand, ref = F.col("output"), F.col("reference")
-    return pairs.select(*KEY, *overlap_metrics(cand, ref), r6(bleu(cand, ref)).alias("bleu"))
+def bigram_model(corpus: DataFrame) -> DataFrame:
+    """The trained model as a written table: trained once, read by each use."""
+    return materialise(train(corpus), "bigram-model")
 
 
 def tone_alignment(
@@ -129,7 +150,7 @@ def tone_alignment(
         "review_id", tone(F.col("polarity")).alias("review_tone")
     )
     reply_tone = polarity(
-        replies.filter(F.col("output").isNotNull()), lexicon, KEY, text="output"
+        replies.filter(F.col("error").isNull()), lexicon, KEY, text="output"
     ).select(*KEY, tone(F.col("polarity")).alias("reply_tone"))
     aligned = alignment(F.col("review_tone"), F.col("reply_tone"))
     return (

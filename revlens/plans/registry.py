@@ -18,11 +18,11 @@ from revlens.operators.lcs import rouge_l
 from revlens.operators.nearest_reference import best_reference
 from revlens.operators.noise import add_noise
 from revlens.operators.overlap import bleu, meteor, rouge_n
-from revlens.operators.perplexity import perplexity, train
+from revlens.operators.perplexity import perplexity
 from revlens.operators.polarity import lexicon_from_labels, polarity
 from revlens.operators.soft_match import soft_match
 from revlens.plans import jobs
-from revlens.session import ship_package
+from revlens.session import materialise, ship_package
 from revlens.sources import corpus
 from revlens.sources.catalog import MODEL_NAMES, models_table, tasks_table
 
@@ -90,23 +90,31 @@ def _responses(spark: SparkSession, sf: str, version: int = 1) -> DataFrame:
     return jobs.priced_text(offline_calls(open_reviews, "response", version), lowered)
 
 
-def _summary_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _summary_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
     refs = corpus.reference_summaries(corpus.reviews(spark, sf))
-    return jobs.summary_pairs(_summaries(spark, sf), refs)
+    return jobs.summary_pairs(_summaries(spark, sf), refs, ids)
 
 
-def _response_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.response_pairs(_responses(spark, sf), corpus.reference_responses(spark, sf))
+def _response_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
+    refs = corpus.reference_responses(spark, sf)
+    return jobs.response_pairs(_responses(spark, sf), refs, ids)
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
     """Finished summary and response calls with their references."""
-    both = _summary_pairs(spark, sf).select(
-        "task", "review_id", "model", "output", "reference"
-    ).unionByName(
-        _response_pairs(spark, sf).select("task", "review_id", "model", "output", "reference")
+    columns = ("task", "review_id", "model", "output", "reference", "error")
+    if ids is not None:
+        columns = (*columns, "r_ids")
+    both = _summary_pairs(spark, sf, ids).select(*columns).unionByName(
+        _response_pairs(spark, sf, ids).select(*columns)
     )
-    return both.filter(F.col("output").isNotNull())
+    return _finished(both)
+
+
+def _finished(calls: DataFrame) -> DataFrame:
+    """Calls that have an output. Asked of the error and not of the output, so that
+    the filter does not build the output a second time."""
+    return calls.filter(F.col("error").isNull())
 
 
 # --- extraction -----------------------------------------------------------------
@@ -148,7 +156,7 @@ def by_text_first(spark, sf):
 
 @query
 def by_text_last(spark, sf):
-    done = _summaries(spark, sf).filter(F.col("output").isNotNull())
+    done = _finished(_summaries(spark, sf))
     calls = done.select("review_id", "model", "output")
     return present(texts.last_output_by_text(calls, corpus.reviews(spark, sf)))
 
@@ -315,17 +323,17 @@ _PAIR = ("task", "review_id", "model")
 
 @query
 def rouge_n_scores(spark, sf):
-    c, r = F.col("output"), F.col("reference")
     scores = _pairs(spark, sf).select(
-        *_PAIR, rouge_n(c, r, 1).alias("_1"), rouge_n(c, r, 2).alias("_2")
+        *_PAIR, rouge_n(F.col("output"), F.col("reference")).alias("_s")
     )
     return present(
         scores.select(
             *_PAIR,
-            r6(F.col("_1.f_set")).alias("rouge_1_set"),
-            r6(F.col("_1.f_multiset")).alias("rouge_1_multiset"),
-            r6(F.col("_2.f_set")).alias("rouge_2_set"),
-            r6(F.col("_2.f_multiset")).alias("rouge_2_multiset"),
+            *[
+                r6(F.col(f"_s.n{n}.{mode}")).alias(f"rouge_{n}_{mode}")
+                for n in (1, 2)
+                for mode in ("set", "multiset")
+            ],
         )
     )
 
@@ -361,29 +369,31 @@ def _word_ids(n_vectors: int) -> Callable[[Column], Column]:
 def soft_match_f1(spark, sf):
     vectors, n = corpus.word_vectors(spark, sf)
     ids = _word_ids(n)
-    pairs = _pairs(spark, sf).select(
-        *_PAIR, ids(F.col("output")).alias("c_ids"), ids(F.col("reference")).alias("r_ids")
-    )
+    pairs = _pairs(spark, sf, ids).select(*_PAIR, ids(F.col("output")).alias("c_ids"), "r_ids")
     scored = soft_match(pairs, vectors, _PAIR)
     return present(scored.withColumn("soft_f1", r6(F.col("soft_f1"))))
 
 
 @query
 def perplexity_scores(spark, sf):
-    outputs = (
-        _summaries(spark, sf)
-        .select(*_PAIR, "output")
-        .unionByName(_responses(spark, sf).select(*_PAIR, "output"))
-        .filter(F.col("output").isNotNull())
+    columns = (*_PAIR, "output")
+    outputs = _finished(_summaries(spark, sf)).select(*columns).unionByName(
+        _finished(_responses(spark, sf)).select(*columns)
     )
-    return present(perplexity(outputs, train(corpus.reviews(spark, sf)), _PAIR))
+    log = materialise(outputs, "outputs")
+    return present(perplexity(log, jobs.bigram_model(corpus.reviews(spark, sf)), _PAIR))
 
 
 @query
 def best_reference_scores(spark, sf):
-    done = _responses(spark, sf).filter(F.col("output").isNotNull())
-    best = best_reference(done, corpus.reference_responses(spark, sf), ("review_id", "model"))
-    return present(best.withColumn("similarity", r6(F.col("similarity"))))
+    done = _finished(_responses(spark, sf))
+    replies = done.select("review_id", "model", "user_name", "output")
+    best = best_reference(replies, corpus.reference_responses(spark, sf), ("review_id", "model"))
+    return present(
+        best.select(
+            "review_id", "model", "reference", "ref_no", r6(F.col("similarity")).alias("similarity")
+        )
+    )
 
 
 @query
@@ -403,19 +413,22 @@ def compression(spark, sf):
 # --- leaderboards and reports ---------------------------------------------------
 
 
-def _quality(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
+def _quality(spark: SparkSession, sf: str, pairs_of) -> DataFrame:
     vectors, n = corpus.word_vectors(spark, sf)
-    return jobs.quality_board(pairs, corpus.reviews(spark, sf), vectors, _word_ids(n))
+    ids = _word_ids(n)
+    return jobs.quality_board(
+        pairs_of(spark, sf, ids), corpus.reviews(spark, sf), vectors, ids
+    )
 
 
 @query
 def summary_leaderboard(spark, sf):
-    return present(_quality(spark, sf, _summary_pairs(spark, sf)))
+    return present(_quality(spark, sf, _summary_pairs))
 
 
 @query
 def response_leaderboard(spark, sf):
-    return present(_quality(spark, sf, _response_pairs(spark, sf)))
+    return present(_quality(spark, sf, _response_pairs))
 
 
 @query
