@@ -33,7 +33,9 @@ def salted_join(
     n = salts or salt_count(facts)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    if both_large:
+        right = right.hint("merge")
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
 def hot_key_join(
@@ -42,15 +44,19 @@ def hot_key_join(
     on: Sequence[str],
     counts: DataFrame,
     spread: Sequence[str],
-    how: str = "left",
+    both_large: bool = False,
 ) -> DataFrame:
-    """Like :func:`salted_join`, for a ``dim`` that is itself large.
+    """Left join like :func:`salted_join`, for a ``dim`` that is itself large.
 
     ``counts`` has (on, n_rows): how many fact rows each key has. A key is hot
     when it alone exceeds the mean shuffle partition, and it is dealt over as many
     salts as mean partitions it would fill; only its ``dim`` rows are repeated.
     With P shuffle partitions there are fewer than P hot keys whatever the data,
     which bounds both the repeats and the broadcast that names the hot keys.
+
+    ``both_large`` asks for a sort-merge join: where the sides come from exploded
+    text, file sizes say little about row counts and a size-based broadcast would
+    be chosen on a wrong estimate.
     """
     on = list(on)
     parts = max(2, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -69,4 +75,6 @@ def hot_key_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
         .drop("_salts")
     )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    if both_large:
+        right = right.hint("merge")
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")

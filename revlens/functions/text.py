@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 # The code points Python's str.split()/str.strip() treat as
 # whitespace, as a regex class (read alike by Java and RE2) and as characters.
-WS_CLASS = (
-    r"\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+WS_CLASS = r"\t-\r\x1C-\x1F\x85\p{Z}"
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -31,7 +28,7 @@ def sentence_free_tokens(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), r"\P{L}+"), "")
 
 
 def count_tokens(text: Column) -> Column:

@@ -36,7 +36,8 @@ def first_reference_by_text(reviews: DataFrame, references: DataFrame) -> DataFr
         )
     )
     copies = keyed.groupBy("_digest").agg(F.count("*").alias("n_rows"))
-    return hot_key_join(keyed, first, ["_digest"], copies, ["review_id"]).drop("_digest")
+    met = hot_key_join(keyed, first, ["_digest"], copies, ["review_id"], both_large=True)
+    return met.drop("_digest")
 
 
 def last_output_by_text(calls: DataFrame, reviews: DataFrame) -> DataFrame:
