@@ -38,16 +38,18 @@ QUALITY = ("rouge_1", "rouge_2", "rouge_l", "soft_f1", "meteor", "compression")
 
 def evaluation_set(reviews: DataFrame, truth: DataFrame, edge: DataFrame) -> DataFrame:
     """The customer, edge and noisy datasets as one table with a dataset column,
-    so that one job covers all three comparisons."""
+    so that one job covers all three comparisons. A review and its noisy copy come
+    from the same scan and the same join with the labels."""
     columns = ("dataset", "review_id", "user_name", "review", "label")
     labelled = reviews.select("review_id", "user_name", "review").join(truth, "review_id")
-    customer = labelled.withColumn("dataset", F.lit("customer")).select(*columns)
-    noisy = labelled.select(
-        F.lit("noisy").alias("dataset"), "review_id", "user_name",
-        add_noise(F.col("review"), F.col("review_id")).alias("review"), "label",
+    noisy = add_noise(F.col("review"), F.col("review_id"))
+    versions = F.array(
+        F.struct(F.lit("customer").alias("dataset"), F.col("review").alias("review")),
+        F.struct(F.lit("noisy").alias("dataset"), noisy.alias("review")),
     )
+    both = labelled.select("review_id", "user_name", "label", F.explode(versions).alias("_v"))
     edges = edge.withColumn("dataset", F.lit("edge")).select(*columns)
-    return customer.unionByName(edges).unionByName(noisy)
+    return both.select("review_id", "user_name", "label", "_v.*").select(*columns).unionByName(edges)
 
 
 def extract(google: DataFrame, appstore: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def local_session(app: str = "revlens", cpus: str | int = "*", **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1")
     )
     for key, value in conf.items():
@@ -47,16 +47,24 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(base, "zip", root_dir=root, base_dir="revlens"))
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a session without the setting (a local test) gets a temporary folder.
+    Only a local session without the setting (a test) gets a temporary folder; on
+    a cluster a folder of one machine would be wrong, so the setting is required.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="revlens-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="revlens-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
