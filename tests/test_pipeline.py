@@ -79,6 +79,14 @@ def test_reference_tables(spark):
     assert sorted(map(tuple, bound.collect())) == [(10, "s1"), (20, "s2")]
 
 
+def test_newest_first(spark):
+    df = spark.createDataFrame(
+        [(1, dt.date(2025, 1, 1)), (2, dt.date(2025, 1, 2)), (3, dt.date(2025, 1, 2))],
+        "review_id bigint, at date",
+    )
+    assert [r.review_id for r in reviews.newest_first(df, "at", "review_id").collect()] == [2, 3, 1]
+
+
 def test_sample_keeps_few_rows_before_the_shuffle(spark):
     df = spark.range(1000).select(
         F.col("id").alias("review_id"),
@@ -182,6 +190,20 @@ def test_batch_operator_equals_column_backend(spark, rows, task):
     assert got.exceptAll(want).count() == 0
 
 
+def test_one_client_per_partition(spark, rows, tmp_path):
+    marks = str(tmp_path)
+
+    def factory(model, task, budget):
+        import uuid
+
+        open(f"{marks}/{uuid.uuid4().hex}", "w").close()
+        return lambda row: ("positive", None)
+
+    reqs = prompting.requests(rows, "sentiment", models=("m",)).repartition(2, "review_id")
+    assert infer.batch_infer(reqs, "sentiment", {"m": factory}, models=()).count() == 60
+    assert 1 <= len(list(tmp_path.iterdir())) <= 2
+
+
 def test_batch_errors_pace_and_rerun(spark, rows, tmp_path):
     stamps = str(tmp_path / "stamps")
 
