@@ -31,16 +31,16 @@ def map_texts(
     )
     kept = T.StructType([rows.schema[name] for name in keep])
     schema = T.StructType([*kept.fields, *fields.fields])
-    arrow = to_arrow_schema(schema)
+    arrow, n_kept = to_arrow_schema(schema), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
             made = work(batch.column(batch.num_columns - 1).to_pylist())
             columns = [
-                *(batch.column(i).cast(arrow.field(i).type) for i in range(len(keep))),
+                *(batch.column(i).cast(arrow.field(i).type) for i in range(n_kept)),
                 *(
-                    pa.array(values, type=arrow.field(len(keep) + i).type)
+                    pa.array(values, type=arrow.field(n_kept + i).type)
                     for i, values in enumerate(made)
                 ),
             ]
