@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from revlens.llm.license_scan import license_report
 from revlens.llm.simhash_bktree import near_duplicates
 from revlens.llm.token_count import token_counts
+from revlens.llm.toxicity import fit_model, toxicity
 from revlens.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,12 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity(docs, fit_model(docs, labels))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
