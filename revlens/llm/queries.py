@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm.license_scan import license_report
 from revlens.llm.pii import pii_report
+from revlens.llm.quality_rules import fit_rules, quality
 from revlens.llm.simhash_bktree import near_duplicates
 from revlens.llm.token_count import token_counts
 from revlens.llm.toxicity import fit_model, toxicity
@@ -63,6 +64,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality(docs, fit_rules(docs, labels))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
