@@ -2,7 +2,36 @@
 
 from __future__ import annotations
 
-_SQL: dict[str, str] = {}
+_WORDS = (
+    "list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+
+_SQL: dict[str, str] = {
+    "op8_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format('text')} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+grams AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s
+        FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM grams),
+places AS (
+  SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes WHERE len(w) >= k)),
+found AS (SELECT rid, item_id, places.k, p FROM places JOIN grams ON places.g = grams.g AND places.k = grams.k),
+hit AS (
+  SELECT rid, count(DISTINCT q) AS n_hit
+  FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM found) GROUP BY rid),
+items AS (
+  SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM found) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+""",
+}
 
 
 def all_sql() -> dict[str, str]:
