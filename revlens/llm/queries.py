@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.llm.ann_lsh import EVERY, nearest
 from revlens.llm.decontaminate import contamination_report
 from revlens.llm.license_scan import license_report
 from revlens.llm.pii import pii_report
@@ -46,6 +47,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
+
+
 @query
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(
