@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from revlens.llm.ann_lsh import EVERY, nearest
 from revlens.llm.decontaminate import contamination_report
 from revlens.llm.license_scan import license_report
+from revlens.llm.mixing import corpus_levels, mix
 from revlens.llm.pii import pii_report
 from revlens.llm.quality_rules import fit_rules, quality
 from revlens.llm.simhash_bktree import near_duplicates
@@ -77,6 +78,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, fit_rules(docs, labels))
 
 
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, corpus_levels()).select(
+        "doc_id", "mix_domain", "mix_lang", "mix_source", "n_tokens", "copies"
+    )
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(

@@ -34,5 +34,60 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 }
 
 
+def _level(depth: int) -> str:
+    """One level of the budget tree: shares of the parent's budget, full children first."""
+    names = ["domain", "lang", "source"][:depth]
+    parent, name = names[:-1], names[-1]
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    order = f"ORDER BY capacity / weight, {name}"
+    weight = {
+        "domain": "CASE g.domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END",
+        "lang": "CASE g.lang WHEN 'en' THEN 5 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 WHEN 'es' THEN 2 ELSE 1 END",
+        "source": "1",
+    }[name]
+    upper = (
+        f"JOIN l{depth - 1} USING ({', '.join(parent)})"
+        if parent
+        else "CROSS JOIN (SELECT (sum(tokens) * 60)::BIGINT // 100 AS budget FROM leaves) t"
+    )
+    of = f"l{depth - 1}.budget" if parent else "t.budget"
+    keys = ", ".join([f"g.{n}" for n in names])
+    return f"""
+n{depth} AS (
+  SELECT {keys}, {of} AS parent_budget, g.tokens, g.tokens * 2 AS capacity, ({weight})::BIGINT AS weight
+  FROM (SELECT {', '.join(names)}, sum(tokens)::BIGINT AS tokens FROM leaves GROUP BY ALL) g {upper}),
+o{depth} AS (
+  SELECT *, (capacity * sum(weight) OVER ({by} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= weight * (parent_budget - coalesce(sum(capacity) OVER ({by} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS is_full
+  FROM n{depth} WHERE capacity > 0),
+l{depth} AS (
+  SELECT {', '.join(names)}, tokens, CASE WHEN is_full THEN capacity ELSE
+    ((weight * (parent_budget - coalesce(sum(CASE WHEN is_full THEN capacity END) OVER ({by}), 0)))
+      // sum(CASE WHEN NOT is_full THEN weight END) OVER ({by}))::BIGINT END AS budget
+  FROM o{depth})"""
+
+
+_SQL["op7_mixing"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    coalesce(CASE WHEN regexp_extract(source, '([0-9]+)', 1) <> ''
+      THEN 'domain' || (regexp_extract(source, '([0-9]+)', 1)::BIGINT // 5) ELSE source END, '(none)') AS domain,
+    len({_WORDS.format('text')})::BIGINT AS n_tokens, md5(coalesce(text, '')) AS h
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d WHERE n_tokens > 0 GROUP BY ALL),
+{_level(1)},{_level(2)},{_level(3)},
+k AS (
+  SELECT d.*, budget // tokens AS whole, budget % tokens AS part,
+    md5('mix-1:' || (budget // tokens) || ':' || coalesce(doc_id::VARCHAR, '') || ':' || h) AS key
+  FROM d JOIN l3 USING (domain, lang, source) WHERE n_tokens > 0),
+c AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto
+  FROM k)
+SELECT doc_id, domain AS mix_domain, lang AS mix_lang, source AS mix_source, n_tokens,
+  (whole + CASE WHEN upto <= part THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM c WHERE whole > 0 OR upto <= part
+"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(_SQL)
