@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from revlens.llm.ann_lsh import EVERY, nearest
 from revlens.llm.decontaminate import contamination_report
 from revlens.llm.license_scan import license_report
+from revlens.llm.line_dedup import line_report
 from revlens.llm.mixing import corpus_levels, mix
 from revlens.llm.pii import pii_report
 from revlens.llm.quality_rules import fit_rules, quality
@@ -93,6 +94,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -89,5 +89,34 @@ FROM c WHERE whole > 0 OR upto <= part
 """
 
 
+# Edits are counted in bytes by levenshtein, so the corpus's accented letters are
+# given one byte each first.
+_SQL["op9_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS h, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT rid, doc_id, h, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM d),
+long AS (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, h, place) AS ord FROM lines WHERE length(line) >= 40),
+classes AS (SELECT line, min(ord) AS first,
+  translate(line, 'éèêçüößäñóíÉÈÊÇÜÖÄÑÓÍ', concat(chr(1), chr(2), chr(3), chr(4), chr(5), chr(6), chr(7), chr(8), chr(11), chr(12), chr(14),
+    chr(15), chr(16), chr(17), chr(18), chr(19), chr(20), chr(21), chr(22), chr(23), chr(24))) AS flat
+  FROM long GROUP BY line),
+near AS (
+  SELECT DISTINCT b.line FROM classes a JOIN classes b
+  ON abs(length(a.line) - length(b.line)) <= 2 AND a.first < b.first AND levenshtein(a.flat, b.flat) <= 2),
+gone AS (
+  SELECT rid, place, ord <> first AS exact
+  FROM long JOIN classes USING (line) LEFT JOIN (SELECT line, true AS near FROM near) USING (line)
+  WHERE ord <> first OR near)
+SELECT doc_id, n_lines, n_exact, n_near, n_lines - n_exact - n_near AS n_kept, sha256(kept) AS kept_sha256
+FROM (
+  SELECT d.rid, any_value(d.doc_id) AS doc_id,
+    CASE WHEN length(any_value(d.text)) > 0 THEN count(*) ELSE 0 END AS n_lines,
+    count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact) AS n_near,
+    coalesce(string_agg(line, chr(10) ORDER BY lines.place) FILTER (exact IS NULL), '') AS kept
+  FROM d JOIN lines ON d.rid = lines.rid LEFT JOIN gone ON gone.rid = lines.rid AND gone.place = lines.place
+  GROUP BY d.rid)
+"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(_SQL)
