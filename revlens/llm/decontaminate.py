@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.arrays import let
 from revlens.llm.sizes import broadcast_if_small
-from revlens.llm.words import words
+from revlens.llm.words import whole_row, words
 from revlens.session import materialise
 
 WINDOW = 13
@@ -280,11 +280,10 @@ def drop_contaminated(
     found = find_benchmark(docs, benchmark, id_col, text_col).filter("n_hit > 0")
     hit = materialise(found.select("doc_id", "_h", "n_hit"), "hit-documents")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_h", F.xxhash64(text)).alias("d").join(
-        broadcast_if_small(hit).alias("f"),
-        F.col(f"d.{id_col}").eqNullSafe(F.col("f.doc_id")) & (F.col("d._h") == F.col("f._h")),
-        "left",
+    rows = docs.select(
+        whole_row(docs), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_h"), text.alias("_text")
     )
-    n_words = F.when(F.col("n_hit").isNotNull(), F.size(words(F.col(f"d.{text_col}"))))
+    joined = rows.alias("d").join(broadcast_if_small(hit).alias("f"), _same_doc("d", "f"), "left")
+    n_words = F.when(F.col("n_hit").isNotNull(), F.size(words(F.col("_text"))))
     bad = F.coalesce(contaminated(F.col("n_hit"), n_words), F.lit(False))
-    return rows.filter(~bad).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return joined.filter(~bad).select("_row.*")

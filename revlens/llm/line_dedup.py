@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.arrays import let
 from revlens.llm.sizes import broadcast_if_small
+from revlens.llm.words import whole_row
 from revlens.session import materialise
 
 MAX_EDITS = 2
@@ -349,16 +350,19 @@ def repeated_lines(
 
 
 def _with_drops(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """``docs`` with _drops, _exact, _near, _lines (all lines) and _text (what is left)."""
+    """_row (the columns of ``docs``), _text (what is left of its text), _exact, _near."""
     found = materialise(repeated_lines(docs, id_col, text_col, **how), "dropped-lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = docs.withColumn("_h", F.xxhash64(text)).alias("d")
-    joined = hashed.join(
+    rows = docs.select(
+        whole_row(docs), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_h"),
+        F.col(text_col).alias("_raw"),
+    )
+    joined = rows.alias("d").join(
         broadcast_if_small(found).alias("f"),
-        F.col(f"d.{id_col}").eqNullSafe(F.col("f.doc_id")) & (F.col("d._h") == F.col("f._h")),
+        F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._h") == F.col("f._h")),
         "left",
     )
-    raw = F.col(f"d.{text_col}")
+    raw = F.col("_raw")
     left = let(
         F.split(raw, "\n"),
         lambda lines: F.array_join(
@@ -370,7 +374,7 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame
         ),
     )
     return joined.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns],
+        "_row",
         F.when(F.col("f.drops").isNull(), raw).otherwise(left).alias("_text"),
         F.coalesce("f.n_exact", F.lit(0)).cast("bigint").alias("_exact"),
         F.coalesce("f.n_near", F.lit(0)).cast("bigint").alias("_near"),
@@ -379,11 +383,11 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame
 
 def line_report(docs: DataFrame) -> DataFrame:
     """One row for each document: its lines, how many go and why, and what is left."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
     n_lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0).cast("bigint")
     rows = _with_drops(docs.select("doc_id", "text"), "doc_id", "text")
     return rows.select(
-        "doc_id",
+        "_row.doc_id",
         n_lines.alias("n_lines"),
         F.col("_exact").alias("n_exact"),
         F.col("_near").alias("n_near"),
@@ -413,7 +417,7 @@ def dedup_lines(
         elif name == size_col:
             changed = F.col("_exact") + F.col("_near") > 0
             new = F.length("_text").cast(kind)
-            columns.append(F.when(changed, new).otherwise(F.col(f"`{name}`")).alias(name))
+            columns.append(F.when(changed, new).otherwise(F.col(f"_row.`{name}`")).alias(name))
         else:
-            columns.append(F.col(f"`{name}`"))
+            columns.append(F.col(f"_row.`{name}`"))
     return rows.select(*columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlens.llm.sizes import broadcast_if_small
-from revlens.llm.words import words
+from revlens.llm.words import whole_row, words
 from revlens.session import materialise
 
 NONE = "(none)"
@@ -136,13 +136,12 @@ def _digest(seed: str, epoch: Column) -> Column:
 def _measured(docs: DataFrame, levels: dict[str, Column], id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = {name: F.coalesce(c.cast("string"), F.lit(NONE)) for name, c in levels.items()}
-    return docs.withColumns(
-        {
-            **{f"_level_{name}": c for name, c in named.items()},
-            "_id": F.col(id_col).cast("string"),
-            "_md5": F.md5(text),
-            "_tokens": F.size(words(F.col(text_col))).cast("bigint"),
-        }
+    return docs.select(
+        whole_row(docs),
+        *[c.alias(f"_level_{name}") for name, c in named.items()],
+        F.col(id_col).cast("string").alias("_id"),
+        F.md5(text).alias("_md5"),
+        F.size(words(F.col(text_col))).cast("bigint").alias("_tokens"),
     )
 
 
@@ -158,8 +157,10 @@ def mix(
     text_col: str = "text",
 ) -> DataFrame:
     """The selected rows of ``docs`` with ``n_tokens`` and ``copies`` (epochs that
-    hold the document); level values are columns named ``mix_<level>``."""
+    hold the document); level values are columns named ``mix_<level>``. A column of
+    ``docs`` that is named like one of these gives way to it."""
     names = list(levels)
+    added = {*(f"mix_{n}" for n in names), "n_tokens", "copies"}
     measured = _measured(docs, levels, id_col, text_col)
     narrow = measured.filter("_tokens > 0").select(
         *[F.col(f"_level_{n}").alias(n) for n in names], "_id", "_md5", "_tokens"
@@ -213,7 +214,7 @@ def mix(
         chosen.withColumn("copies", copies.cast("bigint"))
         .filter("copies > 0")
         .select(
-            *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "copies")],
+            *[F.col(f"_row.`{c}`") for c in docs.columns if c not in added],
             *[F.col(f"_level_{n}").alias(f"mix_{n}") for n in names],
             F.col("_tokens").alias("n_tokens"),
             "copies",

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from revlens.llm.arrow import map_texts
 from revlens.llm.components import components
+from revlens.llm.words import whole_row
 from revlens.session import materialise
 
 SEED = 42
@@ -218,9 +219,9 @@ def keep_one(
     that share it the smallest text hash, and of equal rows one."""
     key = {"_id": F.col(id_col), "_hash": F.xxhash64(F.col(text_col))}
     fps = materialise(fingerprints(docs, key, F.col(text_col), shingle), "fingerprints")
-    rows = fps.groupBy("fp", "_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = fps.groupBy("fp", "_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
     whose = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", "_n")
-    least = rows.groupBy("fp").agg(F.min(whose).alias("_first"))
+    least = sizes.groupBy("fp").agg(F.min(whose).alias("_first"))
     chosen = (
         component_of(fps, radius)
         .join(least, "fp")
@@ -228,12 +229,13 @@ def keep_one(
         .agg(F.min("_first").alias("_first"))
         .select("_first._id", "_first._hash", "_first._n")
     )
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col(text_col)))
-    kept = hashed.alias("d").join(
-        materialise(chosen, "chosen").alias("c"),
-        F.col(f"d.{id_col}").eqNullSafe(F.col("c._id")) & (F.col("d._hash") == F.col("c._hash")),
+    rows = docs.select(
+        whole_row(docs), F.col(id_col).alias("_did"), F.xxhash64(F.col(text_col)).alias("_dhash")
     )
-    plain = [F.col(f"d.`{c}`") for c in docs.columns]
-    single = kept.filter("c._n = 1").select(*plain)
-    repeated = kept.filter("c._n > 1").select(*plain, "d._hash")
-    return single.unionByName(repeated.dropDuplicates([id_col, "_hash"]).drop("_hash"))
+    chosen = materialise(chosen, "chosen")
+    kept = rows.join(
+        chosen, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dhash") == F.col("_hash"))
+    )
+    single = kept.filter("_n = 1").select("_row")
+    repeated = kept.filter("_n > 1").dropDuplicates(["_did", "_dhash"]).select("_row")
+    return single.union(repeated).select("_row.*")

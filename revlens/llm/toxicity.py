@@ -23,12 +23,12 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.arrow import map_texts
-from revlens.llm.words import WORD, py_lower_az
+from revlens.llm.words import WORD, py_lower_az, whole_row
 
 #: Bound of the labelled sample that is fitted on the driver, in texts and characters.
 MAX_ROWS = 6000
@@ -217,11 +217,11 @@ def toxicity(
     model: Model | None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: tuple[str, ...] = (),
+    keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """doc_id, severity (0 to 3), p_toxic, the likeliest grade and ``rejected``, beside
-    the columns of ``keep``."""
-    kept = {"doc_id": F.col(id_col)} | {c: F.col(c) for c in keep}
+    """doc_id (or the columns of ``keep``), severity (0 to 3), p_toxic, the likeliest
+    grade and ``rejected``."""
+    kept = keep or {"doc_id": F.col(id_col)}
     if model is None:
         none = [F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade")]
         scored = docs.select(*[c.alias(k) for k, c in kept.items()], *none)
@@ -229,3 +229,11 @@ def toxicity(
         shared = docs.sparkSession.sparkContext.broadcast(model)
         scored = map_texts(docs, kept, F.col(text_col), lambda: Scorer(shared.value).score, SCORE)
     return scored.withColumn("rejected", F.col("p_toxic") >= REJECT_AT)
+
+
+def drop_rejected(
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the texts that the model rejects."""
+    scored = toxicity(docs, model, id_col, text_col, {"_row": whole_row(docs)})
+    return scored.filter(~F.col("rejected")).select("_row.*")

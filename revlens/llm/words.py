@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,5 +28,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), GAP), "")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``_row``, so that names of a caller's columns cannot
+    meet names used here; ``select("_row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def py_lower_az(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8").lower().decode("utf-8")
