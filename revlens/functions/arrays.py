@@ -1,4 +1,4 @@
-"""Row-local array algebra: n-grams, multisets and even picks.
+"""Row-local array algebra: n-grams, multisets and alignments.
 
 Each helper binds its inputs once with :func:`let`. Without that the optimizer
 may inline the expression that builds an array into a lambda body and rebuild
@@ -18,48 +18,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def pick_even(toks: Column, k: Column) -> Column:
-    """k tokens spread evenly over the whole array (all of it when k >= size)."""
-    n = F.size(toks)
-    m = F.least(k.cast("int"), n)
-    return F.when(
-        m > 0,
-        F.transform(
-            F.sequence(F.lit(0), m - 1),
-            lambda i: F.get(toks, F.floor(i.cast("bigint") * n / m).cast("int")),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def ngrams(toks: Column, n: int) -> Column:
-    """Word n-grams joined by one space; tokens hold no space, so joins are unique."""
+def gram_ids(ids: Column, n: int) -> Column:
+    """Word n-grams of an array of word ids (:func:`word_ids`) as one bigint each."""
     if n == 1:
-        return toks
-
-    def gram(t: Column, first: Column, i: Column) -> Column:
-        rest = [part for k in range(1, n) for part in (F.lit(" "), F.get(t, i + k))]
-        return F.concat(first, *rest)
-
+        return ids
     return let(
-        toks,
+        ids,
         lambda t: F.when(
             F.size(t) >= n,
-            F.transform(F.slice(t, F.lit(1), F.size(t) - (n - 1)), lambda x, i: gram(t, x, i)),
-        ).otherwise(F.array().cast("array<string>")),
+            F.transform(
+                F.slice(t, F.lit(1), F.size(t) - (n - 1)),
+                lambda x, i: F.xxhash64(x, *[F.get(t, i + k) for k in range(1, n)]),
+            ),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )
+
+
+def word_ids(toks: Column) -> Column:
+    """A 64-bit digest for each token: numbers sort and compare faster than text."""
+    return F.transform(toks, lambda w: F.xxhash64(w))
+
+
+def _run_starts(s: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Places in the sorted, non-empty array ``s`` where a run of equal items starts."""
+    return F.filter(
+        F.sequence(F.lit(0), F.size(s) - 1),
+        lambda i: (i == 0) | ~same(F.get(s, i), F.get(s, i - 1)),
     )
 
 
-def term_counts(items: Column) -> Column:
+def term_counts(items: Column, kind: str = "string") -> Column:
     """array<struct<term, n>> of the distinct items, in O(n log n): sort, find
     where each run of equal items starts, and measure the runs."""
 
     def with_sorted(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-        )
         return let(
-            starts,
+            _run_starts(s, lambda x, y: x == y),
             lambda b: F.transform(
                 b,
                 lambda st, j: F.struct(
@@ -70,67 +64,107 @@ def term_counts(items: Column) -> Column:
         )
 
     return F.when(F.size(items) > 0, let(F.sort_array(items), with_sorted)).otherwise(
-        F.array().cast("array<struct<term:string,n:bigint>>")
+        F.array().cast(f"array<struct<term:{kind},n:bigint>>")
     )
 
 
-def _times(items: Column, item: Column) -> Column:
-    return (F.size(items) - F.size(F.array_remove(items, item))).cast("bigint")
-
-
 def overlaps(a: Column, b: Column) -> Column:
-    """struct<n_a, n_b, distinct_a, distinct_b, common, clipped>: sizes, distinct
-    sizes, shared items, and the sum over shared items of min(count in a, count
-    in b).
+    """struct<n_a, n_b, distinct_a, distinct_b, common, clipped> of two arrays of
+    bigints: sizes, distinct sizes, shared items, and the sum over shared items of
+    min(count in a, count in b).
 
-    A shared item that ``a`` has once counts once, so ``b`` (the longer side, by
-    convention) is only searched for items that ``a`` repeats.
+    The counted items of both sides are sorted as one list, where a shared item
+    stands next to itself: O(n log n) whatever repeats.
     """
-    one = F.lit(1).cast("bigint")
-
-    def clipped(s: Column) -> Column:
-        return F.aggregate(
-            s["shared"],
-            F.lit(0).cast("bigint"),
-            lambda acc, x: acc
-            + let(
-                _times(s["a"], x),
-                lambda t: F.when(t == 1, one).otherwise(F.least(t, _times(s["b"], x))),
-            ),
+
+    def marked(counts: Column, side: int) -> Column:
+        return F.transform(
+            counts,
+            lambda t: F.struct(t["term"].alias("term"), F.lit(side).alias("side"), t["n"].alias("n")),
         )
 
     def measured(s: Column) -> Column:
-        return F.struct(
-            F.size(s["a"]).cast("bigint").alias("n_a"),
-            F.size(s["b"]).cast("bigint").alias("n_b"),
-            F.size(s["da"]).cast("bigint").alias("distinct_a"),
-            F.size(F.array_distinct(s["b"])).cast("bigint").alias("distinct_b"),
-            F.size(s["shared"]).cast("bigint").alias("common"),
-            F.when(F.size(s["da"]) == F.size(s["a"]), F.size(s["shared"]).cast("bigint"))
-            .otherwise(clipped(s))
-            .alias("clipped"),
+        def of_shared(shared: Column) -> Column:
+            return F.struct(
+                F.size(s["a"]).cast("bigint").alias("n_a"),
+                F.size(s["b"]).cast("bigint").alias("n_b"),
+                F.size(s["ta"]).cast("bigint").alias("distinct_a"),
+                F.size(s["tb"]).cast("bigint").alias("distinct_b"),
+                F.size(shared).cast("bigint").alias("common"),
+                F.aggregate(
+                    shared, F.lit(0).cast("bigint"), lambda acc, x: acc + x
+                ).alias("clipped"),
+            )
+
+        merged = F.sort_array(F.concat(marked(s["ta"], 0), marked(s["tb"], 1)))
+        shared = let(
+            merged,
+            lambda m: F.filter(
+                F.transform(
+                    m,
+                    lambda x, i: F.when(
+                        (i > 0) & (F.get(m, i - 1)["term"] == x["term"]),
+                        F.least(F.get(m, i - 1)["n"], x["n"]),
+                    ),
+                ),
+                lambda n: n.isNotNull(),
+            ),
         )
+        return let(shared, of_shared)
 
-    def with_shared(s: Column) -> Column:
-        return let(
+    return let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda s: let(
             F.struct(
                 s["a"].alias("a"),
                 s["b"].alias("b"),
-                s["da"].alias("da"),
-                F.array_intersect(s["da"], s["b"]).alias("shared"),
+                term_counts(s["a"], "bigint").alias("ta"),
+                term_counts(s["b"], "bigint").alias("tb"),
             ),
             measured,
-        )
-
-    return let(
-        F.struct(a.alias("a"), b.alias("b")),
-        lambda s: let(
-            F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(s["a"]).alias("da")),
-            with_shared,
         ),
     )
 
 
-def occurrences(items: Column, item: Column) -> Column:
-    """How often ``item`` is in ``items``."""
-    return _times(items, item).cast("int")
+def matched_from_end(a: Column, b: Column) -> Column:
+    """array<struct<a, b>> of places, in the order of ``a``: the k-th occurrence of an
+    item counted from the end of ``a`` meets its k-th occurrence from the end of ``b``.
+
+    Each side numbers its items' occurrences from the end (one sort); sorted
+    together, the two sides of a match are neighbours. O(n log n) in all.
+    """
+
+    def numbered(items: Column, side: int) -> Column:
+        placed = F.sort_array(F.transform(items, lambda w, i: F.struct(w.alias("w"), (-i).alias("at"))))
+
+        def with_sorted(s: Column) -> Column:
+            return let(
+                _run_starts(s, lambda x, y: x["w"] == y["w"]),
+                lambda starts: F.flatten(
+                    F.transform(
+                        starts,
+                        lambda st, j: F.transform(
+                            F.slice(s, st + 1, F.coalesce(F.get(starts, j + 1), F.size(s)) - st),
+                            lambda x, k: F.struct(
+                                x["w"].alias("w"), k.alias("k"), F.lit(side).alias("side"),
+                                (-x["at"]).alias("at"),
+                            ),
+                        ),
+                    )
+                ),
+            )
+
+        empty = F.array().cast("array<struct<w:bigint,k:int,side:int,at:int>>")
+        return F.when(F.size(items) > 0, let(placed, with_sorted)).otherwise(empty)
+
+    def met(m: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            before = F.get(m, i - 1)
+            return F.when(
+                (i > 0) & (before["w"] == x["w"]) & (before["k"] == x["k"]),
+                F.struct(before["at"].alias("a"), x["at"].alias("b")),
+            )
+
+        return F.sort_array(F.filter(F.transform(m, pair), lambda p: p.isNotNull()))
+
+    return let(F.sort_array(F.concat(numbered(a, 0), numbered(b, 1))), met)

@@ -7,44 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS_CONF = "revlens.skew.salts"
-DEFAULT_SALTS = 16
-
-
-def salt_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
-
-
-def salted_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    salts: int | None = None,
-) -> DataFrame:
-    """Equi join a large side with hot keys to a side that is narrow per key.
-
-    Rows of one key are dealt over ``salts`` partitions by the columns in
-    ``spread``; the other side is repeated once per salt. No row is dropped and
-    no side is hinted: adaptive execution still turns the join into a broadcast
-    when the measured size of the narrow side allows it.
-    """
-    n = salts or salt_count(facts)
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def hot_key_join(
     facts: DataFrame,
     dim: DataFrame,
     on: Sequence[str],
     counts: DataFrame,
     spread: Sequence[str],
+    *,
     both_large: bool = False,
 ) -> DataFrame:
-    """Left join like :func:`salted_join`, for a ``dim`` that is itself large.
+    """Left equi join of a large side that has hot keys with a narrower one.
+
+    Rows of a hot key are dealt over several salts by the columns in ``spread`` and
+    its ``dim`` rows are repeated once per salt; nothing else is repeated.
 
     ``counts`` has (on, n_rows): how many fact rows each key has. A key is hot
     when it alone exceeds the mean shuffle partition, and it is dealt over as many

@@ -2,19 +2,21 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import overlaps, pick_even, term_counts
+from revlens.functions.arrays import matched_from_end, overlaps, term_counts, word_ids
 from revlens.functions.text import strip, tokens
 from revlens.operators.lcs import rouge_l
 from revlens.operators.nearest_reference import best_reference
 from revlens.operators.overlap import bleu, meteor, rouge_n
-from revlens.operators.perplexity import perplexity, train
+from revlens.operators.perplexity import START, perplexity, train
 from revlens.operators.polarity import polarity
 from revlens.operators.soft_match import soft_match
+from revlens.sources import corpus
 
 rng = random.Random(7)
 
@@ -122,18 +124,47 @@ def test_arrays(pairs):
     for x in pairs.select("c", tokens(F.col("c")).alias("t")).collect():
         assert x.t == x.c.split()
     c, r = tokens(F.col("c")), tokens(F.col("r"))
-    for x in pairs.select("c", "r", overlaps(c, r).alias("o"), term_counts(r).alias("n")).collect():
+    for x in pairs.select("c", "r", overlaps(word_ids(c), word_ids(r)).alias("o"), term_counts(r).alias("n")).collect():
         a, b = Counter(x.c.split()), Counter(x.r.split())
         assert (x.o.common, x.o.clipped) == (len(a & b), sum((a & b).values()))
         assert {t.term: t.n for t in x.n} == dict(b)
 
 
-def test_pick_even_covers_the_whole_text(spark):
-    df = spark.createDataFrame([(list("abcdefghij"),)], "t array<string>")
-    got = df.select(
-        pick_even(F.col("t"), F.lit(5)), pick_even(F.col("t"), F.lit(99))
-    ).first()
-    assert got[0] == list("acegi") and got[1] == list("abcdefghij")
+def test_alignment_meets_occurrences_from_the_end(spark):
+    def brute(x, y):
+        free, out = list(range(len(y))), []
+        for i in reversed(range(len(x))):
+            at = [j for j in free if y[j] == x[i]]
+            if at:
+                out.append((i, at[-1]))
+                free.remove(at[-1])
+        return sorted(out)
+
+    rows = [("", ""), ("a", ""), ("a a b", "a b b"), ("a b a b", "b a b a a")]
+    rows += [tuple("".join(rng.choice("abc") + " " for _ in range(12)) for _ in range(2)) for _ in range(40)]
+    frame = spark.createDataFrame(rows, "c string, r string")
+    ids = [word_ids(tokens(F.col(x))) for x in ("c", "r")]
+    for x in frame.select("c", "r", matched_from_end(*ids).alias("m")).collect():
+        assert [(p.a, p.b) for p in x.m] == brute(x.c.split(), x.r.split())
+
+
+def test_long_texts_take_seconds(spark):
+    """Twenty thousand tokens a side: the metrics' work is not quadratic."""
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(900)], k=20_000))
+    frame = spark.createDataFrame([(text(1), text(2))], "c string, r string").cache()
+    frame.count()
+    c, r = F.col("c"), F.col("r")
+    for score in (meteor(c, r), rouge_n(c, r), bleu(c, r), rouge_l(c, r)):
+        start = time.monotonic()
+        assert frame.select(score).first()[0] is not None
+        assert time.monotonic() - start < 20
+
+
+def test_sentences_are_whole(spark):
+    rows = [("One two. Three!  \nfour five six? .. ", "four five six"), ("...", None), ("", None), ("a b", "a b")]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "review_id int, review string")
+    got = {r.review_id: r.reference_summary for r in corpus.reference_summaries(frame).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
 
 
 def test_strip_is_pythons(spark):
@@ -142,9 +173,9 @@ def test_strip_is_pythons(spark):
 
 
 def test_perplexity_by_hand(spark):
-    corpus = spark.createDataFrame([("a b a",), ("a c",)], "review string")
+    trained = spark.createDataFrame([("a b a",), ("a c",)], "review string")
     texts = spark.createDataFrame([(1, "a b"), (2, "z"), (3, "")], "id int, output string")
-    got = {r.id: r for r in perplexity(texts, train(corpus), ["id"]).collect()}
+    got = {r.id: r for r in perplexity(texts, train(trained), ["id"]).collect()}
     v, k = 3, 0.5
     want = math.exp(-(math.log((2 + k) / (2 + k * v)) + math.log((1 + k) / (2 + k * v))) / 2)
     assert got[1].perplexity == pytest.approx(want, abs=1e-6)
@@ -153,10 +184,10 @@ def test_perplexity_by_hand(spark):
 
 
 def test_perplexity_limit_only_when_asked(spark):
-    corpus = spark.createDataFrame([("a b c d",)], "review string")
+    trained = spark.createDataFrame([("a b c d",)], "review string")
     texts = spark.createDataFrame([(1, "a b c d")], "id int, output string")
-    assert perplexity(texts, train(corpus), ["id"]).first().n_tokens == 4
-    assert perplexity(texts, train(corpus), ["id"], limit=2).first().n_tokens == 2
+    assert perplexity(texts, train(trained), ["id"]).first().n_tokens == 4
+    assert perplexity(texts, train(trained), ["id"], limit=2).first().n_tokens == 2
 
 
 def test_polarity(spark):
@@ -206,3 +237,40 @@ def test_soft_match_both_plans_agree(spark):
     for i, score in small.items():
         assert large[i] == (None if score is None else pytest.approx(score, abs=1e-9))
     assert small[100] == pytest.approx(1.0) and small[101] is None
+
+
+def test_soft_match_with_odd_vectors(spark):
+    """Repeated, missing and incomplete vectors and unknown tokens: one answer."""
+    vectors = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [None, 1.0]), (None, [1.0, 1.0]),
+         (5, [float("nan"), 1.0]), (2, [1.0, 1.0])],
+        "vec_id bigint, embedding array<double>",
+    )
+    rows = [(0, [1, 2], [2, 1]), (1, [3, 1], [1, 4]), (2, [9], [1]), (3, [], [1]), (4, [2, 5, 9], [1, 2])]
+    pairs = spark.createDataFrame(rows, "id int, c_ids array<bigint>, r_ids array<bigint>")
+    scores = [
+        {r.id: round(r.soft_f1, 9) for r in soft_match(pairs, vectors, ["id"], **how).collect()}
+        for how in ({}, {"broadcast_limit": 0})
+    ]
+    assert scores[0] == scores[1]
+    assert scores[0][0] == scores[0][1] == 1.0 and scores[0][2] == scores[0][3] == 0.0
+
+
+def test_best_reference_with_null_and_repeated_numbers(spark):
+    refs = [("u", 1, None), ("u", 1, "good match here"), ("u", 1, "no"), ("u", None, "other words"),
+            (None, 1, "good match here"), ("u", 10**12, "good match here")]
+    replies = [(1, "u", "good match here"), (2, "u", "other words"), (3, None, "x"), (4, "v", "x")]
+    df = best_reference(
+        spark.createDataFrame(replies, "id int, user_name string, output string"),
+        spark.createDataFrame(refs, "user_name string, ref_no bigint, ref_text string"),
+        ["id"],
+    )
+    got = {r.id: (r.reference, r.ref_no) for r in df.collect()}
+    none = ("No reference available", None)
+    assert got == {1: ("good match here", 1), 2: ("other words", None), 3: none, 4: none}
+
+
+def test_a_token_is_never_the_start_mark(spark):
+    trained = train(spark.createDataFrame([("<s> a <s> b",)], "review string"))
+    assert trained.filter(F.col("prev") == START).count() == 1
+    assert " " in START
