@@ -1,16 +1,21 @@
 """Batch model calls: one client per partition and model, errors kept as data.
 
 The result is a call log. Calls cost money and may answer differently when
-repeated, so the log is written before anything reads it (:func:`log_calls`),
-and a rerun asks only for what the log lacks (:func:`pending`).
+repeated, so the log is written before anything reads it, in chunks of bounded
+size (:func:`infer_to_log`): a lost task repeats the calls of one chunk at most.
+A rerun asks only for what the log lacks (:func:`pending`), as a further attempt,
+and readers take one row per call key (:func:`latest_calls`).
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,77 +23,99 @@ from revlens import schemas
 from revlens.session import materialise
 from revlens.sources.catalog import MODELS, TASK_BY_NAME, UNSUPPORTED, Model
 
-Client = Callable[[pd.Series], tuple[str, int | None]]
+Client = Callable[[dict], tuple[str, int | None]]
 Factory = Callable[[str, str, int], Client]
+_LOG_COLUMNS = [c.strip().split(" ")[0] for c in schemas.CALL_LOG.split(",")]
+_ASKED = _LOG_COLUMNS[: _LOG_COLUMNS.index("raw_output")]
+
+
+def _ask(client: Client | str, request: dict) -> dict:
+    """One call as a log row; ``client`` is the message where there is none."""
+    row = {c: request.get(c) for c in _ASKED}
+    row |= {"raw_output": None, "completion_tokens": None, "elapsed_s": 0.0, "error": None}
+    if isinstance(client, str):
+        return row | {"error": client}
+    start = time.monotonic()
+    try:
+        text, reported = client(request)
+    except Exception as exc:  # noqa: BLE001 - any failure becomes a row
+        return row | {"error": str(exc) or type(exc).__name__}
+    elapsed = time.monotonic() - start
+    return row | {"raw_output": text, "completion_tokens": reported, "elapsed_s": elapsed}
 
 
 def _run_partition(
-    factories: Mapping[str, Factory], task: str, budget: int, pace: Mapping[str, float]
+    factories: Mapping[str, Factory],
+    task: str,
+    budget: int,
+    pace: Mapping[str, float],
+    shares: int,
+    at_once: int,
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``pace``: seconds between any two calls to a model; each of the ``shares``
+    partitions takes every shares-th slot, beginning with its own."""
+
+    def client_of(model: str | None) -> Client | str:
+        if model not in factories:
+            return UNSUPPORTED
+        try:
+            return factories[model](model, task, budget)
+        except Exception as exc:  # noqa: BLE001 - a missing key is an error of its rows
+            return str(exc) or type(exc).__name__
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clients: dict[str, Client] = {}
-        next_slot: dict[str, float] = {}
-        for batch in batches:
-            out = []
-            for model, rows in batch.groupby("model", sort=False):
-                if model in factories and model not in clients:
-                    clients[model] = factories[model](model, task, budget)
-                for _, row in rows.iterrows():
-                    text, reported, seconds, error = None, None, 0.0, None
+        clients: dict[str | None, Client | str] = {}
+        context = TaskContext.get()
+        turn = context.partitionId() % shares if context else 0
+        began, slots = time.monotonic(), dict.fromkeys(pace, turn)
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                requests = batch.astype(object).where(batch.notna(), None).to_dict("records")
+                asked = []
+                for request in requests:
+                    model = request["model"]
                     if model not in clients:
-                        error = UNSUPPORTED
-                    else:
-                        wait = next_slot.get(model, 0.0) - time.monotonic()
-                        if wait > 0:
-                            time.sleep(wait)
-                        start = time.monotonic()
-                        next_slot[model] = start + pace.get(model, 0.0)
-                        try:
-                            text, reported = clients[model](row)
-                            seconds = time.monotonic() - start
-                        except Exception as exc:  # noqa: BLE001 - any failure becomes a row
-                            error = str(exc)
-                    out.append(
-                        (
-                            task, row["dataset"], row["review_id"], model, row["user_name"],
-                            row["review_tokens"], row["input_tokens"], text, reported,
-                            seconds, error,
-                        )
-                    )
-            frame = pd.DataFrame(out, columns=_LOG_COLUMNS)
-            frame["completion_tokens"] = frame["completion_tokens"].astype("Int64")
-            yield frame
+                        clients[model] = client_of(model)
+                    if model in pace:
+                        time.sleep(max(0.0, began + slots[model] * pace[model] - time.monotonic()))
+                        slots[model] += shares
+                    asked.append(pool.submit(partial(_ask, clients[model], request | {"task": task})))
+                rows = [f.result() for f in asked]
+                frame = pd.DataFrame(rows, columns=_LOG_COLUMNS)
+                frame["completion_tokens"] = frame["completion_tokens"].astype("Int64")
+                yield frame
 
     return run
 
 
-_LOG_COLUMNS = [c.strip().split(" ")[0] for c in schemas.CALL_LOG.split(",")]
-
-
 def batch_infer(
     reqs: DataFrame,
     task: str,
     factories: Mapping[str, Factory],
     models: tuple[Model, ...] = MODELS,
     paced_partitions: int = 4,
+    at_once: int = 8,
 ) -> DataFrame:
     """Run every request through its model's client; lazily, as a DataFrame.
 
-    Models with a pace go to ``paced_partitions`` partitions, each waiting
-    pace * paced_partitions between calls, so that the summed rate holds however
-    many rows there are. The clock starts after the wait.
+    ``at_once`` calls of a partition are under way at a time. Models with a pace go
+    to ``paced_partitions`` partitions whose slots interleave, so that the summed
+    rate holds from the first call on, however many rows there are. The clock of a
+    call starts after the wait. A request without a model is answered by an error.
     """
-    paced = {m.model: m.pace_seconds * paced_partitions for m in models if m.pace_seconds > 0}
+    paced = {m.model: m.pace_seconds for m in models if m.pace_seconds > 0}
     budget = TASK_BY_NAME[task].max_tokens
-    run = _run_partition(dict(factories), task, budget, paced)
-    is_paced = F.col("model").isin(*paced) if paced else F.lit(False)
-    free = reqs.filter(~is_paced).mapInPandas(run, schemas.CALL_LOG)
+    run = partial(_run_partition, dict(factories), task, budget)
+    if "attempt" not in reqs.columns:
+        reqs = reqs.withColumn("attempt", F.lit(1))
+    is_paced = F.coalesce(F.col("model").isin(*paced), F.lit(False)) if paced else F.lit(False)
+    free = reqs.filter(~is_paced).mapInPandas(run({}, 1, at_once), schemas.CALL_LOG)
     if not paced:
         return free
     slow = (
         reqs.filter(is_paced)
         .repartition(paced_partitions, "review_id")
-        .mapInPandas(run, schemas.CALL_LOG)
+        .mapInPandas(run(paced, paced_partitions, at_once), schemas.CALL_LOG)
     )
     return free.unionByName(slow)
 
@@ -106,7 +133,51 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CALL_LOG).parquet(path)
 
 
+def latest_calls(log: DataFrame) -> DataFrame:
+    """One row per call key: a finished call before a failed one, then the latest
+    attempt. A partial aggregate, so a key tried often costs no window."""
+    rest = [c for c in _LOG_COLUMNS if c not in schemas.CALL_KEYS]
+    rank = F.struct(F.col("error").isNull().alias("_done"), "attempt", *[c for c in rest if c != "attempt"])
+    best = log.groupBy(*schemas.CALL_KEYS).agg(F.max(rank).alias("_best"))
+    return best.select(*[F.col(c if c in schemas.CALL_KEYS else f"_best.{c}").alias(c) for c in _LOG_COLUMNS])
+
+
+def _same_key(a: str, b: str):
+    out = F.lit(True)
+    for c in schemas.CALL_KEYS:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
 def pending(reqs: DataFrame, log: DataFrame) -> DataFrame:
-    """Requests without a finished call: an anti join on the call key."""
-    done = log.filter(F.col("error").isNull()).select(*schemas.CALL_KEYS)
-    return reqs.join(done, list(schemas.CALL_KEYS), "left_anti")
+    """Requests without a finished call, with the number of their next attempt."""
+    tried = log.groupBy(*schemas.CALL_KEYS).agg(
+        F.max("attempt").alias("_tried"), F.max(F.col("error").isNull()).alias("_done")
+    )
+    left = reqs.drop("attempt").alias("r").join(tried.alias("l"), _same_key("r", "l"), "left")
+    return left.filter(~F.coalesce("_done", F.lit(False))).select(
+        "r.*", (F.coalesce("_tried", F.lit(0)) + 1).alias("attempt")
+    )
+
+
+def infer_to_log(
+    reqs: DataFrame,
+    path: str,
+    task: str,
+    factories: Mapping[str, Factory],
+    models: tuple[Model, ...] = MODELS,
+    calls_per_commit: int = 100_000,
+    **how,
+) -> DataFrame:
+    """Ask what the log at ``path`` lacks, committing about ``calls_per_commit`` calls
+    at a time, and return the latest calls. Speculative tasks would pay twice."""
+    spark = reqs.sparkSession
+    if spark.conf.get("spark.speculation", "false") == "true":
+        raise RuntimeError("paid calls need spark.speculation=false")
+    append_log(spark.createDataFrame([], schemas.CALL_LOG), path)
+    due = materialise(pending(reqs, read_log(spark, path)), "due-calls")
+    chunks = -(-due.count() // calls_per_commit)
+    dealt = F.pmod(F.xxhash64(*schemas.CALL_KEYS), F.lit(max(1, chunks)))
+    for chunk in range(chunks):
+        append_log(batch_infer(due.filter(dealt == chunk), task, factories, models, **how), path)
+    return latest_calls(read_log(spark, path))

@@ -6,6 +6,8 @@ the fan-out; only its count travels with the seven call rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,16 @@ def _isolated(parts: list[tuple[str, str]]) -> bool:
     return True
 
 
-def prompt_tokens(template: str) -> Column:
-    """Tokens of the rendered prompt; adds up part counts where that is exact."""
+TokenCounter = Callable[[Column], Column]
+
+
+def prompt_tokens(template: str, counter: TokenCounter = count_tokens) -> Column:
+    """Tokens of the rendered prompt. ``counter`` is any function from a text column to a
+    count (a subword vocabulary's, say); white-space tokens are counted by default and
+    then, where that is exact, part by part."""
     parts = prompts.pieces(template)
-    if not _isolated(parts):
-        return count_tokens(prompts.render(template))
+    if counter is not count_tokens or not _isolated(parts):
+        return counter(prompts.render(template))
     fixed = sum(len(v.split()) for kind, v in parts if kind == "text")
     total = F.lit(fixed).cast("bigint")
     for kind, v in parts:
@@ -52,13 +59,14 @@ def requests(
     task: str,
     version: int = 1,
     models: tuple[str, ...] = MODEL_NAMES,
+    counter: TokenCounter = count_tokens,
 ) -> DataFrame:
     """One request per (row, model) with its prompt and input token count."""
     template = prompts.TEMPLATES[(task, version)]
     ready = with_prompt(rows, task, version).select(
         "task", "dataset", "review_id", "user_name", "review", "prompt",
-        count_tokens(F.col("review")).alias("review_tokens"),
-        prompt_tokens(template).alias("input_tokens"),
+        counter(F.col("review")).alias("review_tokens"),
+        prompt_tokens(template, counter).alias("input_tokens"),
         *[c for c in ("label",) if c in rows.columns],
     )
     return fan_out(ready, models)

@@ -21,9 +21,9 @@ MODELS = (
 TASKS = "task string, max_tokens int, temperature double, lower_output boolean"
 CALL_KEYS = ("task", "dataset", "review_id", "model")
 CALL_LOG = (
-    "task string, dataset string, review_id bigint, model string, user_name string, "
-    "review_tokens bigint, input_tokens bigint, raw_output string, "
-    "completion_tokens bigint, elapsed_s double, error string"
+    "task string, dataset string, review_id bigint, model string, attempt int, "
+    "user_name string, prompt string, review_tokens bigint, input_tokens bigint, "
+    "raw_output string, completion_tokens bigint, elapsed_s double, error string"
 )
 CHAT_RESPONSE = (
     "choices array<struct<message:struct<content:string>>>, "

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from revlens.functions.skew import hot_key_join, salted_join
+from revlens.functions.skew import hot_key_join
 from revlens.operators import by_text, classification, infer, prompting, reports, scoring, unify
 from revlens.operators.backends import offline_calls, python_backend
 from revlens.operators.noise import REPLACEMENTS, add_noise
@@ -125,11 +125,9 @@ def test_joins_survive_a_hot_key(spark):
     )
     dim = facts.select("k").distinct().filter("k != 'k0'").withColumn("v", F.length("k"))
     plain = sorted(map(tuple, facts.join(dim, "k", "left").select("id", "k", "v").collect()))
-    salted = salted_join(facts, dim, ["k"], ["id"], salts=5).select("id", "k", "v")
     counts = facts.groupBy("k").agg(F.count("*").alias("n_rows"))
-    assert sorted(map(tuple, salted.collect())) == plain
     for large in (False, True):
-        hot = hot_key_join(facts, dim, ["k"], counts, ["id"], large).select("id", "k", "v")
+        hot = hot_key_join(facts, dim, ["k"], counts, ["id"], both_large=large).select("id", "k", "v")
         assert sorted(map(tuple, hot.collect())) == plain
 
 
@@ -171,6 +169,12 @@ def test_token_count_by_parts_is_exact(rows, task):
     assert all(r.input_tokens == len(r.prompt.split()) for r in reqs)
 
 
+def test_another_token_counter(rows):
+    reqs = prompting.requests(rows, "summary", counter=lambda text: F.length(text).cast("bigint"))
+    got = reqs.select("prompt", "review", "input_tokens", "review_tokens").collect()
+    assert all((r.input_tokens, r.review_tokens) == (len(r.prompt), len(r.review)) for r in got)
+
+
 def test_messages_by_chat_style(rows):
     got = prompting.messages(prompting.requests(rows.limit(1), "response", 2)).collect()
     roles = {r.model: [m.role for m in r.messages] for r in got}
@@ -235,6 +239,89 @@ def test_batch_errors_pace_and_rerun(spark, rows, tmp_path):
     assert sorted(map(tuple, left)) == [("ghost", 0), ("ghost", 1), ("ghost", 2), ("ghost", 3), ("paced", 1)]
 
 
+def test_rerun_counts_each_call_once(spark, rows, tmp_path):
+    """The first attempt of one review fails; the rerun asks for it alone, and a
+    leaderboard over the log sees one row for each call."""
+
+    def flaky(model, task, budget):
+        def call(request):
+            if request["attempt"] == 1 and request["review_id"] == 1:
+                raise RuntimeError("boom")
+            return "positive", None
+
+        return call
+
+    reqs = prompting.requests(rows.filter("review_id < 4"), "sentiment", models=("m",))
+    path = str(tmp_path / "log")
+    first = infer.infer_to_log(reqs, path, "sentiment", {"m": flaky}, (), calls_per_commit=2)
+    assert sorted((r.review_id, r.error) for r in first.collect()) == [(0, None), (1, "boom"), (2, None), (3, None)]
+    again = infer.infer_to_log(reqs, path, "sentiment", {"m": flaky}, ())
+    assert sorted((r.review_id, r.attempt, r.error) for r in again.collect()) == [
+        (0, 1, None), (1, 2, None), (2, 1, None), (3, 1, None),
+    ]
+    log = infer.read_log(spark, path)
+    assert log.count() == 5 and infer.pending(reqs, log).count() == 0
+    assert all(r.prompt for r in log.collect())
+
+
+def test_a_failing_factory_and_missing_models_become_rows(spark, rows):
+    def no_key(model, task, budget):
+        raise KeyError("API key")
+
+    reqs = prompting.requests(rows.filter("review_id < 3"), "sentiment", models=("m",))
+    reqs = reqs.unionByName(reqs.withColumn("model", F.lit(None).cast("string")))
+    for models in ((), (Model("m", Decimal(1), Decimal(1), 0.01, "clean", "user"),)):
+        got = infer.batch_infer(reqs, "sentiment", {"m": no_key}, models).collect()
+        assert len(got) == 6
+        assert {(r.model, r.error) for r in got} == {("m", "'API key'"), (None, "Unsupported model")}
+
+
+def test_paced_partitions_take_turns(spark, rows, tmp_path):
+    stamps = str(tmp_path)
+
+    def timed(model, task, budget):
+        def call(request):
+            with open(f"{stamps}/{request['review_id']}", "w") as f:
+                f.write(str(time.monotonic()))
+            return "positive", None
+
+        return call
+
+    reqs = prompting.requests(rows.filter("review_id < 12"), "sentiment", models=("paced",))
+    paced = (Model("paced", Decimal(1), Decimal(1), 0.3, "clean", "user"),)
+    infer.batch_infer(reqs, "sentiment", {"paced": timed}, paced, paced_partitions=2).collect()
+    times = sorted(float(p.read_text()) for p in tmp_path.iterdir())
+    assert len(times) == 12
+    assert all(b - a >= 0.25 for a, b in zip(times[::2], times[2::2]))  # no opening burst
+
+
+def test_calls_of_a_partition_run_side_by_side(spark, rows):
+    def slow(model, task, budget):
+        return lambda request: (time.sleep(0.2), ("positive", None))[1]
+
+    reqs = prompting.requests(rows.filter("review_id < 16"), "sentiment", models=("m",)).coalesce(1)
+    start = time.monotonic()
+    assert infer.batch_infer(reqs, "sentiment", {"m": slow}, (), at_once=16).count() == 16
+    assert time.monotonic() - start < 16 * 0.2
+
+
+def test_exports_without_ids(spark):
+    """Equal rows are one review with a number of copies, others keep apart."""
+    google = spark.sql(
+        "SELECT * FROM VALUES (timestamp_ntz'2025-03-01 10:00:00', 'ann', 'fine', NULL),"
+        "(timestamp_ntz'2025-03-01 10:00:00', 'ann', 'fine', 'thanks'),"
+        "(timestamp_ntz'2025-03-01 10:00:01', 'ann', 'fine', NULL) t(at, userName, content, replyContent)"
+    )
+    apple = spark.sql(
+        "SELECT * FROM VALUES (timestamp_ntz'2025-03-01 10:00:00', 'ann', 'fine') t(date, userName, review)"
+    )
+    got = unify.unify_by_content(google, apple).collect()
+    assert sorted((r.platform, r.copies, r.is_replied) for r in got) == [
+        ("App Store", 1, "No"), ("Google Play", 1, "No"), ("Google Play", 2, "Yes"),
+    ]
+    assert len({r.review_key for r in got}) == 3
+
+
 def _priced(spark, calls):
     schema = (
         "task string, model string, input_tokens bigint, raw_output string, "
