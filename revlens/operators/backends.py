@@ -11,22 +11,23 @@ a Python callable for the batch operator (:func:`python_backend`).
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import pick_even
+from revlens.functions.arrays import let
 from revlens.functions.hashing import h32
-from revlens.functions.text import tokens
+from revlens.functions.text import count_tokens, strip, tokens
 from revlens.operators.prompting import prompt_tokens
 from revlens.sources import prompts
+from revlens.sources.corpus import SENTENCE_END, sentences
 from revlens.sources.catalog import (
     LABELS,
     MODEL_NAMES,
     MODELS,
-    TASK_BY_NAME,
     fan_out,
 )
 
@@ -76,16 +77,25 @@ def _sentiment(h: Column) -> Column:
     )
 
 
-def _summary(h: Column, budget: int) -> Column:
-    picked = pick_even(F.col("_toks"), F.least(10 + h % 20, F.lit(budget)))
-    return F.concat(F.lit(" "), F.array_join(picked, " "), F.lit("\n"))
+def _quoted(h: Column, extra: Column) -> Column:
+    """One whole sentence of the review, or two in reading order; empty without any."""
 
+    def of(s: Column) -> Column:
+        one, two = h % F.size(s), (h + extra) % F.size(s)
+        places = F.array_distinct(F.array(F.least(one, two), F.greatest(one, two)))
+        return F.array_join(F.transform(places, lambda i: strip(F.get(s, i.cast("int")))), ". ")
 
-def _response(h: Column, budget: int) -> Column:
-    picked = pick_even(F.col("_toks"), F.least(8 + h % 8, F.lit(budget - 4)))
+    return F.when(F.size("_sentences") > 0, let(F.col("_sentences"), of)).otherwise("")
+
+
+def _summary(h: Column) -> Column:
+    return F.concat(F.lit(" "), _quoted(h, h % 3), F.lit("\n"))
+
+
+def _response(h: Column) -> Column:
     return F.concat(
         F.lit("Dear "), F.col("user_name"), F.lit(", thank you. "),
-        F.array_join(picked, " "), F.lit("  "),
+        _quoted(h, h % 2), F.lit("  "),
     )
 
 
@@ -98,13 +108,13 @@ def offline_calls(
     """The call log of one task over ``rows`` (dataset, review_id, user_name,
     review and, for sentiment, label), without leaving the JVM."""
     template = prompts.TEMPLATES[(task, version)]
-    budget = TASK_BY_NAME[task].max_tokens
     extra = ["label"] if "label" in rows.columns else []
     ready = rows.select(
         F.lit(task).alias("task"), "dataset", "review_id", "user_name", *extra,
-        tokens(F.col("review")).alias("_toks"),
+        count_tokens(F.col("review")).alias("review_tokens"),
+        *([] if task == "sentiment" else [sentences(F.col("review")).alias("_sentences")]),
         prompt_tokens(template).alias("input_tokens"),
-    ).withColumn("review_tokens", F.size("_toks").cast("bigint"))
+    )
     calls = fan_out(ready, models).withColumn(
         "_h", h32(F.col("task"), F.col("dataset"), F.col("model"), F.col("review_id"))
     )
@@ -112,8 +122,8 @@ def offline_calls(
     failed = h % 97 == 3
     answer = {
         "sentiment": lambda: _sentiment(h),
-        "summary": lambda: _summary(h, budget),
-        "response": lambda: _response(h, budget),
+        "summary": lambda: _summary(h),
+        "response": lambda: _response(h),
     }[task]()
     calls = calls.withColumn("raw_output", F.when(~failed, answer))
     return calls.select(
@@ -129,7 +139,7 @@ def offline_calls(
     )
 
 
-def _answer(task: str, key: str, model: str, dataset: str, row: dict, budget: int) -> str:
+def _answer(task: str, key: str, model: str, dataset: str, row: dict) -> str:
     h = int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
     if h % 97 == 3:
         raise TimeoutError(BACKEND_ERROR)
@@ -147,10 +157,9 @@ def _answer(task: str, key: str, model: str, dataset: str, row: dict, budget: in
         if h % 41 == 5:
             return f"{base} rather than {LABELS[h % 3]}"
         return (f"  {base.capitalize()}.\n", f"Sentiment: {base.upper()}!", base)[h % 3]
-    toks = row["review"].split()
-    want = min(10 + h % 20, budget) if task == "summary" else min(8 + h % 8, budget - 4)
-    k = min(want, len(toks))
-    picked = " ".join(toks[i * len(toks) // k] for i in range(k))
+    told = [s for s in re.split(SENTENCE_END, row["review"]) if s.split()]
+    places = {h % len(told), (h + h % (3 if task == "summary" else 2)) % len(told)} if told else ()
+    picked = ". ".join(told[i].strip() for i in sorted(places))
     if task == "summary":
         return f" {picked}\n"
     return f"Dear {row['user_name']}, thank you. {picked}  "
@@ -163,7 +172,7 @@ def python_backend(model: str, task: str, max_tokens: int) -> Callable[[pd.Serie
     def call(row: pd.Series) -> tuple[str, int | None]:
         data = {k: (None if pd.isna(v) else v) for k, v in row.items()}
         key = f"{task}:{data['dataset']}:{model}:{data['review_id']}"
-        text = _answer(task, key, model, data["dataset"], data, max_tokens)
+        text = _answer(task, key, model, data["dataset"], data)
         return text, len(text.split()) + 2 if model in REPORTED else None
 
     return call

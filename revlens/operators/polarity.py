@@ -1,8 +1,8 @@
 """Polarity of a text: the mean polarity of its words that a lexicon knows.
 
 The lexicon is a table (word, polarity). Each text's words are counted inside its
-row, matched by a salted join (frequent words are the hot keys of any corpus) and
-averaged in fixed point; a text without a hit has polarity 0.
+row, matched by a join that spreads the words measured as hot (a frequent word is in
+every text) and averaged in fixed point; a text without a hit has polarity 0.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.arrays import term_counts
 from revlens.functions.numeric import micros, r6
-from revlens.functions.skew import salted_join
+from revlens.functions.skew import hot_key_join
 from revlens.functions.text import words
 
 
@@ -47,7 +47,8 @@ def polarity(
         *key, F.explode_outer(term_counts(words(F.col(text)))).alias("_t")
     ).select(*key, F.col("_t.term").alias("word"), F.col("_t.n").alias("_times"))
     priced = lexicon.select("word", micros(F.col("polarity")).alias("_micro"))
-    met = salted_join(counted, priced, ["word"], key)
+    uses = counted.groupBy("word").agg(F.count("*").alias("n_rows"))
+    met = hot_key_join(counted, priced, ["word"], uses, key)
     hits = F.sum(F.when(F.col("_micro").isNotNull(), F.col("_times")).otherwise(0))
     total = F.sum(F.coalesce(F.col("_micro") * F.col("_times"), F.lit(0)))
     return (

@@ -50,6 +50,35 @@ def unify(google: DataFrame, appstore: DataFrame, titles: bool = False) -> DataF
     return unify_google(google, titles).unionByName(unify_appstore(appstore, titles))
 
 
+def unify_by_content(google: DataFrame, appstore: DataFrame) -> DataFrame:
+    """Exports without ids as one table: ``review_key`` is a 128-bit digest of platform,
+    user, time and text, and rows equal in all four are one review with a number of
+    ``copies`` (answered if any of them is). A partial aggregate; no row is lost."""
+    sides = [
+        google.select(
+            F.lit("Google Play").alias("platform"), F.col("userName").alias("user_name"),
+            F.col("at").alias("_when"), F.col("content").alias("review"),
+            F.when(F.col("replyContent").isNotNull(), "Yes").otherwise("No").alias("is_replied"),
+        ),
+        appstore.select(
+            F.lit("App Store").alias("platform"), F.col("userName").alias("user_name"),
+            F.col("date").alias("_when"), "review", F.lit("No").alias("is_replied"),
+        ),
+    ]
+    what = ("platform", "user_name", "_when", "review")
+    stamp = F.date_format("_when", "yyyy-MM-dd HH:mm:ss")
+    key = F.md5(F.concat_ws("\x1f", "platform", "user_name", stamp, "review"))
+    return (
+        sides[0].unionByName(sides[1])
+        .groupBy(*what)
+        .agg(F.max("is_replied").alias("is_replied"), F.count("*").alias("copies"))
+        .select(
+            key.alias("review_key"), F.to_date("_when").alias("date"), "user_name", "platform",
+            "review", "is_replied", "copies",
+        )
+    )
+
+
 def sample_per_platform(reviews: DataFrame, n: int = 5) -> DataFrame:
     """The n newest reviews of each platform, App Store first.
 
