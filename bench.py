@@ -1,7 +1,7 @@
 """Wall time of the headline queries; prints one JSON line.
 
 BENCH_SF_DIR picks the tables, BENCH_CPUS the local cores, BENCH_QUERIES a
-comma-separated selection.
+comma-separated selection, BENCH_SHARED_DIR the folder for written intermediates.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from revlens.plans.registry import all_queries  # noqa: E402
 from revlens.session import local_session  # noqa: E402
+from revlens.sources.corpus import READ_PARTITIONS  # noqa: E402
 
 
 HEADLINE = (
@@ -30,7 +32,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = os.environ.get("BENCH_QUERIES")
-    spark = local_session("revlens-bench", cpus)
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="revlens-bench-")
+    spark = local_session("revlens-bench", cpus, spark__checkpoint__dir=shared)
+    # the tables are single files that cannot be split: deal them out over the cores
+    spark.conf.set(READ_PARTITIONS, str(cpus))
     queries = all_queries()
     names = wanted.split(",") if wanted else list(HEADLINE)
     spark.range(1000).selectExpr("sum(id)").collect()

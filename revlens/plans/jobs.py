@@ -84,14 +84,17 @@ def summary_pairs(
 
 
 def response_pairs(
-    calls: DataFrame, reference_responses: DataFrame, word_ids: WordIds | None = None
+    calls: DataFrame,
+    reference_responses: DataFrame,
+    word_ids: WordIds | None = None,
+    rows_per_user: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate reply and the best of its user's references."""
     if word_ids is None:
-        return best_reference(calls, reference_responses, KEY)
+        return best_reference(calls, reference_responses, KEY, rows_per_user=rows_per_user)
     refs = reference_responses.withColumn("r_ids", word_ids(F.col("ref_text")))
     stock = F.when(F.col("reference").isNotNull(), word_ids(F.lit(NO_REFERENCE)))
-    pairs = best_reference(calls, refs, KEY)
+    pairs = best_reference(calls, refs, KEY, rows_per_user=rows_per_user)
     return pairs.withColumn("r_ids", F.coalesce("r_ids", stock))
 
 

@@ -44,11 +44,24 @@ def r6(x: str) -> str:
     return f"floor(({x})::DOUBLE * 1e6 + 0.5) / 1e6"
 
 
-def pick(ts: str, k: str) -> str:
-    m = f"least({k}, len({ts}))"
+def sents(x: str) -> str:
     return (
-        f"array_to_string(list_transform(range(0, {m}), "
-        f"lambda i: {ts}[1 + (i * len({ts})) // {m}]), ' ')"
+        f"list_filter(regexp_split_to_array({x}, '{corpus.SENTENCE_END}'), "
+        f"lambda s: regexp_matches(s, '[^{WS_CLASS}]'))"
+    )
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, {q(WS_CHARS)})"
+
+
+def quoted(extra: str) -> str:
+    """One whole sentence of ``ss``, or two in reading order."""
+    one, two = "h % len(ss)", f"(h + {extra}) % len(ss)"
+    return (
+        f"CASE WHEN len(ss) = 0 THEN '' WHEN {one} = {two} THEN {strip(f'ss[1 + {one}]')} "
+        f"ELSE {strip(f'ss[1 + least({one}, {two})]')} || '. ' || "
+        f"{strip(f'ss[1 + greatest({one}, {two})]')} END"
     )
 
 
@@ -59,22 +72,24 @@ def part(name: str, sql: str, *needs: str) -> None:
     PARTS[name] = (needs, sql)
 
 
-def build(final: str, *needs: str) -> str:
+def build(final: str, *needs: str, instead: dict[str, str] | None = None) -> str:
+    """``instead`` puts the named parts in the places of others."""
+    parts = PARTS | {name: PARTS[other] for name, other in (instead or {}).items()}
     seen: list[str] = []
 
     def visit(name: str) -> None:
         if name in seen:
             return
-        for dep in PARTS[name][0]:
+        for dep in parts[name][0]:
             visit(dep)
         seen.append(name)
 
     for n in needs:
         visit(n)
-    body = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in seen if n != "lcs_steps")
+    body = ",\n".join(f"{n} AS MATERIALIZED ({parts[n][1]})" for n in seen if n != "lcs_steps")
     recursive = ""
     if "lcs_steps" in seen:
-        body = ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in seen)
+        body = ",\n".join(f"{n} AS ({parts[n][1]})" for n in seen)
         recursive = "RECURSIVE "
     return f"WITH {recursive}{body}\n{final}"
 
@@ -110,9 +125,11 @@ part(
 )
 part(
     "reference_summaries",
-    f"""SELECT review_id, CASE WHEN len(ts) > 0 THEN lower({pick("ts", "20")}) END
-          AS reference_summary
-        FROM (SELECT review_id, {toks("review")} AS ts FROM reviews)""",
+    f"""SELECT r.review_id, {strip("best")} AS reference_summary FROM reviews r LEFT JOIN (
+          SELECT review_id, arg_max(s, len(list_distinct({toks("s")})) * 1000000 - i) AS best
+          FROM (SELECT review_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i
+                FROM (SELECT review_id, {sents("lower(review)")} AS ss FROM reviews))
+          GROUP BY review_id) b ON b.review_id = r.review_id""",
     "reviews",
 )
 part(
@@ -121,6 +138,20 @@ part(
        FROM conversations WHERE role = 'assistant'""",
 )
 
+# Whole turns: a user's and the assistant's that follows it.
+part(
+    "turn_pairs",
+    """SELECT 'turn' AS task, u.conv_id AS review_id, u.turn::VARCHAR AS model,
+         a.text AS output, u.text AS reference
+       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+       WHERE u.role = 'user' AND a.role = 'assistant'""",
+)
+part(
+    "turn_outputs",
+    "SELECT task, review_id, model, output AS out_text FROM turn_pairs WHERE output IS NOT NULL",
+    "turn_pairs",
+)
+
 # --- noise: explode characters and draws, join, aggregate -------------------------
 
 part(
@@ -186,12 +217,10 @@ _REPORTED = "output_count = 'reported'"
 
 
 def _answer(task: str) -> str:
-    budget = TASK_BY_NAME[task].max_tokens
     if task == "summary":
-        return f"' ' || {pick('ts', f'least(10 + h % 20, {budget})')} || chr(10)"
+        return f"' ' || ({quoted('h % 3')}) || chr(10)"
     if task == "response":
-        body = pick("ts", f"least(8 + h % 8, {budget - 4})")
-        return f"'Dear ' || user_name || ', thank you. ' || {body} || '  '"
+        return f"'Dear ' || user_name || ', thank you. ' || ({quoted('h % 2')}) || '  '"
     points = f"(skill - CASE WHEN dataset = 'noisy' THEN {backends.NOISE_PENALTY} ELSE 0 END)"
     base = (
         f"CASE WHEN label IS NULL THEN {_LABEL_LIST}[(1 + h % 3)::INTEGER] "
@@ -239,10 +268,10 @@ def calls_part(
             SELECT *, CASE WHEN h % 97 = 3 THEN NULL ELSE {_answer(task)} END AS raw_output,
                    CASE WHEN h % 97 = 3 THEN {q(backends.BACKEND_ERROR)} END AS err0
             FROM (
-              SELECT {q(task)} AS task, dataset, review_id, user_name, label, ts,
+              SELECT {q(task)} AS task, dataset, review_id, user_name, label, ss,
                      len(ts) AS review_tokens, input_tokens, m.*,
                      {h(f"{q(task + ':')} || dataset || ':' || m.model || ':' || review_id")} AS h
-              FROM (SELECT *, {toks("review")} AS ts,
+              FROM (SELECT *, {toks("review")} AS ts, {sents("review")} AS ss,
                            len({toks(render_sql(TEMPLATES[(task, version)]))}) AS input_tokens
                     FROM {rows})
               CROSS JOIN (SELECT * FROM models{extra}) m))))"""
@@ -427,11 +456,27 @@ part(
 
 # The textbook table of the longest common subsequence, one candidate token per
 # step; the row maximum so far is a window over reference positions.
+# Tokens that the other side lacks, and a common start or end, are set aside first:
+# the former add nothing, the latter add their length.
+def _agreeing(a: str, b: str) -> str:
+    least = f"least(len({a}), len({b}))"
+    differ = f"list_position(list_transform(range(1, {least} + 1), lambda i: {a}[i] = {b}[i]), FALSE)"
+    return f"coalesce(nullif({differ}, 0) - 1, {least})"
+
+
 part(
     "lcs_pairs",
-    f"""SELECT row_number() OVER () AS pid, {_K}, cs, rs FROM
-        (SELECT {_K}, {rouge_toks("output")} AS cs, {rouge_toks("reference")} AS rs
-         FROM pairs WHERE reference IS NOT NULL)""",
+    f"""SELECT pid, {_K}, n_c, n_r, head + tail AS sure, cs[head + 1:len(cs) - tail] AS cs,
+          rs[head + 1:len(rs) - tail] AS rs
+        FROM (SELECT *, {_agreeing("list_reverse(cs[head + 1:])", "list_reverse(rs[head + 1:])")} AS tail
+              FROM (SELECT *, {_agreeing("cs", "rs")} AS head
+                    FROM (SELECT pid, {_K}, len(c0) AS n_c, len(r0) AS n_r,
+                            list_filter(c0, lambda x: list_contains(shared, x)) AS cs,
+                            list_filter(r0, lambda x: list_contains(shared, x)) AS rs
+                          FROM (SELECT *, list_intersect(c0, r0) AS shared
+                                FROM (SELECT row_number() OVER () AS pid, {_K},
+                                        {rouge_toks("output")} AS c0, {rouge_toks("reference")} AS r0
+                                      FROM pairs WHERE reference IS NOT NULL)))))""",
     "pairs",
 )
 part(
@@ -452,7 +497,7 @@ part(
 )
 part(
     "lcs",
-    f"""SELECT p.task, p.review_id, p.model, len(cs) AS c, len(rs) AS r, coalesce(l.v, 0) AS ov
+    f"""SELECT p.task, p.review_id, p.model, n_c AS c, n_r AS r, sure + coalesce(l.v, 0) AS ov
         FROM lcs_pairs p LEFT JOIN (SELECT pid, max(v) AS v FROM lcs_steps GROUP BY pid) l
           ON l.pid = p.pid""",
     "lcs_pairs", "lcs_steps",
@@ -730,6 +775,36 @@ _MESSAGE = f"""SELECT review_id, model, pos::BIGINT AS pos, role, md5(content) A
           WHERE chat_style = 'system_user')"""
 
 
+def _board_without_times() -> str:
+    """Response times come from a clock where calls are really made."""
+    return build("SELECT * EXCLUDE (total_response_time) FROM board", "board")
+
+
+def _text_metrics(suffix: str = "", instead: dict[str, str] | None = None) -> dict[str, str]:
+    ids = _K
+    return {
+        f"rouge_n{suffix}": build(
+            f"""SELECT {ids}, max(f_set) FILTER (n = 1) AS rouge_1_set,
+                  max(f_multiset) FILTER (n = 1) AS rouge_1_multiset,
+                  max(f_set) FILTER (n = 2) AS rouge_2_set,
+                  max(f_multiset) FILTER (n = 2) AS rouge_2_multiset
+                FROM rouge_f GROUP BY ALL""",
+            "rouge_f", instead=instead,
+        ),
+        f"rouge_l{suffix}": build(
+            f"""SELECT p.task, p.review_id, p.model, CASE WHEN l.c IS NOT NULL
+                  THEN {r6(_f("l.ov", "l.c", "l.r"))} END AS rouge_l
+                FROM pairs p LEFT JOIN lcs l
+                  ON l.task = p.task AND l.review_id = p.review_id AND l.model = p.model""",
+            "pairs", "lcs", instead=instead,
+        ),
+        f"bleu{suffix}": build(f"SELECT {ids}, {r6('bleu')} AS bleu FROM bleu_f", "bleu_f", instead=instead),
+        f"meteor{suffix}": build(f"SELECT {ids}, {r6('meteor')} AS meteor FROM meteor_f", "meteor_f", instead=instead),
+        f"soft_match_f1{suffix}": build(f"SELECT {ids}, {r6('soft_f1')} AS soft_f1 FROM soft_f", "soft_f", instead=instead),
+        f"perplexity{suffix}": build("SELECT * FROM ppl", "ppl", instead=instead),
+    }
+
+
 def all_sql() -> dict[str, str]:
     confusion_columns = ", ".join(
         f"count(*) FILTER (prediction = {q(x)}) AS pred_{x}" for x in (*LABELS, ERROR_LABEL)
@@ -827,6 +902,15 @@ def all_sql() -> dict[str, str]:
             f"SELECT dataset, model, label, {confusion_columns} FROM s_eval GROUP BY ALL", "s_eval"
         ),
         "sentiment_leaderboard": build("SELECT * FROM board", "board"),
+        "sentiment_leaderboard_from_log": _board_without_times(),
+        "rerun_leaderboard": _board_without_times(),
+        "reviews_without_id": build(
+            f"""SELECT md5(concat_ws(chr(31), platform, user_name, {_DAY} || ' 12:00:00', review)) AS review_key,
+                  {_DAY} AS date, user_name, platform, review, max(is_replied) AS is_replied,
+                  count(*) AS copies
+                FROM reviews WHERE lang = 'en' GROUP BY ALL""",
+            "reviews",
+        ),
         "model_rank": build(
             """SELECT dataset, model, f1, rank() OVER (PARTITION BY dataset ORDER BY f1 DESC)
                  AS model_rank FROM board""",
@@ -849,25 +933,9 @@ def all_sql() -> dict[str, str]:
         ),
         "summary_wide": _wide("c_summary", "review_id", "output"),
         "response_wide": _wide("c_response", "review_id", "output"),
-        "rouge_n": build(
-            f"""SELECT {ids}, max(f_set) FILTER (n = 1) AS rouge_1_set,
-                  max(f_multiset) FILTER (n = 1) AS rouge_1_multiset,
-                  max(f_set) FILTER (n = 2) AS rouge_2_set,
-                  max(f_multiset) FILTER (n = 2) AS rouge_2_multiset
-                FROM rouge_f GROUP BY ALL""",
-            "rouge_f",
-        ),
-        "rouge_l": build(
-            f"""SELECT p.task, p.review_id, p.model, CASE WHEN l.c IS NOT NULL
-                  THEN {r6(_f("l.ov", "l.c", "l.r"))} END AS rouge_l
-                FROM pairs p LEFT JOIN lcs l
-                  ON l.task = p.task AND l.review_id = p.review_id AND l.model = p.model""",
-            "pairs", "lcs",
-        ),
-        "bleu": build(f"SELECT {ids}, {r6('bleu')} AS bleu FROM bleu_f", "bleu_f"),
-        "meteor": build(f"SELECT {ids}, {r6('meteor')} AS meteor FROM meteor_f", "meteor_f"),
-        "soft_match_f1": build(f"SELECT {ids}, {r6('soft_f1')} AS soft_f1 FROM soft_f", "soft_f"),
-        "perplexity": build("SELECT * FROM ppl", "ppl"),
+        **_text_metrics(),
+        **_text_metrics("_turns", {"pairs": "turn_pairs", "outputs": "turn_outputs"}),
+        "soft_match_joined": _text_metrics()["soft_match_f1"],
         "best_reference": build(
             f"""SELECT review_id, model, reference, ref_no, {r6("similarity")} AS similarity
                 FROM best""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from revlens.functions.text import count_tokens, tokens
 from revlens.operators import by_text as texts
 from revlens.operators import classification, prompting, reports, scoring, unify
 from revlens.operators.backends import offline_calls, python_backend
-from revlens.operators.infer import batch_infer, log_calls, pending
+from revlens.operators.infer import batch_infer, infer_to_log, log_calls, pending
 from revlens.operators.lcs import rouge_l
 from revlens.operators.nearest_reference import best_reference
 from revlens.operators.noise import add_noise
@@ -22,9 +23,10 @@ from revlens.operators.perplexity import perplexity
 from revlens.operators.polarity import lexicon_from_labels, polarity
 from revlens.operators.soft_match import soft_match
 from revlens.plans import jobs
-from revlens.session import materialise, ship_package
+from revlens.session import materialise, new_table_path, ship_package
 from revlens.sources import corpus
-from revlens.sources.catalog import MODEL_NAMES, models_table, tasks_table
+from revlens.sources.prompts import TEMPLATES, render
+from revlens.sources.catalog import MODEL_NAMES, MODELS, models_table, tasks_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -97,7 +99,14 @@ def _summary_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
 
 def _response_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
     refs = corpus.reference_responses(spark, sf)
-    return jobs.response_pairs(_responses(spark, sf), refs, ids)
+    return jobs.response_pairs(_responses(spark, sf), refs, ids, _replies_per_user(spark, sf))
+
+
+def _replies_per_user(spark: SparkSession, sf: str) -> DataFrame:
+    """How many replies each user gets: open reviews times models, before the fan-out."""
+    open_reviews = unify.unreplied(_customer(spark, sf))
+    n = (F.count("*") * len(MODEL_NAMES)).alias("n_rows")
+    return open_reviews.groupBy("user_name").agg(n)
 
 
 def _pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
@@ -125,6 +134,15 @@ def reviews_unified(spark, sf):
     return present(jobs.extract(corpus.raw_google(spark, sf), corpus.raw_appstore(spark, sf)))
 
 
+@query
+def reviews_without_id(spark, sf):
+    """English reviews of exports that carry no id: keyed by a digest of what tells a
+    review, equal rows counted as copies of one."""
+    google = corpus.raw_google(spark, sf).filter("lang = 'en'").drop("review_id")
+    appstore = corpus.raw_appstore(spark, sf).filter("lang = 'en'").drop("review_id")
+    return present(unify.unify_by_content(google, appstore))
+
+
 @query
 def reviews_titled(spark, sf):
     both = unify.unify(corpus.raw_google(spark, sf), corpus.raw_appstore(spark, sf), titles=True)
@@ -170,13 +188,18 @@ def prompts(spark, sf):
     output budget."""
     rows = _customer(spark, sf).select("dataset", "review_id", "user_name", "review")
     budget = tasks_table(spark).select("task", "max_tokens", "temperature")
-    out = None
-    for task, version in (("sentiment", 1), ("summary", 1), ("response", 1), ("response", 2)):
-        part = prompting.with_prompt(rows, task, version).select(
-            "task", F.lit(version).alias("version"), "review_id", "prompt",
-            count_tokens(F.col("prompt")).alias("input_tokens"),
-        )
-        out = part if out is None else out.unionByName(part)
+    kinds = (("sentiment", 1), ("summary", 1), ("response", 1), ("response", 2))
+    made = F.array(
+        *[
+            F.struct(
+                F.lit(task).alias("task"), F.lit(version).alias("version"),
+                render(TEMPLATES[task, version]).alias("prompt"),
+            )
+            for task, version in kinds
+        ]
+    )  # one scan: the kinds are rows of an array, not further reads
+    out = rows.select("review_id", F.explode(made).alias("_p")).select("review_id", "_p.*")
+    out = out.withColumn("input_tokens", count_tokens(F.col("prompt")))
     return present(out.join(F.broadcast(budget), "task"))
 
 
@@ -321,57 +344,102 @@ def response_wide(spark, sf):
 _PAIR = ("task", "review_id", "model")
 
 
-@query
-def rouge_n_scores(spark, sf):
-    scores = _pairs(spark, sf).select(
-        *_PAIR, rouge_n(F.col("output"), F.col("reference")).alias("_s")
+def _rouge_n(pairs: DataFrame) -> DataFrame:
+    scores = pairs.select(*_PAIR, rouge_n(F.col("output"), F.col("reference")).alias("_s"))
+    return scores.select(
+        *_PAIR,
+        *[
+            r6(F.col(f"_s.n{n}.{mode}")).alias(f"rouge_{n}_{mode}")
+            for n in (1, 2)
+            for mode in ("set", "multiset")
+        ],
     )
-    return present(
-        scores.select(
-            *_PAIR,
-            *[
-                r6(F.col(f"_s.n{n}.{mode}")).alias(f"rouge_{n}_{mode}")
-                for n in (1, 2)
-                for mode in ("set", "multiset")
-            ],
+
+
+def _metric(name: str, score: Callable[[Column, Column], Column]):
+    def of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(*_PAIR, r6(score(F.col("output"), F.col("reference"))).alias(name))
+
+    return of
+
+
+def _word_ids(n_vectors: int) -> Callable[[Column], Column]:
+    def ids(text: Column) -> Column:
+        return F.transform(
+            tokens(F.lower(text)), lambda w: corpus.word_vector_id(w, n_vectors)
         )
-    )
+
+    return ids
+
+
+def _soft_match(spark: SparkSession, sf: str, pairs_of, **how) -> DataFrame:
+    vectors, n = corpus.word_vectors(spark, sf)
+    ids = _word_ids(n)
+    pairs = pairs_of(spark, sf, ids).select(*_PAIR, ids(F.col("output")).alias("c_ids"), "r_ids")
+    scored = soft_match(pairs, vectors, _PAIR, **how)
+    return present(scored.withColumn("soft_f1", r6(F.col("soft_f1"))))
+
+
+def _turn_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
+    """Whole turns of the conversations as pairs of texts."""
+    pairs = corpus.turn_pairs(spark, sf).filter(F.col("output").isNotNull())
+    return pairs if ids is None else pairs.withColumn("r_ids", ids(F.col("reference")))
+
+
+@query
+def rouge_n_scores(spark, sf):
+    return present(_rouge_n(_pairs(spark, sf)))
+
+
+@query
+def rouge_n_turns(spark, sf):
+    return present(_rouge_n(_turn_pairs(spark, sf)))
 
 
 @query
 def rouge_l_scores(spark, sf):
-    score = r6(rouge_l(F.col("output"), F.col("reference")))
-    return present(_pairs(spark, sf).select(*_PAIR, score.alias("rouge_l")))
+    return present(_metric("rouge_l", rouge_l)(_pairs(spark, sf)))
+
+
+@query
+def rouge_l_turns(spark, sf):
+    return present(_metric("rouge_l", rouge_l)(_turn_pairs(spark, sf)))
 
 
 @query
 def bleu_scores(spark, sf):
-    score = r6(bleu(F.col("output"), F.col("reference")))
-    return present(_pairs(spark, sf).select(*_PAIR, score.alias("bleu")))
+    return present(_metric("bleu", bleu)(_pairs(spark, sf)))
 
 
 @query
-def meteor_scores(spark, sf):
-    score = r6(meteor(F.col("output"), F.col("reference")))
-    return present(_pairs(spark, sf).select(*_PAIR, score.alias("meteor")))
+def bleu_turns(spark, sf):
+    return present(_metric("bleu", bleu)(_turn_pairs(spark, sf)))
 
 
-def _word_ids(n_vectors: int) -> Callable[[Column], Column]:
-    def ids(text: Column) -> Column:
-        return F.transform(
-            tokens(F.lower(text)), lambda w: corpus.word_vector_id(w, n_vectors)
-        )
+@query
+def meteor_scores(spark, sf):
+    return present(_metric("meteor", meteor)(_pairs(spark, sf)))
 
-    return ids
+
+@query
+def meteor_turns(spark, sf):
+    return present(_metric("meteor", meteor)(_turn_pairs(spark, sf)))
 
 
 @query
 def soft_match_f1(spark, sf):
-    vectors, n = corpus.word_vectors(spark, sf)
-    ids = _word_ids(n)
-    pairs = _pairs(spark, sf, ids).select(*_PAIR, ids(F.col("output")).alias("c_ids"), "r_ids")
-    scored = soft_match(pairs, vectors, _PAIR)
-    return present(scored.withColumn("soft_f1", r6(F.col("soft_f1"))))
+    return _soft_match(spark, sf, _pairs)
+
+
+@query
+def soft_match_joined(spark, sf):
+    """The same scores by the plan for a vector table too large to broadcast."""
+    return _soft_match(spark, sf, _pairs, broadcast_limit=0)
+
+
+@query
+def soft_match_f1_turns(spark, sf):
+    return _soft_match(spark, sf, _turn_pairs)
 
 
 @query
@@ -384,11 +452,20 @@ def perplexity_scores(spark, sf):
     return present(perplexity(log, jobs.bigram_model(corpus.reviews(spark, sf)), _PAIR))
 
 
+@query
+def perplexity_turns(spark, sf):
+    model = jobs.bigram_model(corpus.reviews(spark, sf))
+    return present(perplexity(_turn_pairs(spark, sf), model, _PAIR))
+
+
 @query
 def best_reference_scores(spark, sf):
     done = _finished(_responses(spark, sf))
     replies = done.select("review_id", "model", "user_name", "output")
-    best = best_reference(replies, corpus.reference_responses(spark, sf), ("review_id", "model"))
+    best = best_reference(
+        replies, corpus.reference_responses(spark, sf), ("review_id", "model"),
+        rows_per_user=_replies_per_user(spark, sf),
+    )
     return present(
         best.select(
             "review_id", "model", "reference", "ref_no", r6(F.col("similarity")).alias("similarity")
@@ -486,12 +563,17 @@ def _client_factory(model: str, task: str, budget: int):
     return python_backend(model, task, budget)
 
 
+# The catalogue's pace is meant for a provider; the stand-in is asked a thousand
+# times as fast, by the same slots.
+_QUICK = tuple(dataclasses.replace(m, pace_seconds=m.pace_seconds / 1000) for m in MODELS)
+
+
 @query
 def batch_infer_log(spark, sf):
     """Summary calls through the batch operator, written as a log and read back."""
     reqs = prompting.requests(_customer(spark, sf), "summary")
     factories = {m: _client_factory for m in MODEL_NAMES}
-    log = log_calls(batch_infer(reqs, "summary", factories, models=()), "batch-infer-log")
+    log = log_calls(batch_infer(reqs, "summary", factories, _QUICK), "batch-infer-log")
     return present(
         log.select(
             "task", "dataset", "review_id", "model", "review_tokens", "input_tokens",
@@ -500,13 +582,56 @@ def batch_infer_log(spark, sf):
     )
 
 
+def _board_of_log(log: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """The leaderboard of written calls; response times come from a clock here."""
+    known = evaluation.select("dataset", "review_id", "label")
+    board = jobs.sentiment_comparison(log.join(known, ["dataset", "review_id"]))
+    return present(board.drop("total_response_time"))
+
+
+@query
+def sentiment_leaderboard_from_log(spark, sf):
+    """Requests, batch calls in committed chunks, the written log, then the scores."""
+    evaluation = _evaluation(spark, sf)
+    reqs = prompting.requests(evaluation, "sentiment")
+    factories = {m: _client_factory for m in MODEL_NAMES}
+    path = new_table_path(spark, "sentiment-log")
+    log = infer_to_log(reqs, path, "sentiment", factories, _QUICK)
+    return _board_of_log(log, evaluation)
+
+
+def _flaky_factory(model: str, task: str, budget: int):
+    """Fails every fifth review at its first attempt."""
+    call = python_backend(model, task, budget)
+
+    def ask(request):
+        if request["attempt"] == 1 and request["review_id"] % 5 == 0:
+            raise ConnectionError("first attempt lost")
+        return call(request)
+
+    return ask
+
+
+@query
+def rerun_leaderboard(spark, sf):
+    """Calls that fail, a second run that asks for them alone, and the scores of both
+    runs' log: each call key counts once."""
+    evaluation = _evaluation(spark, sf)
+    reqs = prompting.requests(evaluation, "sentiment")
+    factories = {m: _flaky_factory for m in MODEL_NAMES}
+    path = new_table_path(spark, "rerun-log")
+    infer_to_log(reqs, path, "sentiment", factories, _QUICK)
+    log = infer_to_log(reqs, path, "sentiment", factories, _QUICK)
+    return _board_of_log(log, evaluation)
+
+
 @query
 def pending_calls(spark, sf):
     """What a rerun still has to ask: requests whose logged call failed."""
     rows = _with_labels(spark, sf)
     reqs = prompting.requests(rows, "sentiment")
     log = offline_calls(rows, "sentiment")
-    left = pending(reqs, log)
+    left = pending(reqs, log.withColumn("attempt", F.lit(1)))
     return present(left.select("task", "dataset", "review_id", "model", "input_tokens"))
 
 

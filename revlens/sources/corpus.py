@@ -6,41 +6,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import pick_even
 from revlens.functions.hashing import h32
-from revlens.functions.text import tokens
+from revlens.functions.text import strip, tokens
 
-# Short texts that probe a classifier, with the label a reader
+# What a classifier must survive, one purpose to a row, with the label a reader
 # would give (ids are negative so that they never meet a real review).
 EDGE_CASES = (
-    (-1, "Lovely design, though the parcel arrived late and dented.", "neutral"),
-    (-2, "Absolutely useless, I want every cent back!!!", "negative"),
-    (-3, "It does what it says, nothing more.", "neutral"),
-    (-4, "Best purchase of the year, I am thrilled!", "positive"),
-    (-5, "Well, that was something...", "neutral"),
-    (-6, "Some call it positive, some call it negative.", "neutral"),
+    # negation turns praise round, and a double one turns it back
+    (-1, "I would not say that the zip is any good.", "negative"),
+    (-2, "Not once has the kettle failed to please me.", "positive"),
+    # irony
+    (-3, "Three remotes in one month, what a triumph of engineering.", "negative"),
+    # the label words themselves, as subject matter
+    (-4, "The battery has a positive and a negative end, as batteries do.", "neutral"),
+    # other languages and scripts
+    (-5, "Die Naht hielt, die Farbe auch, ich nehme noch zwei.", "positive"),
+    (-6, "تعطل في اليوم الأول ولم يرد أحد", "negative"),
+    # no words at all
+    (-7, "", "neutral"),
+    (-8, "🙂🙂🙂", "positive"),
+    (-9, "12 x 4 cm, 250 g", "neutral"),
+    # one opinion between long indifferent passages
+    (-10, "Bought in May. " * 20 + "I regret it. " + "It is blue. " * 20, "negative"),
 )
 
 
+SENTENCE_END = r"[.!?\n]+"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Deal out a table that arrives in fewer splits than there are cores.
-
-    The work per review (seven calls, array metrics) is far larger than its text,
-    so one file of one row group would keep a single core busy. A table with
-    enough splits, as on a cluster, is left as it is: no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+# A session may ask for a number of partitions when its input is one file that
+# cannot be split (a test, a bench on one machine); nothing is shuffled unless asked.
+READ_PARTITIONS = "revlens.read.partitions"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    asked = spark.conf.get(READ_PARTITIONS, None)
+    return docs.repartition(int(asked), "doc_id") if asked else docs
 
 
 def _platform() -> Column:
@@ -134,15 +140,43 @@ def edge_cases(spark: SparkSession) -> DataFrame:
     )
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a text in order: what stands between full stops, question and
+    exclamation marks and line ends, if it holds a token."""
+    return F.filter(F.split(text, SENTENCE_END), lambda x: F.size(tokens(x)) > 0)
+
+
 def reference_summaries(reviews_df: DataFrame) -> DataFrame:
-    """Twenty tokens spread over the whole review; null for a text without tokens."""
-    toks = reviews_df.select("review_id", tokens(F.col("review")).alias("_toks"))
-    return toks.select(
-        "review_id",
-        F.when(
-            F.size("_toks") > 0,
-            F.lower(F.array_join(pick_even(F.col("_toks"), F.lit(20)), " ")),
-        ).alias("reference_summary"),
+    """The sentence of a review with the most different words, whole and in lower
+    case, the first of several; null for a review without tokens."""
+    told = reviews_df.select("review_id", sentences(F.lower("review")).alias("_s"))
+    weighed = F.transform(
+        "_s",
+        lambda x, i: F.struct(
+            F.size(F.array_distinct(tokens(x))).alias("n"), (-i).alias("order"), x.alias("text")
+        ),
+    )
+    return told.select(
+        "review_id", strip(F.array_max(weighed)["text"]).alias("reference_summary")
+    )
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn (reference) with the assistant turn that follows it (output), both
+    whole: pairs of real texts of any length, keyed like calls."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.filter(F.col("role") == "user").select(
+        "conv_id", F.col("turn").alias("asked"), F.col("text").alias("reference")
+    )
+    answered = turns.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("asked"), F.col("text").alias("output")
+    )
+    return asked.join(answered, ["conv_id", "asked"]).select(
+        F.lit("turn").alias("task"),
+        F.col("conv_id").alias("review_id"),
+        F.col("asked").cast("string").alias("model"),
+        "output",
+        "reference",
     )
 
 

@@ -13,26 +13,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTIMENT = (
-    "Classify the attitude of a customer review. Reply with exactly one word out of "
-    "positive, negative, neutral. Judge by tone and by the phrases that carry it.\n"
-    "Review: Everything works and I enjoy it every day. -> positive\n"
-    "Review: It broke twice and nobody answered me. -> negative\n"
-    "Review: The parcel came on Monday. -> neutral\n"
-    "Review: {review} ->"
+    "Task: opinion mining, one label for one text.\n"
+    "Allowed answers: positive / negative / neutral. Print the answer and stop.\n"
+    "Count what the writer thinks of the product or its maker. A text that only states facts, "
+    "or weighs good against bad without deciding, is neutral. Read irony as it is meant.\n"
+    "Text:\n{review}\nAnswer:"
 )
 SUMMARY = (
-    "Give the gist of this customer review in one short sentence that keeps its main "
-    "points: {review}"
+    "Condense the text between the marks to a single statement of at most forty words. Name the "
+    "product part, the fault or merit, and any wish; add nothing of your own.\n<<<\n {review} \n>>>"
 )
 RESPONSE_V1 = (
-    "You answer customers on behalf of a support team. Reply to the review below in a few "
-    "warm and clear sentences, take up each problem it names, offer a next step where one "
-    "helps, and greet the customer as {user_name} .\n\nReview: {review}\n\nReply:"
+    "Customer name: {user_name}\nCustomer text:\n{review}\n\n"
+    "Draft the shop's public answer: thank or apologise as the text deserves, say for every "
+    "complaint what happens now, promise nothing that is not in the text, sign as the service "
+    "desk, stay under ninety words."
 )
 RESPONSE_V2 = (
-    "You answer customers on behalf of a support team. Reply to the review below in a few "
-    "warm and clear sentences, take up each problem it names, offer a next step where one "
-    "helps, and greet the customer as {user_name} .\n\n{review}"
+    "You draft public answers for a shop's service desk: courteous, concrete, under ninety words, "
+    "addressed by name, without promises that the text does not support.\n\n"
+    "Customer name: {user_name}\nCustomer text:\n{review}"
 )
 
 # (task, version) -> template; version 1 is used by the single-task comparisons,
