@@ -161,20 +161,16 @@ def fit_rules(
     )
     share = min(1.0, max_rows / max(1, marks.count()))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.join(
-        F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col(id_col) == F.col("_id")
-    )
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw"))
     stats = [f"s_{n}" for n in STATS]
-    # the label travels with the id so that clashing column names cannot meet
-    keyed = texts.select(
-        F.struct(F.col("_id"), F.col("label")).alias("_key"), F.col(text_col).alias("_raw")
+    # at most about max_rows ids; the label travels with the id
+    keyed = texts.join(F.broadcast(chosen), "doc_id").select(
+        F.struct("doc_id", "label").alias("_key"), "_raw"
     )
     train = with_statistics(keyed, "_key", "_raw").select(
-        F.col("doc_id.label").alias("label"), array_to_vector(F.array(*stats)).alias("x"), *stats
-    )
-    train = materialise(train.drop("x"), "quality-sample").withColumn(
-        "x", array_to_vector(F.array(*stats))
+        F.col("doc_id.label").alias("label"), *stats
     )
+    train = materialise(train, "quality-sample").withColumn("x", array_to_vector(F.array(*stats)))
     n, good = train.agg(F.count("label"), F.sum("label")).first()
     if not n:
         return Model(0.0, ())

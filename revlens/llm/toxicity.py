@@ -157,8 +157,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_r
     )
     share = min(1.0, max_rows / max(1, marks.count()))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["doc_id"]).select(
-        F.coalesce(docs[text_col], F.lit("")).alias("text"), (F.col("_toxic") > 0).alias("toxic")
+    texts = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    # at most about max_rows ids
+    return texts.join(F.broadcast(chosen), "doc_id").select(
+        "text", (F.col("_toxic") > 0).alias("toxic")
     )
 
 

@@ -6,7 +6,7 @@ from revlens.llm.toxicity import Scorer, drop_rejected, fit, fit_model, terms, t
 
 @pytest.fixture(scope="module")
 def labelled(spark, sf):
-    wider = sf.replace("sf0.001", "sf0.01")
+    wider = sf.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{wider}/documents.parquet")
     labels = spark.read.parquet(f"{wider}/labels.parquet")
     rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
@@ -24,7 +24,7 @@ def test_held_out_accuracy(labelled):
     assert np.all(np.diff(model.cuts) > 0)
     severity, p_toxic, grade = Scorer(model).score([t for t, _ in test])
     y, said = np.array([y for _, y in test]), np.array(p_toxic) >= 0.4
-    assert (said == y).mean() > 0.93
+    assert (said == y).mean() > 0.97
     assert said[~y].mean() < 0.03
     assert np.mean(np.array(severity)[y]) > 5 * np.mean(np.array(severity)[~y])
     assert all(0 <= s <= 3 for s in severity) and set(grade) <= {0, 1, 2, 3}
@@ -42,7 +42,7 @@ def test_grades_share_one_weight_vector():
 
 def test_edge_cases(spark, odd_docs, no_docs):
     schema = "doc_id long, quality int, toxic int, text string"
-    docs = odd_docs.select("doc_id", "text", "_toxic" if "_toxic" in odd_docs.columns else "label")
+    docs = odd_docs.select("doc_id", "text", "label")
     none = spark.createDataFrame([], schema)
     odd = spark.createDataFrame([(None, 1, 1, "x"), (0, None, None, "x"), (4, 1, 0, "x")], schema)
     for labels in (none, odd):  # nothing toxic to learn from: nothing is rejected
@@ -50,8 +50,9 @@ def test_edge_cases(spark, odd_docs, no_docs):
         assert model is None
         assert {r.severity for r in toxicity(docs, model).collect()} == {0.0}
         assert drop_rejected(odd_docs, model).count() == odd_docs.count()
-    texts = ["trash talk scum"] * 6 + ["kind words here"] * 6
-    model = fit(texts, np.array([True] * 6 + [False] * 6))
+    texts = ["trash talk scum"] * 6 + ["kind words here"] * 90
+    model = fit(texts, np.array([True] * 6 + [False] * 90))
+    assert Scorer(model).score(["some scum and trash", "kind words", ""])[1][0] > 0.9
     rows = toxicity(odd_docs, model).collect()
     assert len(rows) == odd_docs.count()
     kept = drop_rejected(odd_docs, model)
