@@ -19,8 +19,9 @@ vectors need fewer probes. Nothing in them depends on the number of rows.
 
 Edge cases: rows with a null id, a null or zero vector, or a null or non-finite
 component take no part, nor do vectors of another length than the most frequent
-one; repeated rows count once; an id with several vectors is no neighbour of
-itself and counts with its best one; an empty table gives an empty table.
+one; repeated rows count once, and of several vectors under one id the smallest
+(component by component) counts; a query that meets fewer than k others in its
+buckets is compared with all vectors; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -168,6 +169,22 @@ def _best(pairs: DataFrame, keep: int) -> DataFrame:
     )
 
 
+def _named(found: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the best classes (q, c, score) of each query, by the
+    ids of the classes and without the query's own."""
+    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
+    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    best = found.withColumn("_n", F.row_number().over(by_class)).filter(F.col("_n") <= k + 1)
+    return (
+        best.join(classes.select(F.col("class").alias("c"), "ids"), "c")
+        .select("q", "score", F.explode("ids").alias("vec_id"))
+        .join(asked.withColumnRenamed("class", "q"), "q")
+        .filter("vec_id <> query_id")
+        .groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
+    )
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -190,8 +207,9 @@ def nearest(
     dim = top["d"] if top else 1
     rows = (
         rows.filter(F.size("v") == dim)
+        .groupBy("id")
+        .agg(F.min("v").alias("v"))
         .withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
-        .dropDuplicates(["id", "h1", "h2"])
     )
     rows = materialise(rows, "vectors")
     classes = materialise(_classes(rows, k), "classes")
@@ -202,18 +220,22 @@ def nearest(
     query_rows = classes.join(asked.select("class").distinct(), "class", "left_semi")
     index = _packed(_hashed(classes, hashing, False), PACK, "c")
     probe = _packed(_hashed(query_rows, hashing, True), PACK // 4, "q")
-    found = _best(probe.join(index, ["slot", "bucket"]), k + 1)
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    found = found.withColumn("_n", F.row_number().over(by_class)).filter(F.col("_n") <= k + 1)
-    named = (
-        found.join(classes.select(F.col("class").alias("c"), "ids"), "c")
-        .select("q", "score", F.explode("ids").alias("vec_id"))
-        .join(asked.withColumnRenamed("class", "q"), "q")
-        .filter("vec_id <> query_id")
-        .groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
+    found = materialise(_best(probe.join(index, ["slot", "bucket"]), k + 1), "neighbours")
+    named = materialise(_named(found, classes, asked, k), "named")
+    # a query whose probes met fewer than k others is compared with all vectors, in packs
+    short = materialise(
+        asked.join(named.groupBy("query_id").agg(F.count("vec_id").alias("_got")), "query_id", "left")
+        .filter(F.coalesce("_got", F.lit(0)) < k)
+        .drop("_got"),
+        "short-queries",
     )
+    if not short.isEmpty():
+        left = classes.join(short.select("class").distinct(), "class", "left_semi")
+        here = F.lit(0).cast("bigint").alias("bucket"), F.lit(0).alias("slot")
+        asking = _packed(left.select("class", "v", *here), PACK // 4, "q").drop("slot")
+        all_of = _packed(classes.select("class", "v", *here), PACK, "c").drop("slot")
+        rest = _named(_best(asking.join(all_of, "bucket"), k + 1), classes, short, k)
+        named = named.join(short, "query_id", "left_anti").unionByName(rest)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         named.withColumn("rank", F.row_number().over(by_query))

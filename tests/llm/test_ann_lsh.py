@@ -59,7 +59,7 @@ def test_copies_ties_and_odd_rows(spark):
     rows = [(i, base, "x") for i in range(0, 300)]  # one vector three hundred times
     rows += [(1000 + i, rng.standard_normal(6).tolist(), "x") for i in range(40)]
     usable = [(i, v) for i, v, _ in rows]
-    rows += [(2000, [0.0] * 6, "x"), (2050, None, "x"), (2100, [1.0, None, 1, 1, 1, 1], "x")]
+    rows += [(2000, [0.0] * 6, "x"), (2050, None, "x"), (2100, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x")]
     rows += [(2150, [float("nan")] * 6, "x"), (2200, [float("inf")] + [1.0] * 5, "x"), (None, base, "x")]
     rows += [(2250, [1.0, 2.0], "x"), (0, base, "x")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
