@@ -15,12 +15,14 @@ anything is joined.
 Candidates are verified by a bit-parallel edit distance over a band of 2 t + 1
 diagonals, in integer arithmetic on columns.
 
-Hot keys (a template that many lines share): lines that share one segment are
-within t edits only if the lines without it are, so a key with more than ``hot``
-lines is parted by the same rule over what is left of its lines, again and
-again, until it is small; at most ``hot`` candidates per line and key are ever
-compared, and none is skipped. Where less than a segment is left, all lines of
-the key are within t edits, and a star to the earliest says as much as all pairs.
+Shared keys: lines that share one segment are within t edits if the lines without
+it are, and for some segment only if. Up to ``hot`` lines under a key are compared
+without it, inside the join, so that only close pairs make rows. A hotter key (a
+template that many lines share) is parted by the same rule over what is left of
+its lines, again and again, until it is small; at most ``hot`` candidates per line
+and key are ever compared, and none is skipped. Where less than a segment is left,
+all index lines of the key are within t edits, and a star to the earliest says as
+much as all pairs.
 
 Edge cases: null and empty texts have no lines; a null id sorts first; rows equal
 in id and text are one document; empty tables stay empty; a document of which
@@ -43,7 +45,9 @@ from revlens.session import materialise
 
 MAX_EDITS = 2
 MIN_CHARS = 40
-HOT = 16
+HOT = 32
+#: Lines under a key up to which their pairs are taken without a look at the rest.
+FEW = 3
 
 
 class Variant(NamedTuple):
@@ -67,31 +71,25 @@ def variants(t: int) -> list[Variant]:
     return own + [v for v in probes if v not in own]
 
 
-def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
-    """(start, size) of segment i: sizes differ by at most one, longer ones last."""
+def _place(
+    n: Column, segment: Column, shorter: Column, shift: Column, t: int
+) -> tuple[Column, Column, Column, Column]:
+    """(length of the index line, start, size, whether it is inside) of a variant in a
+    line of n; segments differ in size by at most one, longer ones last."""
+    length = n - shorter
     base = F.floor(length / (t + 1)).cast("int")
-    longer = length - base * (t + 1)
-    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i - t - 1) + longer)
-    return start, base + F.when(F.lit(i - t - 1) + longer >= 0, 1).otherwise(0)
+    late = segment - (t + 1) + (length - base * (t + 1))
+    start = segment * base + F.greatest(F.lit(0), late) + shift
+    size = base + F.when(late >= 0, 1).otherwise(0)
+    return length, start, size, (length > t) & (start >= 0) & (start + size <= n)
 
 
-def _place(n: Column, v: Variant, t: int) -> tuple[Column, Column, Column, Column]:
-    """(length of the index line, start, size, whether it is inside) for a line of n."""
-    length = n - v.shorter
-    start, size = _segment(length, v.segment, t)
-    start = start + v.shift
-    inside = (length > t) & (start >= 0) & (start + size <= n)
-    return length, start, size, inside
-
-
-def segment_keys(line: Column, n: Column, t: int, under: Column | None = None) -> list[Column]:
-    """One key per variant, null where it falls outside; ``under`` is the key that
-    the lines share already."""
+def segment_keys(line: Column, n: Column, t: int) -> list[Column]:
+    """One key per variant, null where it falls outside."""
     out = []
     for v in variants(t):
-        length, start, size, inside = _place(n, v, t)
-        parts = [F.lit(v.segment), length, F.substring(line, start + 1, size)]
-        key = F.xxhash64(*([under] if under is not None else []), *parts)
+        length, start, size, inside = _place(n, *map(F.lit, v), t)
+        key = F.xxhash64(F.lit(v.segment), length, F.substring(line, start + 1, size))
         out.append(F.when(inside, key))
     return out
 
@@ -137,66 +135,79 @@ def _bucketed(keys: DataFrame) -> DataFrame:
     )
 
 
-def _without(line: Column, n: Column, v: Column, t: int) -> Column:
-    """The line without the segment that variant number ``v`` matched."""
-
-    def cut(variant: Variant) -> Column:
-        _, start, size, _ = _place(n, variant, t)
-        return F.concat(
-            F.substring(line, F.lit(1), start), F.substring(line, start + size + 1, n)
-        )
+def _met(state: DataFrame, t: int) -> DataFrame:
+    """(a, b) of the lines under one key whose rests are within t edits. The distance is
+    part of the join's condition: lines that only share the key make no row."""
+    one = state.filter("own").select("key", F.col("id").alias("i"), F.col("rest").alias("x"))
+    two = state.select(
+        "key", F.col("id").alias("j"), F.col("rest").alias("y"), F.col("own").alias("_own")
+    )
+    once = (F.col("i") != F.col("j")) & (~F.col("_own") | (F.col("i") < F.col("j")))
+    met = one.join(two, "key").filter(once & (banded_distance(F.col("x"), F.col("y"), t) <= t))
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
-    cases = [(v == k, cut(variant)) for k, variant in enumerate(variants(t))]
-    return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
 
+def _refined(members: DataFrame, lines: DataFrame, t: int, limit: int) -> list[DataFrame]:
+    """Pairs from the members (key, id, v, n) of keys, parted until they are small.
 
-def _refined(hot: DataFrame, lines: DataFrame, t: int, limit: int) -> list[DataFrame]:
-    """Pairs from the members (key, id, v) of hot keys, parted until they are small."""
-    shorter = F.array(*[F.lit(v.shorter) for v in variants(t)])
-    state = (
-        hot.join(lines.select("id", "line", "first"), "id")
-        .withColumn("rest", _without(F.col("line"), F.length("line"), F.col("v"), t))
-        .select(
-            "key", "id", "first", "rest",
-            (F.col("v") <= t).alias("own"), F.get(shorter, F.col("v")).alias("shorter"),
-        )
-    )
+    A state row is a line under a key that ``n`` lines share, with the ``rest`` of it and
+    how much ``shorter`` the key's index lines are; ``own`` marks those.
+    """
+    choices = F.array(
+        *[
+            F.struct(F.lit(k).alias("v"), *[F.lit(x).alias(f) for f, x in v._asdict().items()])
+            for k, v in enumerate(variants(t))
+        ]
+    )
+    picked = F.get(choices, F.col("v"))
+
+    def next_state(found: DataFrame, whole: Column) -> DataFrame:
+        """Rows (key, id, first, own, v, n) and a line, without the segment of the key."""
+        found = found.select("*", *[picked[f].alias(f) for f in Variant._fields])
+        n = F.length(whole)
+        _, start, size, _ = _place(n, F.col("segment"), F.col("shorter"), F.col("shift"), t)
+        rest = F.concat(F.substring(whole, F.lit(1), start), F.substring(whole, start + size + 1, n))
+        rows = found.select("key", "id", "first", "own", "shorter", "shift", "n", rest.alias("rest"))
+        return rows.withColumn("row", F.xxhash64("key", "id", "own", "shorter", "shift"))
+
+    known = members.join(lines.select("id", "line", "first"), "id")
+    state = next_state(known.withColumn("own", F.col("v") <= t), F.col("line"))
     out = []
     while True:
         state = materialise(state, "hot-lines")
-        n = F.length("rest")
+        size = F.length("rest")
+        few = F.col("n") <= limit
         # too little left for a segment: all index lines here are within t edits
-        tail = state.filter(n - F.col("shorter") <= t)
+        short = size - F.col("shorter") <= t
+        out.append(materialise(_met(state.filter(few), t), "hot-pairs"))
+        tail = state.filter(~few & short)
         heads = tail.filter("own").groupBy("key").agg(F.min_by("id", "first").alias("head"))
         star = tail.filter("own").join(heads, "key").select("head", "id").filter("head <> id")
+        probes = tail.filter("not own").select("key", F.col("id").alias("head"))
+        star = star.union(
+            tail.filter("own").join(probes, "key").select("head", "id").filter("head <> id")
+        )
         out.append(star.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")))
-        others = tail.filter("not own").select("key", F.col("id").alias("j"))
-        out.append(
-            tail.filter("own").join(others, "key").filter("id <> j")
-            .select(F.least("id", "j").alias("a"), F.greatest("id", "j").alias("b"))
-        )
-        keys = segment_keys(F.col("rest"), n, t, F.col("key"))
-        steps = []
-        for k, (variant, key) in enumerate(zip(variants(t), keys, strict=True)):
-            fits = F.col("shorter") == variant.shorter
-            own = F.col("own") & F.lit(k <= t)
-            steps.append(F.when(fits, F.struct(key.alias("key"), own.alias("own"), F.lit(k).alias("v"))))
-        grown = state.filter(n - F.col("shorter") > t).select(
-            "id", "first", "rest", "shorter", F.explode(F.array(*steps)).alias("s")
+        crowd = state.filter(~few & ~short)
+        if crowd.isEmpty():
+            return out
+        grown = crowd.select("row", "key", "id", "own", "shorter", "rest", F.explode(choices).alias("c"))
+        length, start, part, inside = _place(
+            size, F.col("c.segment"), F.col("shorter"), F.col("c.shift"), t
         )
-        grown = grown.filter("s.key is not null").select(
-            "id", "first", "rest", "shorter", "s.key", "s.own", "s.v"
+        shared = F.substring("rest", start + 1, part)
+        grown = grown.filter((F.col("c.shorter") == F.col("shorter")) & inside).select(
+            "row",
+            "id",
+            F.xxhash64("key", F.col("c.segment"), length, shared).alias("key"),
+            (F.col("own") & (F.col("c.v") <= t)).alias("own"),
+            "c.v",
         )
-        sizes = materialise(_bucketed(grown), "hot-keys")
-        small = grown.join(sizes.filter(F.col("n") <= limit).select("key"), "key")
-        out.append(_pairs(small))
-        crowded = sizes.filter(F.col("n") > limit)
-        if crowded.isEmpty():
-            return out
-        state = (
-            grown.join(crowded.select("key"), "key")
-            .withColumn("_rest", _without(F.col("rest"), F.length("rest"), F.col("v"), t))
-            .select("key", "id", "first", F.col("_rest").alias("rest"), "own", "shorter")
+        grown = materialise(grown, "hot-keys")
+        sizes = materialise(_bucketed(grown).select("key", "n"), "hot-sizes")
+        again = grown.join(sizes, "key").select("row", "key", "own", "v", "n")
+        state = next_state(
+            again.join(state.select("row", "id", "first", "rest"), "row"), F.col("rest")
         )
 
 
@@ -299,8 +310,11 @@ def repeated_lines(
     met = materialise(_bucketed(keys), "line-keys")
     several = broadcast_if_small(met.filter("n > 2").select("key", "n"))
     members = materialise(keys.join(several, "key"), "line-members")
-    pairs = [met.filter("n = 2").select("a", "b"), _pairs(members.filter(F.col("n") <= hot))]
-    crowd = members.filter(F.col("n") > hot)
+    pairs = [
+        met.filter("n = 2").select("a", "b"),
+        materialise(_pairs(members.filter(F.col("n") <= FEW)), "few-pairs"),
+    ]
+    crowd = members.filter(F.col("n") > FEW)
     ids = [p.select(F.explode(F.array("a", "b")).alias("id")) for p in pairs] + [crowd.select("id")]
     live = materialise(reduce(DataFrame.union, ids).distinct(), "live-ids")
     texts = (
@@ -311,8 +325,8 @@ def repeated_lines(
     )
     texts = materialise(texts, "live-lines")
     if not crowd.isEmpty():
-        pairs += _refined(crowd.select("key", "id", "v"), texts, t, hot)
-    candidates = reduce(DataFrame.union, pairs).distinct()
+        pairs += _refined(crowd.select("key", "id", "v", "n"), texts, t, hot)
+    candidates = materialise(reduce(DataFrame.union, pairs).distinct(), "line-pairs")
     sides = [
         texts.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "h2", "line", "first")])
         for side in ("a", "b")
