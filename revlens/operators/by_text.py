@@ -27,13 +27,11 @@ def distinct_reviews(reviews: DataFrame) -> DataFrame:
 def first_reference_by_text(reviews: DataFrame, references: DataFrame) -> DataFrame:
     """For each review the reference summary of the first review with that text."""
     keyed = reviews.select("review_id", digest().alias("_digest"))
-    first = (
-        keyed.join(references, "review_id")
-        .groupBy("_digest")
-        .agg(
-            F.min("review_id").alias("first_review_id"),
-            F.min_by("reference_summary", "review_id").alias("reference_summary"),
-        )
+    told = keyed.join(references.select("review_id"), "review_id", "left_semi")
+    earliest = told.groupBy("_digest").agg(F.min("review_id").alias("first_review_id"))
+    first = earliest.join(
+        references.select(F.col("review_id").alias("first_review_id"), "reference_summary"),
+        "first_review_id",
     )
     copies = keyed.groupBy("_digest").agg(F.count("*").alias("n_rows"))
     met = hot_key_join(keyed, first, ["_digest"], copies, ["review_id"], both_large=True)
