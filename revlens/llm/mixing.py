@@ -107,9 +107,7 @@ def budgets(
 ) -> DataFrame:
     """(levels.., tokens, budget) of every leaf that gets tokens; ``leaves`` has the
     levels and tokens."""
-    total = leaves.agg((F.sum("tokens") * percent).alias("_all")).select(
-        F.expr("_all div 100").alias("budget")
-    )
+    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
     got = None
     for depth in range(1, len(levels) + 1):
         parent, name = list(levels[: depth - 1]), levels[depth - 1]
@@ -118,7 +116,7 @@ def budgets(
         )
         nodes = nodes.withColumn("weight", _weight(name, weights, default_weight))
         if got is None:
-            nodes = nodes.crossJoin(F.broadcast(total))  # one row: the whole budget
+            nodes = nodes.withColumn("budget", F.lit(total).cast("bigint"))
         else:
             nodes = nodes.join(got.select(*parent, "budget"), parent)
         got = share_out(nodes, parent, name)
