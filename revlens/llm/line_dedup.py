@@ -45,7 +45,7 @@ from revlens.session import materialise
 
 MAX_EDITS = 2
 MIN_CHARS = 40
-HOT = 32
+HOT = 128
 #: Lines under a key up to which their pairs are taken without a look at the rest.
 FEW = 3
 
