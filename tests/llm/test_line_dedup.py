@@ -94,7 +94,7 @@ def test_variants_reach_every_close_pair(t):
 @pytest.mark.parametrize(("t", "hot", "size"), [(2, 3, 12), (1, 1000, 30)])
 def test_against_all_pairs(spark, t, hot, size):
     """With a limit of three lines to a key the hot path parts keys down to the end."""
-    docs = corpus(random.Random(t), 45, 2, size)
+    docs = corpus(random.Random(t), 32, 2, size)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     kept = dedup_lines(frame, max_edits=t, min_chars=8, hot=hot, keep_empty=True)
     want = brute(docs, t, 8)
