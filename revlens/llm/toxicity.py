@@ -19,6 +19,7 @@ no other labelled text nothing is rejected (severity 0).
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from typing import NamedTuple
 
@@ -31,8 +32,8 @@ from revlens.llm.arrow import map_texts
 from revlens.llm.words import WORD, py_lower_az, whole_row
 
 #: Bound of the labelled sample that is fitted on the driver, in texts and characters.
-MAX_ROWS = 6000
-MAX_CHARS = 40_000_000
+MAX_ROWS = 4000
+MAX_CHARS = 16_000_000
 VOCABULARY = 4000
 MIN_TEXTS = 4
 STEMS = (4, 5, 6, 7)
@@ -71,13 +72,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _vocabulary(bags: list[Counter], toxic: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+def _vocabulary(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """The terms that speak most clearly for either side, and their log odds."""
     seen, in_toxic = Counter(), Counter()
-    for bag, y in zip(bags, toxic, strict=True):
-        seen.update(bag.keys())
+    for text, y in zip(texts, toxic, strict=True):
+        present = terms(text).keys()
+        seen.update(present)
         if y:
-            in_toxic.update(bag.keys())
+            in_toxic.update(present)
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
     names = sorted(t for t, n in seen.items() if n >= MIN_TEXTS)
     a = np.array([in_toxic[t] for t in names], dtype=float)
@@ -88,14 +90,25 @@ def _vocabulary(bags: list[Counter], toxic: np.ndarray) -> tuple[dict[str, int],
     return {names[i]: j for j, i in enumerate(best)}, (odds / error)[best]
 
 
-def _grades(bags: list[Counter], toxic: np.ndarray, index: dict, z: np.ndarray) -> np.ndarray:
-    telltale = {t for t, j in index.items() if z[j] > 4}
-    share = np.array(
-        [
-            sum(n for t, n in bag.items() if t in telltale) / max(1, sum(bag.values()))
-            for bag in bags
-        ]
-    )
+def _counted(texts: list[str], index: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """(row, feature, count) of the known terms, and the number of all terms of each
+    text. One text's terms at a time: only known ones are kept."""
+    rows, cols, counts, totals = array("l"), array("l"), array("l"), array("l")
+    for i, text in enumerate(texts):
+        bag = terms(text)
+        totals.append(sum(bag.values()))
+        for t, n in bag.items():
+            if t in index:
+                rows.append(i)
+                cols.append(index[t])
+                counts.append(n)
+    return tuple(np.array(a, dtype=np.int64) for a in (rows, cols, counts, totals))
+
+
+def _grades(counted: tuple[np.ndarray, ...], toxic: np.ndarray, z: np.ndarray) -> np.ndarray:
+    rows, cols, counts, totals = counted
+    telltale = np.bincount(rows, counts * (z[cols] > 4), minlength=len(toxic))
+    share = telltale / np.maximum(1, totals)
     edges = np.quantile(share[toxic], [i / GRADES for i in range(1, GRADES)])
     return np.where(toxic, 1 + np.searchsorted(edges, share, side="right"), 0)
 
@@ -105,19 +118,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400, ridge: float = 0
     toxic = np.asarray(toxic, dtype=bool)
     if not toxic.any() or toxic.all():
         return None
-    bags = [terms(t) for t in texts]
-    index, z = _vocabulary(bags, toxic)
+    index, z = _vocabulary(texts, toxic)
     if not index:
         return None
-    grade = _grades(bags, toxic, index, z)
-    rows, cols, vals = [], [], []
-    for i, bag in enumerate(bags):
-        for t, n in bag.items():
-            if t in index:
-                rows.append(i)
-                cols.append(index[t])
-                vals.append(np.log1p(n))
-    rows, cols, vals = np.array(rows, int), np.array(cols, int), np.array(vals, float)
+    counted = _counted(texts, index)
+    grade = _grades(counted, toxic, z)
+    rows, cols, vals = counted[0], counted[1], np.log1p(counted[2])
     n, d = len(texts), len(index)
     # cuts[0] free, the gaps between cuts positive through exp
     theta = np.concatenate([np.zeros(d), [1.0], np.zeros(GRADES - 1)])
