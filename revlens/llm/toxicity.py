@@ -9,15 +9,18 @@ Labels say toxic or not; the grades between are made from the labelled sample:
 a toxic text's grade is the tercile of its share of telltale terms among the
 toxic texts, so grades run from 0 (not toxic) to 3.
 
-The model is fitted on at most ``max_rows`` labelled texts, chosen by a hash of
-the id; every text is scored whole. Edge cases: null and empty texts get the
+The model is fitted on about ``max_rows`` labelled texts, chosen by a hash of the
+id, from both classes; the longest are fitted on as excerpts from all over the text,
+so that no text takes the room of another. Every text is scored whole. Edge cases: null and empty texts get the
 severity of a text without terms; rows without a label, or whose label is null,
 are not learned from; an id labelled both ways counts as toxic; with no toxic or
-no other labelled text nothing is rejected (severity 0).
+no other labelled text nothing is rejected (severity 0), with a warning in the log if
+there are toxic labels.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from array import array
 from collections import Counter
@@ -30,10 +33,17 @@ from pyspark.sql import types as T
 
 from revlens.llm.arrow import map_texts
 from revlens.llm.words import WORD, py_lower_az, whole_row
+from revlens.session import materialise
+
+_log = logging.getLogger(__name__)
 
 #: Bound of the labelled sample that is fitted on the driver, in texts and characters.
 MAX_ROWS = 4000
 MAX_CHARS = 16_000_000
+#: A class has at least one text in this many of the sample, if it has that many.
+RARE = 20
+#: Places of a long text that its excerpt is made of.
+PIECES = 16
 VOCABULARY = 4000
 MIN_TEXTS = 4
 STEMS = (4, 5, 6, 7)
@@ -152,24 +162,56 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400, ridge: float = 0
     return Model(index, theta[:d], cuts)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
-    """At most about ``max_rows`` labelled texts (text, toxic), those of the
-    smallest hashes of the id; labels are counted first so that the text of no
-    other row is moved."""
+def present(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """doc_id, _toxic of the labelled ids that ``docs`` has."""
     marks = (
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("_toxic"))
+        .agg((F.max("toxic") > 0).alias("_toxic"))
     )
-    share = min(1.0, max_rows / max(1, marks.count()))
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    return materialise(marks.join(ids, "doc_id", "left_semi"), "labelled-ids")
+
+
+def sample(
+    docs: DataFrame, marks: DataFrame, sizes: dict[bool, int], id_col: str, text_col: str, max_rows: int
+) -> DataFrame:
+    """The texts (text, toxic) of about ``max_rows`` labelled ids, those of the smallest
+    hashes of the id. Both classes keep their shares, but a rare one gives at least
+    ``max_rows // RARE`` ids, or all it has."""
+    share = max_rows / max(1, sum(sizes.values()))
+    parts = {y: min(1.0, max(share, max_rows // RARE / max(1, n))) for y, n in sizes.items()}
+    part = F.when(F.col("_toxic"), parts[True]).otherwise(parts[False])
+    chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < part * F.lit(1e12))
     texts = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    # at most about max_rows ids
-    return texts.join(F.broadcast(chosen), "doc_id").select(
-        "text", (F.col("_toxic") > 0).alias("toxic")
-    )
+    # at most about max_rows ids, and RARE-ths of it
+    return texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("_toxic").alias("toxic"))
+
+
+def text_bound(sizes: list[int], total: int) -> int:
+    """The most characters of one text such that all texts together have at most ``total``."""
+    left = total
+    for i, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= size
+    return total
+
+
+def _excerpt(text: Column, bound: int) -> Column:
+    """A text of at most ``bound`` characters whole, of a longer one that many in
+    ``PIECES`` parts spread evenly over it."""
+    size = bound // PIECES - 1
+    if size < 1:
+        return F.substring(text, 1, bound)
+    far = F.length(text) - size
+    parts = [
+        F.substring(text, (1 + F.floor(far * i / (PIECES - 1))).cast("int"), F.lit(size))
+        for i in range(PIECES)
+    ]
+    return F.when(F.length(text) <= bound, text).otherwise(F.concat_ws("\n", *parts))
 
 
 def fit_model(
@@ -180,17 +222,30 @@ def fit_model(
     max_rows: int = MAX_ROWS,
     max_chars: int = MAX_CHARS,
 ) -> Model | None:
-    """The model of a bounded labelled sample: ``max_rows`` texts, and as many of
-    those as ``max_chars`` characters hold."""
-    texts, toxic, size = [], [], 0
-    rows = sample(docs, labels, id_col, text_col, max_rows).orderBy(F.xxhash64("text"))
-    for row in rows.limit(2 * max_rows).toLocalIterator():
-        size += len(row.text)
-        if size > max_chars:
-            break
+    """The model of a bounded labelled sample: about ``max_rows`` texts, all of them taken;
+    those longer than the bound that keeps them within ``max_chars`` together as excerpts."""
+    marks = present(docs, labels, id_col)
+    sizes = {False: 0, True: 0} | {r[0]: r[1] for r in marks.groupBy("_toxic").count().collect()}
+    found = materialise(sample(docs, marks, sizes, id_col, text_col, max_rows), "labelled-texts")
+    # of ids with many texts the first ones by hash, for each class
+    kept = [
+        found.filter(F.col("toxic") == y).orderBy(F.xxhash64("text")).limit(max_rows)
+        for y in (True, False)
+    ]
+    kept = kept[0].union(kept[1])
+    bound = text_bound([r[0] for r in kept.select(F.length("text")).collect()], max_chars)
+    texts, toxic = [], []
+    for row in kept.select(_excerpt(F.col("text"), bound).alias("text"), "toxic").toLocalIterator():
         texts.append(row.text)
         toxic.append(row.toxic)
-    return fit(texts, np.array(toxic, dtype=bool))
+    model = fit(texts, np.array(toxic, dtype=bool))
+    if model is None and not labels.filter("toxic > 0").isEmpty():
+        _log.warning(
+            "no toxicity model, nothing is rejected: of the labelled documents %d are toxic and %d "
+            "are not; %d and %d texts were fitted on",
+            sizes[True], sizes[False], sum(toxic), len(toxic) - sum(toxic),
+        )
+    return model
 
 
 class Scorer:

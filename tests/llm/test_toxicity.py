@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from revlens.llm.toxicity import Scorer, drop_rejected, fit, fit_model, terms, toxicity
+from revlens.llm.toxicity import Scorer, drop_rejected, fit, fit_model, terms, text_bound, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,36 @@ def test_edge_cases(spark, odd_docs, no_docs):
     kept = drop_rejected(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     assert drop_rejected(no_docs, model).count() == 0
+
+
+def test_text_bound():
+    assert text_bound([3, 5, 1], 9) == 9 and text_bound([], 9) == 9
+    assert text_bound([100, 2, 100, 2], 14) == 5 and text_bound([100], 14) == 14
+
+
+def test_long_texts_leave_room_for_all(spark):
+    """One text over the whole bound, and long toxic ones, do not end the sample."""
+    rows = [(i, "kind words here", 0) for i in range(60)]
+    rows += [(100 + i, "trash talk scum " * (1 + 40 * (i % 2)), 1) for i in range(20)]
+    rows += [(200 + i, "plain prose " * 3000, 0) for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_model(frame.select("doc_id", "text"), frame.drop("text"), max_chars=30_000)
+    assert Scorer(model).score(["some scum and trash", "kind words"])[1][0] > 0.9
+    said = toxicity(frame.select("doc_id", "text"), model).filter("rejected").collect()
+    assert {r.doc_id for r in said} == set(range(100, 120))
+
+
+def test_a_rare_class_is_sampled(spark):
+    """8 toxic texts of 4,000: a plain sample of 160 holds none of them."""
+    rare = [i % 500 == 7 for i in range(4000)]
+    rows = [(i, "trash talk scum" if y else "kind words here", int(y)) for i, y in enumerate(rare)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_model(frame.select("doc_id", "text"), frame.drop("text"), max_rows=160)
+    assert model is not None and Scorer(model).score(["scum talk"])[1][0] > 0.5
+
+
+def test_no_model_is_said(spark, caplog):
+    docs = spark.createDataFrame([(1, "trash"), (2, "scum")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
+    assert fit_model(docs, labels) is None
+    assert "no toxicity model" in caplog.text
