@@ -10,7 +10,10 @@ run is.
 
 Kinds: the base kinds email, ip (parts at most 255), card (16 to 19 digits,
 Luhn) and phone (8 to 15 digits), and iban (mod-97) as a kind of this operator.
-A failing match is dropped and nothing inside it is tried again.
+A failing match of a base kind is dropped and nothing inside it is tried again.
+An iban is tried at every place where one can start, with the length that its
+country fixes; for a country without a registered length, its longest run of whole
+words that passes is taken. Of overlapping ibans the first one counts.
 
 A span's score starts at its kind's prior and rises where one of the kind's
 context words stands in the ``CONTEXT`` characters before it.
@@ -35,7 +38,7 @@ LOCAL = "A-Za-z0-9._%+-"
 
 class Kind(NamedTuple):
     """``pattern`` proposes, ``holds`` confirms; ``hint`` is a cheap test of the
-    text that every match passes."""
+    text that every match passes. ``find`` gives the confirmed places by itself."""
 
     name: str
     pattern: str
@@ -43,6 +46,7 @@ class Kind(NamedTuple):
     hint: Callable[[Column], Column]
     prior: float
     context: str
+    find: Callable[[Column], Column] | None = None
 
 
 def _digits(span: Column) -> Column:
@@ -100,6 +104,89 @@ def _iban(span: Column) -> Column:
     return F.when(size.between(15, 34), mod97(span)).otherwise(F.lit(False))
 
 
+#: Characters of an iban by country (the IBAN registry).
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+_COUNTRIES = "|".join("|".join(c.split()) for c in IBAN_SIZES.values())
+IBAN_START = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}\x20?[A-Z0-9])"
+#: What may be an iban where one can start: of a known country, or of another.
+IBAN = (
+    "^(?:"
+    + "|".join(
+        rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIZES.items()
+    )
+    + rf"|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+)
+#: The longest iban with a space between all characters, and one character more; starts
+#: are at least five characters apart.
+IBAN_WINDOW, IBAN_STARTS = 68, 14
+
+
+def _iban_at_start(window: Column) -> Column:
+    """The iban that a text starts with, or null."""
+
+    def longest(whole: Column) -> Column:
+        words = F.split(whole, " ")
+        runs = F.transform(
+            F.sequence(F.size(words), F.lit(1), F.lit(-1)),
+            lambda k: F.array_join(F.slice(words, 1, k), " "),
+        )
+        known = whole.rlike(f"^(?:{_COUNTRIES})")
+        tried = F.when(known, F.array(whole)).otherwise(runs)
+        return F.get(F.filter(tried, _iban), F.lit(0))
+
+    return let(F.regexp_extract(window, IBAN, 0), longest)
+
+
+def _iban_places(text: Column) -> Column:
+    """array<struct<start, end, text, before>> of the ibans of a text, from its pieces
+    between the places where one can start."""
+
+    def placed(cut: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            window = F.array_join(F.slice(cut["heads"], i + 1, IBAN_STARTS), "")
+            before = F.array_join(
+                F.slice(cut["tails"], F.greatest(i - CONTEXT // 5, F.lit(1)), F.least(i, F.lit(CONTEXT // 5 + 1))), ""
+            )
+            return F.struct(
+                F.length(piece).cast("bigint").alias("size"),
+                _iban_at_start(F.left(window, F.lit(IBAN_WINDOW))).alias("text"),
+                F.right(before, F.lit(CONTEXT)).alias("before"),
+            )
+
+        zero = F.struct(
+            F.lit(0).cast("bigint").alias("at"),
+            F.lit(0).cast("bigint").alias("upto"),
+            F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string>>").alias("out"),
+        )
+
+        def add(acc: Column, p: Column) -> Column:
+            end = acc["at"] + F.length(p["text"])
+            good = p["text"].isNotNull() & (acc["at"] >= acc["upto"])
+            span = F.struct(acc["at"].alias("start"), end.alias("end"), p["text"].alias("text"), p["before"].alias("before"))
+            return F.struct(
+                (acc["at"] + p["size"]).alias("at"),
+                F.when(good, end).otherwise(acc["upto"]).alias("upto"),
+                F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+            )
+
+        return F.aggregate(F.transform(cut["pieces"], one), zero, add, lambda acc: acc["out"])
+
+    def ends(pieces: Column) -> Column:
+        return F.struct(
+            pieces.alias("pieces"),
+            F.transform(pieces, lambda p: F.left(p, F.lit(IBAN_WINDOW))).alias("heads"),
+            F.transform(pieces, lambda p: F.right(p, F.lit(CONTEXT))).alias("tails"),
+        )
+
+    return let(let(F.split(text, IBAN_START, -1), ends), placed)
+
+
 # The base kinds' patterns (made possessive), limits and order.
 BASE = (
     Kind(
@@ -138,17 +225,18 @@ BASE = (
 OWN = (
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+        IBAN,
         _iban,
-        lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
+        lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}"),
         0.8,
         r"(?i)iban|account|bank|transfer",
+        _iban_places,
     ),
 )
 
 
-def _spans(text: Column, kind: Kind) -> Column:
-    """array<struct<kind, start, end, text, score>> of the confirmed matches."""
+def _matches(text: Column, kind: Kind) -> Column:
+    """array<struct<start, end, text, before>> of the confirmed matches."""
 
     def placed(both: Column) -> Column:
         found, gaps = both["found"], both["gaps"]
@@ -187,6 +275,12 @@ def _spans(text: Column, kind: Kind) -> Column:
     spans = let(both, placed)
     if kind.holds is not None:
         spans = F.filter(spans, lambda s: kind.holds(s["text"]))
+    return spans
+
+
+def _spans(text: Column, kind: Kind) -> Column:
+    """array<struct<kind, start, end, text, score>> of the confirmed matches."""
+    spans = kind.find(text) if kind.find else _matches(text, kind)
     near = lambda s: F.when(s["before"].rlike(kind.context), (1 - kind.prior) / 2).otherwise(0.0)
     scored = F.transform(
         spans,

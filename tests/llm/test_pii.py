@@ -73,3 +73,22 @@ def test_edge_cases(spark, odd_docs, no_docs):
     long = ["1" * 100_000, "1.1." * 20_000, "a" * 100_000 + "@", "+" + "1" * 100_000, "A1" * 50_000]
     frame = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
     assert pii_report(frame).count() == len(long)
+
+
+def test_ibans_among_other_words(spark):
+    """Valid ibans before capitals and digits, spaced out, close together and of other countries."""
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    spaced, other = "GB82 " + " ".join("WEST12345698765432"), "ZZ00 1234 5678 9012 345"
+    number = int("".join(str(int(c, 36)) for c in other[4:].replace(" ", "") + "ZZ00"))
+    other = f"ZZ{98 - number % 97:02d}{other[4:]}"
+    rows = [
+        (f"{de} BIC COBADEFF", [de]), (f"{gb} THANKS", [gb]), (f"é🙂 {gb} 1234", [gb]), (f"{gb} {de} {gb}", [gb, de, gb]),
+        (f"AB12 {de}", [de]), (f"AD12 {de}", [de]), (spaced, None), (f"{other} OK", [other]),
+        (f"IBAN {gb}X", []), ("GB82 WEST 1234 5698 7654", []), ("AB12 C " * 3000 + de, [de]), (f"{de}, ({gb})", [de, gb]),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    for r in find_pii(frame).collect():
+        text, want = rows[r.doc_id]
+        found = [s.text for s in r.iban_spans]
+        assert all(text[s.start : s.end] == s.text for s in r.iban_spans)
+        assert found == ([text] if want is None else want), text[:80]
