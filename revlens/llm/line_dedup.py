@@ -1,8 +1,10 @@
 """Repeated and nearly repeated lines, by a segment-partition edit join.
 
 A line of at least ``min_chars`` characters is dropped when an earlier line (by
-id, then text hash, then place) is equal to it or at most t edits away; shorter
-lines repeat by nature and are left alone.
+id, then text hash, then place) is equal to it or at most t edits away. Shorter
+lines repeat by nature and are never compared by edits; those of at least
+``min_exact`` characters are dropped when an earlier line is equal, and by default
+none is. ``short_repeats`` counts what stays for that reason.
 
 Equal lines are one class, told apart by 96 bits of hash. A class line of n
 characters is cut into t + 1 segments, so any line within t edits holds one of
@@ -291,15 +293,20 @@ def repeated_lines(
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
     hot: int = HOT,
+    min_exact: int | None = None,
 ) -> DataFrame:
     """(doc_id, _h, drops, n_exact, n_near): the places of the lines to drop, for each
     document that has any."""
     t = max_edits
-    scanned = _lines(docs, id_col, text_col, min_chars)
+    least = min_chars if min_exact is None else min(min_exact, min_chars)
+    scanned = _lines(docs, id_col, text_col, least)
+    near_keys = F.array(*segment_keys(F.col("line"), F.col("n"), t))
+    if least < min_chars:
+        near_keys = F.when(F.col("n") >= min_chars, near_keys)
     classes = scanned.groupBy("h1", "h2").agg(
         F.min(_where()).alias("first"),
         F.count(F.lit(1)).alias("copies"),
-        F.first(F.array(*segment_keys(F.col("line"), F.col("n"), t))).alias("keys"),
+        F.first(near_keys).alias("keys"),
     )
     classes = materialise(classes, "line-classes")
     keys = (
@@ -363,6 +370,33 @@ def repeated_lines(
     )
 
 
+def short_repeats(
+    docs: DataFrame,
+    text_col: str = "text",
+    min_chars: int = MIN_CHARS,
+) -> DataFrame:
+    """One row (repeated, surplus, long_repeated, long_surplus): the lines that stand more
+    than once and their copies beyond the first, of those under ``min_chars`` characters
+    (blank ones apart) and of the others. Copies are counted by hash before any shuffle."""
+    classes = (
+        docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+        .filter(F.trim("line") != "")
+        .groupBy(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), (F.length("line") < min_chars).alias("short"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .filter("copies > 1")
+    )
+    return classes.agg(
+        *[
+            made.alias(name)
+            for short, prefix in ((F.col("short"), ""), (~F.col("short"), "long_"))
+            for made, name in (
+                (F.count_if(short), f"{prefix}repeated"),
+                (F.coalesce(F.sum(F.when(short, F.col("copies") - 1)), F.lit(0)), f"{prefix}surplus"),
+            )
+        ]
+    )
+
+
 def _with_drops(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """_row (the columns of ``docs``), _text (what is left of its text), _exact, _near."""
     found = materialise(repeated_lines(docs, id_col, text_col, **how), "dropped-lines")

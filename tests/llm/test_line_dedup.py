@@ -9,6 +9,7 @@ from revlens.llm.line_dedup import (
     dedup_lines,
     line_report,
     repeated_lines,
+    short_repeats,
     variants,
 )
 
@@ -118,3 +119,15 @@ def test_report_and_edge_cases(spark, odd_docs, no_docs):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, odd_docs.collect()))
     assert dedup_lines(no_docs).count() == 0
     assert repeated_lines(no_docs).count() == 0
+
+
+def test_short_lines_are_counted_and_go_if_asked(spark):
+    long = "A line that is long enough to be looked at, with some words."
+    docs = [(1, f"Menu\n{long}\nshare\n\n}}"), (2, f"Menu\nshore\n\n}}\n{long}"), (3, "Menu\nlast"), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert tuple(short_repeats(frame).first()) == (2, 3, 1, 1)
+    assert tuple(short_repeats(frame.limit(0)).first()) == (0, 0, 0, 0)
+    left = {r.doc_id: r.text for r in dedup_lines(frame, min_exact=3).collect()}
+    assert left == {1: docs[0][1], 2: "shore\n\n}", 3: "last", 4: None}
+    stays = {r.doc_id: r.text for r in dedup_lines(frame).collect()}
+    assert stays == {1: docs[0][1], 2: "Menu\nshore\n\n}", 3: "Menu\nlast", 4: None}
