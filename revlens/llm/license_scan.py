@@ -15,6 +15,7 @@ the id and the text are not read.
 
 from __future__ import annotations
 
+from bisect import bisect
 from typing import NamedTuple
 
 import ahocorasick
@@ -111,18 +112,43 @@ class Searcher:
                     if joined[s - 1] == " " and joined[s + n] == " "
                 ]
                 continue
-            regions: list[list[int]] = []
+            regions: list[tuple[int, int, list]] = []
             for s in sorted(found):
                 low, high = max(0, s - k - 1), min(len(joined), s + n + k + 1)
+                hit = self.patterns[number].search(joined, low, high)
+                hits = [hit] if hit else []
                 if regions and low <= regions[-1][1]:
-                    regions[-1][1] = high
-                else:
-                    regions.append([low, high])
-            for low, high in regions:
-                for hit in self.patterns[number].finditer(joined, low, high):
+                    low, _, before = regions.pop()
+                    before += hits
+                    hits = before
+                regions.append((low, high, hits))
+            for low, high, hits in regions:
+                for hit in self._apart(number, joined, low, high, hits):
                     out.append((number, sum(hit.fuzzy_counts), hit.start(), hit.end()))
         return out
 
+    def _apart(self, number: int, joined: str, low: int, high: int, hits: list) -> list:
+        """The best of the hits that overlap, and what a search finds between them."""
+        kept: list = []
+        for hit in sorted(hits, key=lambda h: (sum(h.fuzzy_counts), h.start())):
+            i = bisect(kept, hit.start(), key=lambda h: h.start())
+            if (not i or kept[i - 1].end() <= hit.start()) and (
+                i == len(kept) or hit.end() <= kept[i].start()
+            ):
+                kept.insert(i, hit)
+        notice, edges = self.notices[number], [low, *[x for h in kept for x in h.span()], high]
+        rest = list(zip(edges[::2], edges[1::2], strict=True))
+        while rest:
+            a, b = rest.pop()
+            # a match and the space on one side of it at least
+            if b - a <= len(notice.phrase) - notice.max_edits:
+                continue
+            hit = self.patterns[number].search(joined, a, b)
+            if hit:
+                kept.append(hit)
+                rest += [(a, hit.start()), (hit.end(), b)]
+        return sorted(kept, key=lambda h: h.start())
+
     def scan(self, texts: list[str]) -> list[list]:
         counts, spans = [], []
         for text in texts:

@@ -58,6 +58,15 @@ def test_edited_notices_are_found_with_their_spans():
     assert by_label["gpl"]["edits"] == 2
 
 
+def test_worse_places_before_a_better_one_stay():
+    notice = next(n for n in FUZZY if n.max_edits)
+    worse = notice.phrase[:2] + notice.phrase[3:]
+    for places in ([worse, notice.phrase], [notice.phrase, worse], [worse, notice.phrase, worse], [worse] * 3):
+        (spans,) = Searcher((notice,)).scan([" ".join(places)])[1]
+        assert [s["text"] for s in spans] == places
+        assert [s["edits"] for s in spans] == [int(p == worse) for p in places]
+
+
 def test_too_many_edits_and_plain_prose_are_left():
     texts = ["the gnu herd in general lives on public land", "with license to roam", "a mitt"]
     assert Searcher(BASE + FUZZY).scan(texts)[1] == [[], [], []]
