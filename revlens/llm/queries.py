@@ -13,6 +13,7 @@ from revlens.llm.ann_lsh import EVERY, nearest
 from revlens.llm.decontaminate import contamination_report
 from revlens.llm.license_scan import license_report
 from revlens.llm.line_dedup import line_report
+from revlens.llm.minhash_bottomk import near_duplicates as similar_sets
 from revlens.llm.mixing import corpus_levels, mix
 from revlens.llm.pii import pii_report
 from revlens.llm.quality_rules import fit_rules, quality
@@ -102,3 +103,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))

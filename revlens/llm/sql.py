@@ -118,5 +118,25 @@ FROM (
 """
 
 
+_SQL["op12_minhash_near_dedup"] = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT rid, array_to_string(w[s:s + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM d WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM grams GROUP BY rid),
+links AS (
+  SELECT a.rid AS a, b.rid AS b FROM grams a JOIN grams b ON a.g = b.g AND a.rid <> b.rid
+  JOIN sizes x ON x.rid = a.rid JOIN sizes y ON y.rid = b.rid
+  GROUP BY a.rid, b.rid, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least_id AS (SELECT reach.a AS rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN least_id USING (rid) LEFT JOIN sizes USING (rid)
+"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(_SQL)
