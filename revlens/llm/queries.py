@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm.ann_lsh import EVERY, nearest
 from revlens.llm.decontaminate import contamination_report
+from revlens.llm.fim_wavelet import fim_report
 from revlens.llm.license_scan import license_report
 from revlens.llm.line_dedup import line_report
 from revlens.llm.minhash_bottomk import near_duplicates as similar_sets
@@ -105,6 +106,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_fim_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"))

@@ -118,6 +118,30 @@ FROM (
 """
 
 
+_SQL["op11_fim_wavelet"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+  FROM documents),
+e AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x,
+    ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS cut,
+    ('0x' || h[25:32])::BIGINT % 100 AS turn FROM d),
+f AS (
+  SELECT doc_id, t, n,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR cut >= 50 THEN 'plain'
+      WHEN turn < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+    array_to_string(u[greatest(x, y) + 1:], '') AS s
+  FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+    ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM f
+"""
+
 _SQL["op12_minhash_near_dedup"] = """
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id,
