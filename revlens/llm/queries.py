@@ -14,6 +14,7 @@ from revlens.llm.decontaminate import contamination_report
 from revlens.llm.fim_wavelet import fim_report
 from revlens.llm.license_scan import license_report
 from revlens.llm.line_dedup import line_report
+from revlens.llm.merkle_bitmap import manifest_report
 from revlens.llm.minhash_bottomk import near_duplicates as similar_sets
 from revlens.llm.mixing import corpus_levels, mix
 from revlens.llm.pii import pii_report
@@ -114,3 +115,8 @@ def op11_fim_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_report(table(spark, sf_dir, "documents"))

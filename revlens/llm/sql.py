@@ -162,5 +162,61 @@ FROM d JOIN least_id USING (rid) LEFT JOIN sizes USING (rid)
 """
 
 
+def _merkle(names: str, of: str, group: str, levels: int) -> str:
+    """Levels of a tree over ``of`` (group, i, h, c) and, beside them, of every row's
+    proof and fold (table ``names``0 has rid, group, i, c, proof, fold)."""
+    same = f"s.{group} IS NOT DISTINCT FROM b.{group} AND b.i = xor(s.i, 1)"
+    return ",".join(
+        f"""
+{of}{k + 1} AS MATERIALIZED (
+  SELECT {group}, i // 2 AS i, CASE WHEN max(c) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+    (max(c) + 1) // 2 AS c FROM {of}{k} GROUP BY {group}, i // 2),
+{names}{k + 1} AS MATERIALIZED (
+  SELECT s.rid, s.{group}, s.i // 2 AS i, (s.c + 1) // 2 AS c, proof || coalesce(b.h, '') AS proof,
+    CASE WHEN s.c = 1 THEN fold WHEN b.h IS NULL THEN sha256(fold) WHEN s.i % 2 = 0 THEN sha256(fold || b.h)
+      ELSE sha256(b.h || fold) END AS fold
+  FROM {names}{k} s LEFT JOIN {of}{k} b ON {same})"""
+        for k in range(levels)
+    )
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [
+        f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+        for c in ("doc_id", "source", "lang", n_chars, "text")
+    ]
+    return f"sha256({' || '.join(parts)})"
+
+
+# Enough levels for 2**22 documents of one language and 2**8 languages. DuckDB has no
+# CRC, so it is built bit by bit from the id's digits (its generator is a fixed value).
+_SQL["op13_merkle_manifest"] = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, *, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(
+      list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, ignored: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)),
+    4294967295::BIGINT) AS crc
+  FROM documents),
+leaves AS MATERIALIZED (
+  SELECT rid, doc_id, lang, {_leaf('n_chars')} AS leaf,
+    CASE WHEN crc % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS shown FROM d),
+n0 AS MATERIALIZED (
+  SELECT rid, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h,
+    count(*) OVER (PARTITION BY lang) AS c FROM leaves),
+s0 AS MATERIALIZED (SELECT rid, n0.lang, i, c, '' AS proof, shown AS fold FROM n0 JOIN leaves USING (rid)),
+{_merkle('s', 'n', 'lang', 22)},
+g0 AS MATERIALIZED (
+  SELECT 0 AS one, lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS c
+  FROM n22),
+t0 AS MATERIALIZED (
+  SELECT rid, 0 AS one, g0.i, g0.c, proof, fold FROM s22 s JOIN g0 ON s.lang IS NOT DISTINCT FROM g0.lang),
+{_merkle('t', 'g', 'one', 8)}
+SELECT doc_id, leaf, subroot, g8.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = g8.h AS verified
+FROM t8 JOIN leaves USING (rid) JOIN g0 ON leaves.lang IS NOT DISTINCT FROM g0.lang CROSS JOIN g8
+"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(_SQL)
