@@ -29,7 +29,7 @@ from revlens.operators.scoring import (
 from revlens.operators.soft_match import soft_match
 from revlens.operators.unify import unify
 from revlens.session import materialise
-from revlens.sources.catalog import NO_REFERENCE, models_table
+from revlens.sources.catalog import MODELS, NO_REFERENCE, Model, models_table
 
 WordIds = Callable[[Column], Column]
 KEY = ("review_id", "model")
@@ -56,9 +56,9 @@ def extract(google: DataFrame, appstore: DataFrame) -> DataFrame:
     return unify(google, appstore)
 
 
-def scored_sentiment(calls: DataFrame) -> DataFrame:
+def scored_sentiment(calls: DataFrame, models: tuple[Model, ...] = MODELS) -> DataFrame:
     """Clean, validate and price a sentiment log (with ``label`` where known)."""
-    priced = price(with_output(calls), models_table(calls.sparkSession))
+    priced = price(with_output(calls), models_table(calls.sparkSession, models))
     return with_sentiment(priced)
 
 

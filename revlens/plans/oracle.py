@@ -305,39 +305,44 @@ sentiment_part("s_open2", "c_open_labelled2")
 
 # --- sentiment scores, per class first --------------------------------------------
 
-part(
-    "per_class",
-    f"""SELECT b.dataset, b.model, c.label,
-          count(*) FILTER (b.label = c.label) AS support,
-          count(*) FILTER (b.prediction = c.label) AS predicted,
-          count(*) FILTER (b.label = c.label AND b.prediction = c.label) AS tp
-        FROM s_eval b CROSS JOIN (SELECT unnest({_LABEL_LIST}) AS label) c GROUP BY ALL""",
-    "s_eval",
-)
-part(
-    "board",
-    f"""SELECT t.dataset, t.model, n_reviews, {r6("n_right::DOUBLE / n_reviews")} AS accuracy,
-          {r6("f1 / n_reviews")} AS f1, {r6("recall / n_reviews")} AS recall,
-          {r6("precision / n_reviews")} AS precision, total_response_time, total_cost
-        FROM (SELECT dataset, model, count(*) AS n_reviews,
-                count(*) FILTER (label = prediction) AS n_right,
-                sum(floor(elapsed_s * 1e6 + 0.5)::BIGINT)::BIGINT / 1e6 AS total_response_time,
-                sum(micro)::BIGINT / 1e6 AS total_cost
-              FROM s_eval GROUP BY ALL) t
-        JOIN (SELECT dataset, model,
-                sum(support * CASE WHEN predicted + support = 0 THEN 0.0::DOUBLE
-                    ELSE 2 * tp::DOUBLE / (predicted + support) END
-                    ORDER BY list_position({_LABEL_LIST}, label)) AS f1,
-                sum(support * CASE WHEN support = 0 THEN 0.0::DOUBLE
-                    ELSE tp::DOUBLE / support END ORDER BY list_position({_LABEL_LIST}, label))
-                  AS recall,
-                sum(support * CASE WHEN predicted = 0 THEN 0.0::DOUBLE
-                    ELSE tp::DOUBLE / predicted END ORDER BY list_position({_LABEL_LIST}, label))
-                  AS precision
-              FROM per_class GROUP BY ALL) w
-          ON w.dataset = t.dataset AND w.model = t.model""",
-    "s_eval", "per_class",
-)
+def board_parts(suffix: str, scored: str) -> None:
+    """``board`` of the scored calls of one part, with counts per class first."""
+    part(
+        f"per_class{suffix}",
+        f"""SELECT b.dataset, b.model, c.label,
+              count(*) FILTER (b.label = c.label) AS support,
+              count(*) FILTER (b.prediction = c.label) AS predicted,
+              count(*) FILTER (b.label = c.label AND b.prediction = c.label) AS tp
+            FROM {scored} b CROSS JOIN (SELECT unnest({_LABEL_LIST}) AS label) c GROUP BY ALL""",
+        scored,
+    )
+    part(
+        f"board{suffix}",
+        f"""SELECT t.dataset, t.model, n_reviews, {r6("n_right::DOUBLE / n_reviews")} AS accuracy,
+              {r6("f1 / n_reviews")} AS f1, {r6("recall / n_reviews")} AS recall,
+              {r6("precision / n_reviews")} AS precision, total_response_time, total_cost
+            FROM (SELECT dataset, model, count(*) AS n_reviews,
+                    count(*) FILTER (label = prediction) AS n_right,
+                    sum(floor(elapsed_s * 1e6 + 0.5)::BIGINT)::BIGINT / 1e6 AS total_response_time,
+                    sum(micro)::BIGINT / 1e6 AS total_cost
+                  FROM {scored} GROUP BY ALL) t
+            JOIN (SELECT dataset, model,
+                    sum(support * CASE WHEN predicted + support = 0 THEN 0.0::DOUBLE
+                        ELSE 2 * tp::DOUBLE / (predicted + support) END
+                        ORDER BY list_position({_LABEL_LIST}, label)) AS f1,
+                    sum(support * CASE WHEN support = 0 THEN 0.0::DOUBLE
+                        ELSE tp::DOUBLE / support END ORDER BY list_position({_LABEL_LIST}, label))
+                      AS recall,
+                    sum(support * CASE WHEN predicted = 0 THEN 0.0::DOUBLE
+                        ELSE tp::DOUBLE / predicted END ORDER BY list_position({_LABEL_LIST}, label))
+                      AS precision
+                  FROM per_class{suffix} GROUP BY ALL) w
+              ON w.dataset = t.dataset AND w.model = t.model""",
+        scored, f"per_class{suffix}",
+    )
+
+
+board_parts("", "s_eval")
 
 # --- pairs and text metrics -------------------------------------------------------
 
@@ -626,7 +631,7 @@ part(
 )
 
 
-def _words(x: str) -> str:
+def words(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '{WORD}')"
 
 
@@ -635,7 +640,7 @@ part(
     f"""SELECT word, {r6("(pos - neg)::DOUBLE / (pos + neg)")} AS polarity FROM
         (SELECT word, count(*) FILTER (label = 'positive') AS pos,
                 count(*) FILTER (label = 'negative') AS neg
-         FROM (SELECT label, unnest({_words("review")}) AS word
+         FROM (SELECT label, unnest({words("review")}) AS word
                FROM reviews r JOIN truth t ON t.review_id = r.review_id
                WHERE label <> 'neutral') GROUP BY ALL)""",
     "reviews", "truth",
@@ -650,7 +655,7 @@ def polarity_part(name: str, source: str, key: str, text: str) -> None:
             FROM {source} t LEFT JOIN (
               SELECT {key}, count(*) AS n_hits,
                      sum(floor(polarity * 1e6 + 0.5)::BIGINT)::BIGINT AS micro_sum
-              FROM (SELECT {key}, unnest({_words(text)}) AS word FROM {source}) w
+              FROM (SELECT {key}, unnest({words(text)}) AS word FROM {source}) w
               JOIN lexicon USING (word) GROUP BY ALL) s USING ({key})""",
         source, "lexicon",
     )
@@ -806,6 +811,12 @@ def _text_metrics(suffix: str = "", instead: dict[str, str] | None = None) -> di
 
 
 def all_sql() -> dict[str, str]:
+    from revlens.plans import oracle_trained  # it builds on the parts above
+
+    return _own_sql() | oracle_trained.all_sql()
+
+
+def _own_sql() -> dict[str, str]:
     confusion_columns = ", ".join(
         f"count(*) FILTER (prediction = {q(x)}) AS pred_{x}" for x in (*LABELS, ERROR_LABEL)
     )

@@ -45,6 +45,8 @@ def query(fn: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
+    from revlens.plans import trained  # noqa: F401 - it registers its queries here
+
     return dict(_QUERIES)
 
 
@@ -72,14 +74,14 @@ def _with_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _customer(spark, sf).join(corpus.truth(spark, sf), "review_id", "left")
 
 
-def _evaluation(spark: SparkSession, sf: str) -> DataFrame:
+def evaluation_rows(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.evaluation_set(
         corpus.reviews(spark, sf), corpus.truth(spark, sf), corpus.edge_cases(spark)
     )
 
 
 def _sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.scored_sentiment(offline_calls(_evaluation(spark, sf), "sentiment"))
+    return jobs.scored_sentiment(offline_calls(evaluation_rows(spark, sf), "sentiment"))
 
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -592,7 +594,7 @@ def _board_of_log(log: DataFrame, evaluation: DataFrame) -> DataFrame:
 @query
 def sentiment_leaderboard_from_log(spark, sf):
     """Requests, batch calls in committed chunks, the written log, then the scores."""
-    evaluation = _evaluation(spark, sf)
+    evaluation = evaluation_rows(spark, sf)
     reqs = prompting.requests(evaluation, "sentiment")
     factories = {m: _client_factory for m in MODEL_NAMES}
     path = new_table_path(spark, "sentiment-log")
@@ -616,7 +618,7 @@ def _flaky_factory(model: str, task: str, budget: int):
 def rerun_leaderboard(spark, sf):
     """Calls that fail, a second run that asks for them alone, and the scores of both
     runs' log: each call key counts once."""
-    evaluation = _evaluation(spark, sf)
+    evaluation = evaluation_rows(spark, sf)
     reqs = prompting.requests(evaluation, "sentiment")
     factories = {m: _flaky_factory for m in MODEL_NAMES}
     path = new_table_path(spark, "rerun-log")
