@@ -66,8 +66,10 @@ def sentiment_comparison(calls: DataFrame) -> DataFrame:
     return classification.sentiment_leaderboard(scored_sentiment(calls))
 
 
-def priced_text(calls: DataFrame, lower_responses_of: tuple[str, ...] = ()) -> DataFrame:
-    return price(with_output(calls, lower_responses_of), models_table(calls.sparkSession))
+def priced_text(
+    calls: DataFrame, lower_responses_of: tuple[str, ...] = (), models: tuple[Model, ...] = MODELS
+) -> DataFrame:
+    return price(with_output(calls, lower_responses_of), models_table(calls.sparkSession, models))
 
 
 def summary_pairs(

@@ -707,7 +707,7 @@ def _sum6(x: str) -> str:
     return f"sum(floor(({x}) * 1e6 + 0.5)::BIGINT)::BIGINT / 1e6"
 
 
-def _quality(pairs: str, task: str) -> str:
+def quality(pairs: str, task: str, instead: dict[str, str] | None = None) -> str:
     metrics = ("rouge_1", "rouge_2", "rouge_l", "soft_f1", "meteor", "compression")
     sums = ", ".join(
         f"{_sum6(m)} AS {m}_sum, {r6(f'{_sum6(m)} / nullif(count({m}), 0)')} AS {m}_avg"
@@ -735,7 +735,7 @@ def _quality(pairs: str, task: str) -> str:
                          {r6("sum(floor(perplexity * 1e6 + 0.5)::HUGEINT)::DOUBLE / 1e6 / count(*)")}
                          AS perplexity_avg
                        FROM ppl WHERE task = {q(task)} GROUP BY model) f ON f.model = b.model""",
-        pairs, "rouge_f", "lcs", "soft_f", "meteor_f", "ppl",
+        pairs, "rouge_f", "lcs", "soft_f", "meteor_f", "ppl", instead=instead,
     )
 
 
@@ -959,8 +959,8 @@ def _own_sql() -> dict[str, str]:
                       SELECT {ids}, output, review_tokens FROM c_response)""",
             "c_summary", "c_response",
         ),
-        "summary_leaderboard": _quality("summary_pairs", "summary"),
-        "response_leaderboard": _quality("response_pairs", "response"),
+        "summary_leaderboard": quality("summary_pairs", "summary"),
+        "response_leaderboard": quality("response_pairs", "response"),
         "leaderboard_long": build(
             """UNPIVOT (SELECT dataset, model, accuracy, f1, recall, precision,
                           total_response_time, total_cost FROM board)

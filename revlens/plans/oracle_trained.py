@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from revlens.operators import naive_bayes
-from revlens.plans.oracle import board_parts, build, h, part, q, words
+from revlens.functions.text import WS_CHARS
+from revlens.operators import extractive, naive_bayes
+from revlens.plans.oracle import board_parts, build, calls_part, h, part, q, quality, sents, strip, toks, words
 from revlens.sources.catalog import LABELS
 
 _HELD = f"{h(q('fold:') + ' || review_id')} % {naive_bayes.FOLDS} = 0"
@@ -57,8 +58,66 @@ part(
 board_parts("_unseen", "s_unseen")
 
 
+# --- summaries: sentence and term weights step by step, as joins -------------------
+
+part(
+    "x_sentences",
+    f"""SELECT review_id, i, {strip("s")} AS s FROM (
+          SELECT review_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i
+          FROM (SELECT review_id, {sents("coalesce(review, '')")} AS ss FROM reviews))""",
+    "reviews",
+)
+part(
+    "x_terms",
+    f"SELECT DISTINCT review_id, i, unnest({words('s')}) AS term FROM x_sentences",
+    "x_sentences",
+)
+part("x_w0", f"SELECT review_id, i, {extractive.SCALE}::BIGINT AS w FROM x_sentences", "x_sentences")
+for _k in range(extractive.STEPS):
+    part(
+        f"x_w{_k + 1}",
+        f"""SELECT review_id, i, g * {extractive.SCALE} // greatest(max(g) OVER (PARTITION BY review_id), 1) AS w
+            FROM (SELECT s.review_id, s.i, coalesce(sum(mass)::BIGINT // count(t.term), 0)::BIGINT AS g
+                  FROM x_sentences s LEFT JOIN x_terms t ON t.review_id = s.review_id AND t.i = s.i
+                  LEFT JOIN (SELECT t.review_id, term, sum(w) AS mass FROM x_terms t
+                             JOIN x_w{_k} w ON w.review_id = t.review_id AND w.i = t.i GROUP BY ALL) m
+                    ON m.review_id = t.review_id AND m.term = t.term
+                  GROUP BY ALL)""",
+        "x_sentences", "x_terms", f"x_w{_k}",
+    )
+part(
+    "x_ranked",
+    f"""SELECT *, sum(n) OVER o AS upto, row_number() OVER o AS place FROM (
+          SELECT review_id, i, s, w, len({toks("s")}) AS n FROM x_sentences JOIN x_w{extractive.STEPS} USING (review_id, i))
+        WINDOW o AS (PARTITION BY review_id ORDER BY w DESC, i)""",
+    "x_sentences", f"x_w{extractive.STEPS}",
+)
+part(
+    "x_summaries",
+    f"""SELECT r.review_id, count(s) AS n_sentences,
+          CASE WHEN count(s) = 0 THEN ''
+               WHEN min(upto) > {extractive.BUDGET}
+                 THEN array_to_string({toks("arg_min(s, place)")}[1:{extractive.BUDGET}], ' ')
+               ELSE string_agg(s, '. ' ORDER BY i) FILTER (upto <= {extractive.BUDGET}) END AS summary
+        FROM reviews r LEFT JOIN x_ranked x ON x.review_id = r.review_id GROUP BY r.review_id""",
+    "reviews", "x_ranked",
+)
+calls_part("c_summary_others", "customer", "summary")
+part(
+    "c_summary_all",
+    f"""SELECT * FROM c_summary_others UNION ALL BY NAME
+        SELECT 'summary' AS task, 'customer' AS dataset, review_id, {q(extractive.NAME)} AS model,
+          len({toks("review")}) AS review_tokens, lower(trim(summary, {q(WS_CHARS)})) AS output,
+          0.0 AS elapsed_s, 0 AS micro
+        FROM x_summaries JOIN reviews USING (review_id)""",
+    "c_summary_others", "x_summaries", "reviews",
+)
+
+
 def all_sql() -> dict[str, str]:
     return {
         "sentiment_trained": build("SELECT * FROM nb_answers", "nb_answers"),
+        "summary_extracted": build("SELECT * FROM x_summaries", "x_summaries"),
+        "summary_leaderboard_extracted": quality("summary_pairs", "summary", {"c_summary": "c_summary_all"}),
         "sentiment_leaderboard_trained": build("SELECT * FROM board_unseen", "board_unseen"),
     }

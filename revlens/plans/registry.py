@@ -65,13 +65,13 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _customer(spark: SparkSession, sf: str) -> DataFrame:
+def customer_rows(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.reviews(spark, sf).withColumn("dataset", F.lit("customer"))
 
 
 def _with_labels(spark: SparkSession, sf: str) -> DataFrame:
     """All reviews, with a label where one is known."""
-    return _customer(spark, sf).join(corpus.truth(spark, sf), "review_id", "left")
+    return customer_rows(spark, sf).join(corpus.truth(spark, sf), "review_id", "left")
 
 
 def evaluation_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,11 +85,11 @@ def _sentiment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.priced_text(offline_calls(_customer(spark, sf), "summary"))
+    return jobs.priced_text(offline_calls(customer_rows(spark, sf), "summary"))
 
 
 def _responses(spark: SparkSession, sf: str, version: int = 1) -> DataFrame:
-    open_reviews = unify.unreplied(_customer(spark, sf))
+    open_reviews = unify.unreplied(customer_rows(spark, sf))
     lowered = LOWERED_IN_REPORT if version == 2 else ()
     return jobs.priced_text(offline_calls(open_reviews, "response", version), lowered)
 
@@ -106,7 +106,7 @@ def _response_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
 
 def _replies_per_user(spark: SparkSession, sf: str) -> DataFrame:
     """How many replies each user gets: open reviews times models, before the fan-out."""
-    open_reviews = unify.unreplied(_customer(spark, sf))
+    open_reviews = unify.unreplied(customer_rows(spark, sf))
     n = (F.count("*") * len(MODEL_NAMES)).alias("n_rows")
     return open_reviews.groupBy("user_name").agg(n)
 
@@ -188,7 +188,7 @@ def by_text_last(spark, sf):
 def prompts(spark, sf):
     """Each task's prompt per review, in both versions, with its token count and
     output budget."""
-    rows = _customer(spark, sf).select("dataset", "review_id", "user_name", "review")
+    rows = customer_rows(spark, sf).select("dataset", "review_id", "user_name", "review")
     budget = tasks_table(spark).select("task", "max_tokens", "temperature")
     kinds = (("sentiment", 1), ("summary", 1), ("response", 1), ("response", 2))
     made = F.array(
@@ -210,7 +210,7 @@ def prompt_messages(spark, sf):
     """The end-to-end report's chat messages per (review, model); the text is given
     by its digest and length, as each is repeated for every model."""
     reqs = prompting.messages(
-        prompting.requests(unify.unreplied(_customer(spark, sf)), "response", version=2)
+        prompting.requests(unify.unreplied(customer_rows(spark, sf)), "response", version=2)
     )
     return present(
         reqs.select("review_id", "model", F.posexplode("messages").alias("pos", "m")).select(
@@ -242,7 +242,7 @@ def token_cost(spark, sf):
 @query
 def llm_response_parse(spark, sf):
     """Chat responses as JSON text, some of them not JSON, read back into calls."""
-    calls = offline_calls(_customer(spark, sf), "summary").filter(F.col("error").isNull())
+    calls = offline_calls(customer_rows(spark, sf), "summary").filter(F.col("error").isNull())
     body = F.to_json(
         F.struct(
             F.array(
@@ -265,7 +265,7 @@ def call_errors(spark, sf):
     """Error rows: backend failures and a model that is not in the catalogue, with
     the message also in the output column as the legacy view has it."""
     calls = offline_calls(
-        _customer(spark, sf), "summary", models=(*MODEL_NAMES, UNLISTED)
+        customer_rows(spark, sf), "summary", models=(*MODEL_NAMES, UNLISTED)
     )
     failed = jobs.priced_text(calls).filter(F.col("error").isNotNull())
     legacy = scoring.legacy_error_as_output(failed)
@@ -492,7 +492,7 @@ def compression(spark, sf):
 # --- leaderboards and reports ---------------------------------------------------
 
 
-def _quality(spark: SparkSession, sf: str, pairs_of) -> DataFrame:
+def quality_of(spark: SparkSession, sf: str, pairs_of) -> DataFrame:
     vectors, n = corpus.word_vectors(spark, sf)
     ids = _word_ids(n)
     return jobs.quality_board(
@@ -502,12 +502,12 @@ def _quality(spark: SparkSession, sf: str, pairs_of) -> DataFrame:
 
 @query
 def summary_leaderboard(spark, sf):
-    return present(_quality(spark, sf, _summary_pairs))
+    return present(quality_of(spark, sf, _summary_pairs))
 
 
 @query
 def response_leaderboard(spark, sf):
-    return present(_quality(spark, sf, _response_pairs))
+    return present(quality_of(spark, sf, _response_pairs))
 
 
 @query
@@ -533,7 +533,7 @@ def _report_sentiment(spark: SparkSession, sf: str, rows: DataFrame) -> DataFram
 
 @query
 def e2e_detail(spark, sf):
-    rows = unify.unreplied(_customer(spark, sf))
+    rows = unify.unreplied(customer_rows(spark, sf))
     return present(
         reports.e2e_detail(
             _report_sentiment(spark, sf, rows),
@@ -545,7 +545,7 @@ def e2e_detail(spark, sf):
 
 @query
 def e2e_totals(spark, sf):
-    rows = _customer(spark, sf)
+    rows = customer_rows(spark, sf)
     columns = ("task", "model", "elapsed_s", "cost_usd")
     parts = (
         jobs.priced_text(offline_calls(_with_labels(spark, sf), "sentiment", 2)),
@@ -573,7 +573,7 @@ _QUICK = tuple(dataclasses.replace(m, pace_seconds=m.pace_seconds / 1000) for m
 @query
 def batch_infer_log(spark, sf):
     """Summary calls through the batch operator, written as a log and read back."""
-    reqs = prompting.requests(_customer(spark, sf), "summary")
+    reqs = prompting.requests(customer_rows(spark, sf), "summary")
     factories = {m: _client_factory for m in MODEL_NAMES}
     log = log_calls(batch_infer(reqs, "summary", factories, _QUICK), "batch-infer-log")
     return present(

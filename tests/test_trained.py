@@ -3,10 +3,11 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import naive_bayes
+from revlens.operators import extractive, naive_bayes
 from revlens.operators.infer import batch_infer
 from revlens.sources.catalog import LABELS
 
@@ -85,3 +86,46 @@ def test_nothing_to_learn_from(spark, asked):
     empty = naive_bayes.train(spark.createDataFrame([], "review_id bigint, review string, label string"))
     out = naive_bayes.classify(asked, empty, ["review_id"]).collect()
     assert {r.prediction for r in out} == {"positive"} and len(out) == len(ASKED)
+
+
+# --- extractive summaries -------------------------------------------------------
+
+
+def graph_centrality(terms, steps=extractive.STEPS):
+    """The same weights from the whole matrix of shared terms."""
+    sets = [set(t) for t in terms]
+    weight = [extractive.SCALE] * len(sets)
+    for _ in range(steps):
+        gained = [
+            sum(w * len(a & b) for b, w in zip(sets, weight, strict=True)) // max(len(a), 1) for a in sets
+        ]
+        top = max([*gained, 1])
+        weight = [g * extractive.SCALE // top for g in gained]
+    return weight
+
+
+def test_centrality_like_the_whole_graph():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 30):
+        terms = [rng.integers(0, 20, rng.integers(0, 8)).tolist() for _ in range(n)]
+        flat = np.array([t for ts in terms for t in ts], np.int64)
+        sizes = np.array([len(t) for t in terms], np.int64)
+        assert extractive.centrality(sizes, flat).tolist() == graph_centrality(terms)
+
+
+def test_summaries_of_odd_and_long_texts(spark):
+    story = "The lamp is bright. The lamp was cheap! Cats sleep. The lamp is good and bright? End."
+    long = " ".join(f"w{i % 997}" + ("." if i % 13 == 0 else "") for i in range(20_000))
+    texts = [story, "", None, " . . ", "one " * 80, "same. same. same", long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "review_id bigint, review string")
+    got = {r.review_id: r for r in extractive.summaries(docs, ["review_id"]).collect()}
+    assert got[0].summary.startswith("The lamp is bright. ") and got[0].n_sentences == 5
+    assert [got[i].summary for i in (1, 2, 3)] == ["", "", ""]
+    assert got[4].summary == " ".join(["one"] * 50) and got[4].n_sentences == 1
+    assert got[5].summary == "same. same. same"
+    assert 0 < len(got[6].summary.split()) <= 50
+    short = extractive.summaries(docs, ["review_id"], budget=4).filter("review_id = 0").first()
+    assert short.summary in story and len(short.summary.split()) <= 4
+    copies = docs.union(docs).withColumn("weights", F.lit("clash"))
+    assert extractive.summaries(copies, ["review_id"]).count() == 2 * len(texts)
+    assert extractive.summaries(docs.limit(0), ["review_id"]).count() == 0
