@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from revlens.functions.text import WS_CHARS
-from revlens.operators import extractive, naive_bayes
+from revlens.operators import extractive, naive_bayes, retrieval
 from revlens.plans.oracle import board_parts, build, calls_part, h, part, q, quality, sents, strip, toks, words
 from revlens.sources.catalog import LABELS
 
@@ -114,10 +114,62 @@ part(
 )
 
 
+# --- replies: every open review against every known reply --------------------------
+
+part(
+    "r_terms",
+    f"""SELECT conv_id, turn, term, count(*)::DOUBLE AS tf FROM (
+          SELECT conv_id, turn, unnest({words("text")}) AS term
+          FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS copy
+                FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+          WHERE copy = 1) GROUP BY ALL""",
+)
+part(
+    "r_impacts",
+    f"""SELECT conv_id, turn, term, floor(
+            ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+            * (tf * {retrieval.K1 + 1}::DOUBLE / (tf + {retrieval.K1}::DOUBLE
+               * ({1 - retrieval.B}::DOUBLE + {retrieval.B}::DOUBLE * (length / (tokens / n)))))
+            * 1e6 + 0.5)::BIGINT AS impact
+        FROM r_terms
+        JOIN (SELECT conv_id, turn, sum(tf)::DOUBLE AS length FROM r_terms GROUP BY ALL) USING (conv_id, turn)
+        JOIN (SELECT term, count(*)::DOUBLE AS df FROM r_terms GROUP BY ALL) USING (term)
+        CROSS JOIN (SELECT sum(tf)::DOUBLE AS tokens, count(DISTINCT (conv_id, turn))::DOUBLE AS n FROM r_terms)""",
+    "r_terms",
+)
+part(
+    "r_best",
+    f"""SELECT review_id, conv_id, turn, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY score DESC, conv_id, turn) AS place FROM (
+            SELECT review_id, conv_id, turn, sum(impact)::BIGINT AS score
+            FROM (SELECT DISTINCT review_id, unnest({words("coalesce(review, '')")}) AS term FROM open_customer)
+            JOIN r_impacts USING (term) GROUP BY ALL))
+        WHERE place = 1 AND score > 0""",
+    "open_customer", "r_impacts",
+)
+calls_part("c_response_others", "open_customer", "response")
+part(
+    "c_response_all",
+    f"""SELECT * FROM c_response_others UNION ALL BY NAME
+        SELECT 'response' AS task, 'customer' AS dataset, o.review_id, o.user_name, {q(retrieval.NAME)} AS model,
+          len({toks("review")}) AS review_tokens, trim(text, {q(WS_CHARS)}) AS output, 0.0 AS elapsed_s, 0 AS micro,
+          CASE WHEN text IS NULL THEN {q(retrieval.NO_REPLY)} END AS err
+        FROM open_customer o LEFT JOIN r_best b ON b.review_id = o.review_id
+        LEFT JOIN conversations c ON c.conv_id = b.conv_id AND c.turn = b.turn AND c.role = 'assistant'""",
+    "c_response_others", "open_customer", "r_best",
+)
+
+
 def all_sql() -> dict[str, str]:
     return {
         "sentiment_trained": build("SELECT * FROM nb_answers", "nb_answers"),
         "summary_extracted": build("SELECT * FROM x_summaries", "x_summaries"),
         "summary_leaderboard_extracted": quality("summary_pairs", "summary", {"c_summary": "c_summary_all"}),
+        "reply_retrieved": build(
+            """SELECT review_id, conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, score
+               FROM open_customer LEFT JOIN r_best USING (review_id)""",
+            "open_customer", "r_best",
+        ),
+        "response_leaderboard_retrieved": quality("response_pairs", "response", {"c_response": "c_response_all"}),
         "sentiment_leaderboard_trained": build("SELECT * FROM board_unseen", "board_unseen"),
     }

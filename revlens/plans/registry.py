@@ -101,13 +101,13 @@ def _summary_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
 
 def _response_pairs(spark: SparkSession, sf: str, ids=None) -> DataFrame:
     refs = corpus.reference_responses(spark, sf)
-    return jobs.response_pairs(_responses(spark, sf), refs, ids, _replies_per_user(spark, sf))
+    return jobs.response_pairs(_responses(spark, sf), refs, ids, replies_per_user(spark, sf))
 
 
-def _replies_per_user(spark: SparkSession, sf: str) -> DataFrame:
+def replies_per_user(spark: SparkSession, sf: str, n_models: int = len(MODEL_NAMES)) -> DataFrame:
     """How many replies each user gets: open reviews times models, before the fan-out."""
     open_reviews = unify.unreplied(customer_rows(spark, sf))
-    n = (F.count("*") * len(MODEL_NAMES)).alias("n_rows")
+    n = (F.count("*") * n_models).alias("n_rows")
     return open_reviews.groupBy("user_name").agg(n)
 
 
@@ -466,7 +466,7 @@ def best_reference_scores(spark, sf):
     replies = done.select("review_id", "model", "user_name", "output")
     best = best_reference(
         replies, corpus.reference_responses(spark, sf), ("review_id", "model"),
-        rows_per_user=_replies_per_user(spark, sf),
+        rows_per_user=replies_per_user(spark, sf),
     )
     return present(
         best.select(

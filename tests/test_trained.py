@@ -1,13 +1,14 @@
 """Models trained here: scores, both plans, and the client for batch calls."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import extractive, naive_bayes
+from revlens.operators import extractive, naive_bayes, retrieval
 from revlens.operators.infer import batch_infer
 from revlens.sources.catalog import LABELS
 
@@ -129,3 +130,63 @@ def test_summaries_of_odd_and_long_texts(spark):
     copies = docs.union(docs).withColumn("weights", F.lit("clash"))
     assert extractive.summaries(copies, ["review_id"]).count() == 2 * len(texts)
     assert extractive.summaries(docs.limit(0), ["review_id"]).count() == 0
+
+
+# --- retrieved replies ----------------------------------------------------------
+
+
+def exhaustive(replies, text):
+    """The best reply by scoring all of them; (score, order) or None."""
+    docs = {}
+    for first, second, t in replies:
+        if t is not None and naive_bayes._words(t):
+            docs[t] = min(docs.get(t, (first, second)), (first, second))
+    tf = {o: Counter(naive_bayes._words(t)) for t, o in docs.items()}
+    df = Counter(w for c in tf.values() for w in c)
+    n, tokens = float(len(tf)), float(sum(sum(c.values()) for c in tf.values()))
+    best = None
+    for o, counts in tf.items():
+        length, score = float(sum(counts.values())), 0
+        for w in set(naive_bayes._words(text or "")) & set(counts):
+            idf = math.log(1.0 + (n - df[w] + 0.5) / (df[w] + 0.5))
+            share = counts[w] * 2.2 / (counts[w] + 1.2 * (0.25 + 0.75 * (length / (tokens / n))))
+            score += math.floor(idf * share * 1e6 + 0.5)
+        if score > 0 and (best is None or (-score, o) < (-best[0], best[1])):
+            best = (score, o)
+    return best
+
+
+def some_replies(n):
+    rng = random.Random(8)
+    vocabulary = ["w" + "".join(rng.choice("abcdef") for _ in range(3)) for _ in range(300)]
+    topics = [rng.sample(vocabulary, 25) for _ in range(12)]
+    words = lambda: " ".join(rng.choices(rng.choice(topics), k=rng.randrange(4, 30)) + ["the"])
+    replies = [(i, i % 5, words()) for i in range(n)]
+    replies += [(n + i, 0, replies[i][2]) for i in range(20)] + [(-1, 3, None), (-2, 3, "12 34"), (-3, 0, "")]
+    reviews = [words() + " " + words() for _ in range(60)] + ["the", "unknown", "", None, " ".join(vocabulary) * 20]
+    return replies, list(enumerate(reviews))
+
+
+@pytest.mark.parametrize("limit", [retrieval.LIMIT, 20_000])
+def test_retrieval_like_scoring_all_replies(spark, limit):
+    """In one shard and in several; fewer blocks are scored than there are."""
+    replies, reviews = some_replies(1500)
+    index = retrieval.build_index(
+        spark.createDataFrame(replies, "conv_id bigint, turn bigint, text string"), ("conv_id", "turn")
+    )
+    asked = spark.createDataFrame(reviews, "review_id bigint, review string")
+    assert (retrieval.shards(index, limit)[1] > 1) == (limit < 10**6)
+    out = retrieval.retrieve(asked, index, ["review_id"], limit=limit).collect()
+    got = {r.review_id: None if r.score is None else (r.score, (r.first, r.second)) for r in out}
+    assert got == {i: exhaustive(replies, t) for i, t in reviews}
+    scored, blocks = sum(r.scored for r in out), index.count()
+    assert scored < 0.6 * blocks * len(reviews), (scored, blocks)
+
+
+def test_retrieval_without_replies(spark):
+    none = spark.createDataFrame([], "conv_id bigint, turn bigint, text string")
+    rows = spark.createDataFrame(
+        [("customer", 1, "u", "good")], "dataset string, review_id bigint, user_name string, review string"
+    )
+    (call,) = retrieval.retrieved_calls(rows, none, ("conv_id", "turn")).collect()
+    assert call.raw_output is None and call.error == retrieval.NO_REPLY
