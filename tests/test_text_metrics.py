@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import matched_from_end, overlaps, term_counts, word_ids
+from revlens.functions.arrays import matched_from_end, overlaps, running_starts, term_counts, word_ids
 from revlens.functions.text import strip, tokens
 from revlens.operators.lcs import rouge_l
 from revlens.operators.nearest_reference import best_reference
@@ -274,3 +274,12 @@ def test_a_token_is_never_the_start_mark(spark):
     trained = train(spark.createDataFrame([("<s> a <s> b",)], "review string"))
     assert trained.filter(F.col("prev") == START).count() == 1
     assert " " in START
+
+
+def test_running_starts(spark):
+    """Lists below, at and above the sizes at which they are cut into blocks."""
+    sizes = [[i * 7 % 11 for i in range(n)] for n in (0, 1, 3, 4, 5, 16, 17, 64, 65, 300)]
+    frame = spark.createDataFrame([(s,) for s in sizes], "s array<bigint>")
+    out = frame.select("s", running_starts(F.col("s"), block=4).alias("got")).collect()
+    for r in out:
+        assert r.got == [sum(r.s[:i]) for i in range(len(r.s))]
