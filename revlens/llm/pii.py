@@ -30,7 +30,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import let
+from revlens.functions.arrays import let, running_starts
 
 CONTEXT = 40
 LOCAL = "A-Za-z0-9._%+-"
@@ -125,6 +125,8 @@ IBAN = (
 #: The longest iban with a space between all characters, and one character more; starts
 #: are at least five characters apart.
 IBAN_WINDOW, IBAN_STARTS = 68, 14
+#: Spans that are folded into one list before lists are joined.
+FOLD = 256
 
 
 def _iban_at_start(window: Column) -> Column:
@@ -143,6 +145,47 @@ def _iban_at_start(window: Column) -> Column:
     return let(F.regexp_extract(window, IBAN, 0), longest)
 
 
+def _length(text: Column) -> Column:
+    return F.length(text).cast("bigint")
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans in order of their starts those that begin after the last one taken. They
+    are folded in blocks, so that no long list grows item by item."""
+    kind = "array<struct<start:bigint,end:bigint,text:string,before:string>>"
+
+    def block(upto: Column, items: Column) -> Column:
+        zero = F.struct(upto.alias("upto"), F.array().cast(kind).alias("taken"))
+
+        def add(acc: Column, s: Column) -> Column:
+            free = s["start"] >= acc["upto"]
+            return F.struct(
+                F.when(free, s["end"]).otherwise(acc["upto"]).alias("upto"),
+                F.when(free, F.concat(acc["taken"], F.array(s))).otherwise(acc["taken"]).alias("taken"),
+            )
+
+        return F.aggregate(items, zero, add)
+
+    firsts = F.when(
+        F.size(spans) > 0, F.sequence(F.lit(1), F.size(spans), F.lit(FOLD))
+    ).otherwise(F.array().cast("array<int>"))
+    none = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast(f"array<{kind}>").alias("blocks"))
+    return F.flatten(
+        F.aggregate(
+            firsts,
+            none,
+            lambda acc, first: let(
+                block(acc["upto"], F.slice(spans, first, F.lit(FOLD))),
+                lambda done: F.struct(
+                    done["upto"].alias("upto"),
+                    F.concat(acc["blocks"], F.array(done["taken"])).alias("blocks"),
+                ),
+            ),
+            lambda acc: acc["blocks"],
+        )
+    )
+
+
 def _iban_places(text: Column) -> Column:
     """array<struct<start, end, text, before>> of the ibans of a text, from its pieces
     between the places where one can start."""
@@ -154,28 +197,21 @@ def _iban_places(text: Column) -> Column:
                 F.slice(cut["tails"], F.greatest(i - CONTEXT // 5, F.lit(1)), F.least(i, F.lit(CONTEXT // 5 + 1))), ""
             )
             return F.struct(
-                F.length(piece).cast("bigint").alias("size"),
                 _iban_at_start(F.left(window, F.lit(IBAN_WINDOW))).alias("text"),
                 F.right(before, F.lit(CONTEXT)).alias("before"),
             )
 
-        zero = F.struct(
-            F.lit(0).cast("bigint").alias("at"),
-            F.lit(0).cast("bigint").alias("upto"),
-            F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string>>").alias("out"),
-        )
-
-        def add(acc: Column, p: Column) -> Column:
-            end = acc["at"] + F.length(p["text"])
-            good = p["text"].isNotNull() & (acc["at"] >= acc["upto"])
-            span = F.struct(acc["at"].alias("start"), end.alias("end"), p["text"].alias("text"), p["before"].alias("before"))
-            return F.struct(
-                (acc["at"] + p["size"]).alias("at"),
-                F.when(good, end).otherwise(acc["upto"]).alias("upto"),
-                F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+        def found(starts: Column) -> Column:
+            spans = F.transform(
+                F.transform(cut["pieces"], one),
+                lambda p, i: F.struct(
+                    F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(p["text"])).alias("end"),
+                    p["text"].alias("text"), p["before"].alias("before"),
+                ),
             )
+            return let(F.filter(spans, lambda s: s["text"].isNotNull()), _apart)
 
-        return F.aggregate(F.transform(cut["pieces"], one), zero, add, lambda acc: acc["out"])
+        return let(running_starts(F.transform(cut["pieces"], _length)), found)
 
     def ends(pieces: Column) -> Column:
         return F.struct(
@@ -240,32 +276,20 @@ def _matches(text: Column, kind: Kind) -> Column:
 
     def placed(both: Column) -> Column:
         found, gaps = both["found"], both["gaps"]
-        zero = F.struct(
-            F.lit(0).cast("bigint").alias("at"),
-            F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string>>").alias("out"),
-        )
+        steps = F.transform(found, lambda m, i: _length(F.get(gaps, i)) + _length(m))
 
-        def add(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.length(pair["gap"])
-            return F.struct(
-                (start + F.length(pair["match"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            start.alias("start"),
-                            (start + F.length(pair["match"])).alias("end"),
-                            pair["match"].alias("text"),
-                            F.right(pair["gap"], F.lit(CONTEXT)).alias("before"),
-                        )
-                    ),
-                ),
-            )
+        def span(starts: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                gap = F.get(gaps, i)
+                start = F.get(starts, i) + _length(gap)
+                return F.struct(
+                    start.alias("start"), (start + _length(m)).alias("end"),
+                    m.alias("text"), F.right(gap, F.lit(CONTEXT)).alias("before"),
+                )
 
-        pairs = F.transform(
-            found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("match"))
-        )
-        return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+            return F.transform(found, one)
+
+        return let(running_starts(steps), span)
 
     pattern = F.lit(kind.pattern)
     both = F.struct(

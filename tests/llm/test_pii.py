@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from revlens.llm.pii import CONTEXT, find_pii, pii_report
 
@@ -92,3 +93,18 @@ def test_ibans_among_other_words(spark):
         found = [s.text for s in r.iban_spans]
         assert all(text[s.start : s.end] == s.text for s in r.iban_spans)
         assert found == ([text] if want is None else want), text[:80]
+
+
+def test_very_many_matches_in_one_text(spark):
+    """About linear in the matches: 200,000 addresses or 20,000 ibans stand in one text."""
+    n, de = 200_000, "DE89370400440532013000"
+    texts = [" ".join(f"u{i}@x.org" for i in range(n)), "10.0.0.1 " * n, f"{de} " * 20_000, "ab " + f"{de} " * 700]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in pii_report(frame).collect()}
+    assert time.monotonic() - began < 60
+    assert out[0].n_email == n and out[1].n_ip == n
+    assert out[0].base_sha256 == brute(texts[0])[0][4] and out[1].base_sha256 == brute(texts[1])[0][4]
+    for i, first in ((2, 0), (3, 3)):
+        places = [tuple(map(int, s.split(":")[1:])) for s in out[i].spans.split(",") if s.startswith("iban")]
+        assert places == [(at, at + 22) for at in range(first, len(texts[i]) - 1, 23)]
