@@ -4,8 +4,8 @@ Token counts become a budget for every node, top down. A level's children share
 their parent's budget in proportion to their weights; a child that cannot use
 its share (its capacity is its tokens times ``max_epochs``) takes what it has,
 and the shortage goes to its siblings by the same weights. Since a node's
-capacity is that of its leaves, a shortage leaves a subtree only when all of it
-is full: siblings come before ancestors. Shares are whole tokens, rounded down.
+capacity is that of its leaves (of those that no weight 0 on their path leaves
+out), a shortage leaves a subtree only when all of it is full: siblings come before ancestors. Shares are whole tokens, rounded down.
 
 A leaf with budget b and t tokens gives every document ``b div t`` times, and
 once more those of a prefix of ``b mod t`` tokens in the order of the next
@@ -108,11 +108,15 @@ def budgets(
     """(levels.., tokens, budget) of every leaf that gets tokens; ``leaves`` has the
     levels and tokens."""
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
+    usable = F.lit(True)
+    for level in levels:
+        usable = usable & (_weight(level, weights, default_weight) > 0)
+    room = F.when(usable, F.col("tokens") * max_epochs).otherwise(0)
     got = None
     for depth in range(1, len(levels) + 1):
         parent, name = list(levels[: depth - 1]), levels[depth - 1]
         nodes = leaves.groupBy(*levels[:depth]).agg(
-            F.sum("tokens").alias("tokens"), (F.sum("tokens") * max_epochs).alias("capacity")
+            F.sum("tokens").alias("tokens"), F.sum(room).alias("capacity")
         )
         nodes = nodes.withColumn("weight", _weight(name, weights, default_weight))
         if got is None:

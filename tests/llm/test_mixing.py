@@ -28,6 +28,11 @@ def share(children, budget):
     return got | {n: left * w // total for n, (w, _) in open_.items()}
 
 
+def usable(leaf, weights):
+    """Whether nothing on the way to a leaf weighs nothing."""
+    return all(weights.get(level, {}).get(value, 1) > 0 for level, value in zip(LEVELS, leaf, strict=True))
+
+
 def brute_budgets(leaves, weights, percent, epochs):
     """leaves: {(domain, lang, source): tokens}."""
     out = {(): sum(leaves.values()) * percent // 100}
@@ -37,7 +42,7 @@ def brute_budgets(leaves, weights, percent, epochs):
             capacity = defaultdict(int)
             for leaf, tokens in leaves.items():
                 if leaf[: depth - 1] == parent:
-                    capacity[leaf[depth - 1]] += tokens * epochs
+                    capacity[leaf[depth - 1]] += tokens * epochs * usable(leaf, weights)
             weight = weights.get(LEVELS[depth - 1], {})
             kids = {n: (weight.get(n, 1), c) for n, c in capacity.items()}
             new |= {(*parent, n): b for n, b in share(kids, budget).items()}
@@ -62,6 +67,19 @@ def test_budgets_go_to_siblings_before_ancestors(spark):
         assert all(b <= leaves[leaf] * epochs for leaf, b in got.items())
 
 
+def test_what_a_weight_of_nothing_leaves_out_is_given_elsewhere(spark):
+    leaves = {("a", "en", "s1"): 1000, ("a", "fr", "s2"): 10, ("b", "en", "s3"): 10, ("b", "fr", "s4"): 5000}
+    frame = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, tokens long")
+    for zero in ({"domain": {"a": 0}}, {"lang": {"en": 0}}, {"source": {"s4": 0}}, {"lang": {"en": 0, "fr": 0}}):
+        for percent in (50, 90):
+            got = budgets(frame, LEVELS, zero, 1, percent, 1).collect()
+            given = sum(r.budget for r in got)
+            room = sum(t for leaf, t in leaves.items() if usable(leaf, zero))
+            wanted = sum(leaves.values()) * percent // 100
+            assert min(wanted, room) - 7 <= given <= min(wanted, room), (zero, percent)  # a token a node
+            assert {(r.domain, r.lang, r.source): r.budget for r in got} == brute_budgets(leaves, zero, percent, 1)
+
+
 def brute_mix(docs, weights, percent, epochs, seed):
     rows, leaves = [], defaultdict(int)
     for doc_id, text, lang, source in docs:
