@@ -22,13 +22,17 @@ def duck(sf):
     return con
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+# Queries over the eigenvectors of a matrix: tests/test_trained.py has their references.
+WITHOUT_SQL = {"word_vectors_trained", "soft_match_trained", "turn_similarity_trained"}
+
+
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - WITHOUT_SQL == set(SQL)
     assert set(QUERIES) <= set(entry_points.queries())
     assert set(SQL) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WITHOUT_SQL])
 def test_same_rows(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
     names = sorted(df.columns)
@@ -43,3 +47,8 @@ def test_same_rows(spark, duck, sf, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 21
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_queries_without_sql_have_rows(spark, sf, name):
+    assert QUERIES[name](spark, sf).count() > 0

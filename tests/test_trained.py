@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import extractive, naive_bayes, retrieval
+from revlens.operators import extractive, naive_bayes, retrieval, word_vectors
 from revlens.operators.infer import batch_infer
 from revlens.sources.catalog import LABELS
 
@@ -190,3 +190,76 @@ def test_retrieval_without_replies(spark):
     )
     (call,) = retrieval.retrieved_calls(rows, none, ("conv_id", "turn")).collect()
     assert call.raw_output is None and call.error == retrieval.NO_REPLY
+
+
+# --- word vectors ---------------------------------------------------------------
+
+
+def planted_corpus():
+    """Texts on three topics; two words of the first only ever stand in for each other."""
+    rng = random.Random(3)
+    topics = [["lamp", "light", "bulb", "desk", "shade"], ["boat", "sail", "river", "oar", "mast"], ["bread", "oven", "flour", "yeast", "salt"]]
+    texts = []
+    for _ in range(400):
+        topic = rng.choice(topics)
+        said = rng.choices(topic, k=rng.randrange(6, 14))
+        if topic is topics[0]:
+            said.insert(rng.randrange(len(said)), rng.choice(["glim", "lume"]))
+        texts.append(" ".join(said))
+    return [*texts, None, "", "rare"]
+
+
+def dense_pmi(texts, window=4, min_count=5):
+    said = [naive_bayes._words(t or "") for t in texts]
+    often = Counter(w for ws in said for w in ws)
+    names = sorted(w for w, n in often.items() if n >= min_count)
+    at = {w: i for i, w in enumerate(names)}
+    n = np.zeros((len(names), len(names)))
+    for ws in said:
+        for i, w in enumerate(ws):
+            for c in ws[i + 1 : i + 1 + window]:
+                if w in at and c in at:
+                    n[at[w], at[c]] += 1
+                    if w != c:
+                        n[at[c], at[w]] += 1
+    sums = n.sum(axis=1)
+    with np.errstate(divide="ignore"):
+        pmi = np.log(n * n.sum() / np.outer(sums, sums))
+    return names, np.where(pmi > 0, pmi, 0.0)
+
+
+@pytest.mark.parametrize("limit", [word_vectors.LIMIT, 0])
+def test_vectors_like_a_dense_decomposition(spark, limit):
+    texts = planted_corpus()
+    docs = spark.createDataFrame([(t,) for t in texts], "review string")
+    dim = 8
+    vectors = word_vectors.train(docs, dim=dim, limit=limit)
+    names, pmi = dense_pmi(texts)
+    digests = spark.createDataFrame([(w,) for w in names], "w string").select("w", F.xxhash64("w").alias("vec_id"))
+    got = {r.w: np.array(r.embedding) for r in vectors.join(digests, "vec_id").collect()}
+    assert vectors.count() == len(got) == len(names)
+    values, turn = np.linalg.eigh(pmi)
+    lead = np.argsort(-np.abs(values))[:dim]
+    want = turn[:, lead] * np.sqrt(np.abs(values[lead]))
+    own = np.stack([got[w] for w in names])
+    assert np.abs(own @ own.T - want @ want.T).max() < 1e-3
+
+    def close(a, b):
+        return float(got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b]))
+
+    others = [w for w in names if w not in ("glim", "lume", "lamp", "light", "bulb", "desk", "shade")]
+    assert close("glim", "lume") > 0.8 > 0.3 > max(close("glim", w) for w in others)
+
+
+def test_text_vectors_and_cosine(spark):
+    docs = spark.createDataFrame([(t,) for t in planted_corpus()], "review string")
+    vectors = word_vectors.train(docs, dim=8)
+    rows = spark.createDataFrame([(1, "lamp glim"), (2, "light lume!"), (3, "boat"), (4, "none known"), (5, None)], "id int, t string")
+    for limit in (word_vectors.LIMIT, 0):
+        sums = {r.id: r.v for r in word_vectors.text_vectors(rows, vectors, ["id"], "t", limit).collect()}
+        assert set(sums) == {1, 2, 3}
+        pairs = spark.createDataFrame([(sums[1], sums[2]), (sums[1], sums[3]), (sums[1], [0.0] * 8)], "a array<double>, b array<double>")
+        same, far, none = (r[0] for r in pairs.select(word_vectors.cosine(F.col("a"), F.col("b"))).collect())
+        assert same > 0.8 > far and none is None
+    empty = spark.createDataFrame([(None,), ("one",)], "review string")
+    assert word_vectors.train(empty, dim=4).count() == 0
