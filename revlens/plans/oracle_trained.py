@@ -3,8 +3,21 @@
 from __future__ import annotations
 
 from revlens.functions.text import WS_CHARS
-from revlens.operators import extractive, naive_bayes, retrieval
-from revlens.plans.oracle import board_parts, build, calls_part, h, part, q, quality, sents, strip, toks, words
+from revlens.operators import extractive, naive_bayes, perplexity, retrieval
+from revlens.plans.oracle import (
+    board_parts,
+    build,
+    calls_part,
+    h,
+    part,
+    q,
+    quality,
+    r6,
+    sents,
+    strip,
+    toks,
+    words,
+)
 from revlens.sources.catalog import LABELS
 
 _HELD = f"{h(q('fold:') + ' || review_id')} % {naive_bayes.FOLDS} = 0"
@@ -160,6 +173,48 @@ part(
 )
 
 
+# --- Kneser-Ney: every occurrence priced on its own ---------------------------------
+
+
+def _trigrams(source: str, keep: str, text: str) -> str:
+    start = q(perplexity.START)
+    return f"""SELECT {keep}CASE WHEN i > 2 THEN ts[i - 2] ELSE {start} END AS u, coalesce(ts[i - 1], {start}) AS v, ts[i] AS w
+        FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i
+              FROM (SELECT *, {toks(f"lower({text})")} AS ts FROM {source}))"""
+
+
+part(
+    "k3",
+    f"SELECT u, v, w, count(*) AS c3 FROM ({_trigrams('reviews', '', 'review')}) GROUP BY ALL",
+    "reviews",
+)
+part("k2", "SELECT v, w, count(*) AS c2 FROM k3 GROUP BY ALL", "k3")
+part("k1", "SELECT w, count(*) AS c1 FROM k2 GROUP BY ALL", "k2")
+_D = f"{perplexity.DISCOUNT}::DOUBLE"
+
+
+def _less(n: str) -> str:
+    return f"greatest(coalesce({n}, 0)::DOUBLE - {_D}, 0.0::DOUBLE)"
+
+
+part(
+    "ppl_kn",
+    f"""SELECT task, review_id, model, count(*) AS n_tokens,
+          {r6("exp(-sum(floor(ln(p3) * 1e9 + 0.5)::BIGINT)::DOUBLE / 1e9 / count(*))")} AS perplexity
+        FROM (SELECT *, CASE WHEN t3 IS NULL THEN p2 ELSE ({_less("c3")} + {_D} * f3 * p2) / t3::DOUBLE END AS p3
+        FROM (SELECT *, CASE WHEN t2 IS NULL THEN p1 ELSE ({_less("c2")} + {_D} * f2 * p1) / t2::DOUBLE END AS p2
+        FROM (SELECT *, CASE WHEN t1 = 0 THEN 1.0::DOUBLE
+                     ELSE ({_less("c1")} + {_D} * f1 / (f1 + 1.0::DOUBLE)) / t1 END AS p1
+        FROM ({_trigrams("turn_pairs", "task, review_id, model, ", "output")})
+        LEFT JOIN k3 USING (u, v, w) LEFT JOIN k2 USING (v, w) LEFT JOIN k1 USING (w)
+        LEFT JOIN (SELECT u, v, sum(c3) AS t3, count(*) AS f3 FROM k3 GROUP BY ALL) USING (u, v)
+        LEFT JOIN (SELECT v, sum(c2) AS t2, count(*) AS f2 FROM k2 GROUP BY ALL) USING (v)
+        CROSS JOIN (SELECT coalesce(sum(c1), 0)::DOUBLE AS t1, count(*)::DOUBLE AS f1 FROM k1))))
+        GROUP BY ALL""",
+    "turn_pairs", "k3", "k2", "k1",
+)
+
+
 def all_sql() -> dict[str, str]:
     return {
         "sentiment_trained": build("SELECT * FROM nb_answers", "nb_answers"),
@@ -171,5 +226,6 @@ def all_sql() -> dict[str, str]:
             "open_customer", "r_best",
         ),
         "response_leaderboard_retrieved": quality("response_pairs", "response", {"c_response": "c_response_all"}),
+        "perplexity_kn": build("SELECT * FROM ppl_kn", "ppl_kn"),
         "sentiment_leaderboard_trained": build("SELECT * FROM board_unseen", "board_unseen"),
     }

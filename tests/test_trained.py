@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import extractive, naive_bayes, retrieval, word_vectors
+from revlens.operators import extractive, naive_bayes, perplexity, retrieval, word_vectors
 from revlens.operators.infer import batch_infer
 from revlens.sources.catalog import LABELS
 
@@ -263,3 +263,59 @@ def test_text_vectors_and_cosine(spark):
         assert same > 0.8 > far and none is None
     empty = spark.createDataFrame([(None,), ("one",)], "review string")
     assert word_vectors.train(empty, dim=4).count() == 0
+
+
+# --- Kneser-Ney -----------------------------------------------------------------
+
+
+def kn_perplexity(texts, asked, d=0.75):
+    """By the textbook, from dictionaries; sums of probabilities over the vocabulary are one."""
+    c3 = Counter()
+    for t in texts:
+        ws = ["<s>", "<s>", *(t or "").lower().split()]
+        c3.update(zip(ws, ws[1:], ws[2:]))  # noqa: B905
+    c2 = Counter((v, w) for _, v, w in c3)
+    c1 = Counter(w for _, w in c2)
+
+    def prob(u, v, w):
+        total, kinds = sum(c1.values()), len(c1)
+        p = (max(c1[w] - d, 0) + d * kinds / (kinds + 1)) / total
+        if (t := sum(n for (a, _), n in c2.items() if a == v)):
+            p = (max(c2[v, w] - d, 0) + d * sum(a == v for a, _ in c2) * p) / t
+        if (t := sum(n for (a, b, _), n in c3.items() if (a, b) == (u, v))):
+            p = (max(c3[u, v, w] - d, 0) + d * sum((a, b) == (u, v) for a, b, _ in c3) * p) / t
+        return p
+
+    for u, v in (("<s>", "<s>"), ("the", "lamp"), ("no", "such")):
+        assert math.isclose(sum(prob(u, v, w) for w in [*c1, "<unknown>"]), 1.0)
+    ws = ["<s>", "<s>", *asked.lower().split()]
+    logs = [math.log(prob(*g)) for g in zip(ws, ws[1:], ws[2:])]  # noqa: B905
+    return len(logs), math.exp(-sum(logs) / len(logs))
+
+
+@pytest.mark.parametrize("limit", [perplexity.LIMIT, 0])
+def test_kneser_ney_like_the_textbook(spark, limit):
+    texts = ["the lamp is bright", "The lamp was cheap", "a lamp is a lamp", "the the the", "", None, "the lamp is good"]
+    asked = ["the lamp is bright", "unknown words only", "the the lamp is a boat", "lamp " * 300]
+    model = perplexity.KneserNey(spark.createDataFrame([(t,) for t in texts], "review string"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*asked, "", None])], "id int, output string")
+    got = {r.id: r for r in perplexity.perplexity_kn(rows, model, ["id"], broadcast_limit=limit).collect()}
+    assert set(got) == set(range(len(asked)))
+    for i, t in enumerate(asked):
+        n, want = kn_perplexity(texts, t)
+        assert got[i].n_tokens == n and math.isclose(got[i].perplexity, want, abs_tol=2e-6, rel_tol=1e-6)
+    cut = perplexity.perplexity_kn(rows, model, ["id"], limit=2).filter("id = 3").first()
+    assert cut.n_tokens == 2
+    none = perplexity.KneserNey(spark.createDataFrame([], "review string"))
+    assert {r.perplexity for r in perplexity.perplexity_kn(rows, none, ["id"]).collect()} == {1.0}
+
+
+def test_bigram_prices_on_the_far_side_of_the_broadcast(spark):
+    corpus = spark.createDataFrame([("a b a b c",), ("b c",)], "review string")
+    model = perplexity.train(corpus)
+    rows = spark.createDataFrame([(i, "a b " * i + "z") for i in range(6)], "id int, output string")
+    near, far = (
+        sorted(map(tuple, perplexity.perplexity(rows, model, ["id"], broadcast_limit=x).collect()))
+        for x in (perplexity.LIMIT, 0)
+    )
+    assert near == far and len(near) == 6
