@@ -1,4 +1,9 @@
-"""Batch model calls: one client per partition and model, errors kept as data.
+"""Batch model calls: one client per worker and model, errors kept as data.
+
+Every model has a factory of its own, so one job can ask quite different clients. A
+client is built when its worker first needs it and kept for the tasks that follow in
+that process, the ``KEPT`` last used at most. A client with ``ask_all`` gets all its
+requests of an Arrow batch at once, the others get them one by one, side by side.
 
 The result is a call log. Calls cost money and may answer differently when
 repeated, so the log is written before anything reads it, in chunks of bounded
@@ -10,6 +15,8 @@ and readers take one row per call key (:func:`latest_calls`).
 from __future__ import annotations
 
 import time
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
@@ -44,6 +51,41 @@ def _ask(client: Client | str, request: dict) -> dict:
     return row | {"raw_output": text, "completion_tokens": reported, "elapsed_s": elapsed}
 
 
+#: Clients of this process by (run, model), the last used at the end.
+_CLIENTS: OrderedDict[tuple[str, str], Client] = OrderedDict()
+KEPT = 32
+
+
+def kept_client(run_id: str, model: str, build: Callable[[], Client]) -> Client:
+    """The process's client of a model. A client that makes room is closed, if it can be."""
+    key = (run_id, model)
+    if key not in _CLIENTS:
+        _CLIENTS[key] = build()
+        while len(_CLIENTS) > KEPT:
+            _, old = _CLIENTS.popitem(last=False)
+            getattr(old, "close", lambda: None)()
+    _CLIENTS.move_to_end(key)
+    return _CLIENTS[key]
+
+
+def _ask_all(client: Client, requests: list[dict]) -> list[dict]:
+    """Calls answered together; each one's time is an equal part of the whole."""
+    rows = [{c: r.get(c) for c in _ASKED} for r in requests]
+    start = time.monotonic()
+    try:
+        answers = client.ask_all(requests)
+        if len(answers) != len(requests):
+            raise ValueError(f"{len(answers)} answers to {len(requests)} requests")
+    except Exception as exc:  # noqa: BLE001 - any failure becomes the rows'
+        failed = {"raw_output": None, "completion_tokens": None, "elapsed_s": 0.0, "error": str(exc) or type(exc).__name__}
+        return [row | failed for row in rows]
+    each = (time.monotonic() - start) / len(requests)
+    return [
+        row | {"raw_output": text, "completion_tokens": n, "elapsed_s": each, "error": None}
+        for row, (text, n) in zip(rows, answers, strict=True)
+    ]
+
+
 def _run_partition(
     factories: Mapping[str, Factory],
     task: str,
@@ -51,6 +93,7 @@ def _run_partition(
     pace: Mapping[str, float],
     shares: int,
     at_once: int,
+    run_id: str = "",
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """``pace``: seconds between any two calls to a model; each of the ``shares``
     partitions takes every shares-th slot, beginning with its own."""
@@ -59,7 +102,7 @@ def _run_partition(
         if model not in factories:
             return UNSUPPORTED
         try:
-            return factories[model](model, task, budget)
+            return kept_client(run_id, model, partial(factories[model], model, task, budget))
         except Exception as exc:  # noqa: BLE001 - a missing key is an error of its rows
             return str(exc) or type(exc).__name__
 
@@ -71,16 +114,26 @@ def _run_partition(
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
                 requests = batch.astype(object).where(batch.notna(), None).to_dict("records")
-                asked = []
-                for request in requests:
+                asked, together = [], {}
+                for i, request in enumerate(requests):
                     model = request["model"]
                     if model not in clients:
                         clients[model] = client_of(model)
+                    request |= {"task": task}
                     if model in pace:
                         time.sleep(max(0.0, began + slots[model] * pace[model] - time.monotonic()))
                         slots[model] += shares
-                    asked.append(pool.submit(partial(_ask, clients[model], request | {"task": task})))
-                rows = [f.result() for f in asked]
+                    elif hasattr(clients[model], "ask_all"):
+                        together.setdefault(model, []).append(i)
+                        continue
+                    asked.append((i, pool.submit(partial(_ask, clients[model], request))))
+                rows: list[dict] = [{}] * len(requests)
+                for model, places in together.items():
+                    answers = _ask_all(clients[model], [requests[i] for i in places])
+                    for i, row in zip(places, answers, strict=True):
+                        rows[i] = row
+                for i, future in asked:
+                    rows[i] = future.result()
                 frame = pd.DataFrame(rows, columns=_LOG_COLUMNS)
                 frame["completion_tokens"] = frame["completion_tokens"].astype("Int64")
                 yield frame
@@ -105,7 +158,7 @@ def batch_infer(
     """
     paced = {m.model: m.pace_seconds for m in models if m.pace_seconds > 0}
     budget = TASK_BY_NAME[task].max_tokens
-    run = partial(_run_partition, dict(factories), task, budget)
+    run = partial(_run_partition, dict(factories), task, budget, run_id=uuid.uuid4().hex)
     if "attempt" not in reqs.columns:
         reqs = reqs.withColumn("attempt", F.lit(1))
     is_paced = F.coalesce(F.col("model").isin(*paced), F.lit(False)) if paced else F.lit(False)

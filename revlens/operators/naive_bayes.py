@@ -149,7 +149,26 @@ def _words(text: str) -> list[str]:
     return ["".join(run) for letters, run in runs if letters]
 
 
-def client_factory(model: Trained, limit: int = LIMIT) -> Callable[[str, str, int], Callable]:
+class Client:
+    """Answers requests with the whole model at hand; ``known`` is a broadcast variable."""
+
+    def __init__(self, known, base: list[int], prior: list[int]) -> None:
+        self.known, self.base, self.prior = known.value, base, prior
+
+    def __call__(self, request: dict) -> tuple[str, int | None]:
+        times = Counter(_words(request["review"] or ""))
+        weighed = [(k, self.known[t]) for t, k in times.items() if t in self.known]
+        n, scores = sum(times.values()), []
+        for i in range(len(LABELS)):
+            hits = sum(k * weights[i] for k, weights in weighed)
+            scores.append(hits + self.prior[i] - n * self.base[i])
+        return LABELS[scores.index(max(scores))], None
+
+    def ask_all(self, requests: list[dict]) -> list[tuple[str, int | None]]:
+        return [self(request) for request in requests]
+
+
+def client_factory(model: Trained, limit: int = LIMIT) -> Callable[[str, str, int], Client]:
     """A factory for batch calls whose clients hold the whole model. A model larger than
     ``limit`` is refused: use :func:`classify`, which joins."""
     if (size := _size(model.terms)) > limit:
@@ -160,16 +179,8 @@ def client_factory(model: Trained, limit: int = LIMIT) -> Callable[[str, str, in
     shared = spark.sparkContext.broadcast(known)
     base, prior = ([totals[f"{part}_{x}"] for x in LABELS] for part in ("base", "prior"))
 
-    def factory(name: str, task: str, max_tokens: int):
-        def ask(request: dict) -> tuple[str, int | None]:
-            times = Counter(_words(request["review"] or ""))
-            n, scores = sum(times.values()), []
-            for i in range(len(LABELS)):
-                hits = sum(k * shared.value[t][i] for t, k in times.items() if t in shared.value)
-                scores.append(hits + prior[i] - n * base[i])
-            return LABELS[scores.index(max(scores))], None
-
-        return ask
+    def factory(name: str, task: str, max_tokens: int) -> Client:
+        return Client(shared, base, prior)
 
     return factory
 

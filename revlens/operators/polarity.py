@@ -1,8 +1,9 @@
 """Polarity of a text: the mean polarity of its words that a lexicon knows.
 
 The lexicon is a table (word, polarity). Each text's words are counted inside its
-row, matched by a join that spreads the words measured as hot (a frequent word is in
-every text) and averaged in fixed point; a text without a hit has polarity 0.
+row, matched with the lexicon, which is broadcast where its measured size allows and
+else joined by a shuffle that spreads the words measured as hot (a frequent word is in
+every text), and averaged in fixed point; a text without a hit has polarity 0.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from revlens.functions.arrays import term_counts
 from revlens.functions.numeric import micros, r6
 from revlens.functions.skew import hot_key_join
 from revlens.functions.text import words
+from revlens.session import materialise
+
+#: Largest measured size, in bytes, of a lexicon that is broadcast.
+LIMIT = 64 * 2**20
 
 
 def lexicon_from_labels(reviews: DataFrame, truth: DataFrame) -> DataFrame:
@@ -39,16 +44,26 @@ def lexicon_from_labels(reviews: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def polarity(
-    texts: DataFrame, lexicon: DataFrame, key: Sequence[str], text: str = "review"
+    texts: DataFrame,
+    lexicon: DataFrame,
+    key: Sequence[str],
+    text: str = "review",
+    broadcast_limit: int = LIMIT,
 ) -> DataFrame:
     """(key, n_hits, polarity) for every text."""
     key = list(key)
     counted = texts.select(
         *key, F.explode_outer(term_counts(words(F.col(text)))).alias("_t")
     ).select(*key, F.col("_t.term").alias("word"), F.col("_t.n").alias("_times"))
-    priced = lexicon.select("word", micros(F.col("polarity")).alias("_micro"))
-    uses = counted.groupBy("word").agg(F.count("*").alias("n_rows"))
-    met = hot_key_join(counted, priced, ["word"], uses, key)
+    priced = materialise(
+        lexicon.select("word", micros(F.col("polarity")).alias("_micro")), "lexicon"
+    )
+    size = F.sum((F.octet_length("word") + F.lit(40)).cast("bigint"))
+    if (priced.agg(size).first()[0] or 0) <= broadcast_limit:
+        met = counted.join(F.broadcast(priced), "word", "left")
+    else:
+        uses = counted.groupBy("word").agg(F.count("*").alias("n_rows"))
+        met = hot_key_join(counted, priced, ["word"], uses, key)
     hits = F.sum(F.when(F.col("_micro").isNotNull(), F.col("_times")).otherwise(0))
     total = F.sum(F.coalesce(F.col("_micro") * F.col("_times"), F.lit(0)))
     return (

@@ -69,6 +69,13 @@ part(
     "s_eval", "nb_answers",
 )
 board_parts("_unseen", "s_unseen")
+part(
+    "s_mixed",
+    f"""SELECT dataset, model, label, prediction, 0.0 AS elapsed_s, micro FROM s_eval
+        UNION ALL SELECT dataset, {q(naive_bayes.NAME)}, label, prediction, 0.0, 0 FROM nb_answers""",
+    "s_eval", "nb_answers",
+)
+board_parts("_mixed", "s_mixed")
 
 
 # --- summaries: sentence and term weights step by step, as joins -------------------
@@ -226,6 +233,7 @@ def all_sql() -> dict[str, str]:
             "open_customer", "r_best",
         ),
         "response_leaderboard_retrieved": quality("response_pairs", "response", {"c_response": "c_response_all"}),
+        "dispatch_mixed": build("SELECT * EXCLUDE (total_response_time) FROM board_mixed", "board_mixed"),
         "perplexity_kn": build("SELECT * FROM ppl_kn", "ppl_kn"),
         "sentiment_leaderboard_trained": build("SELECT * FROM board_unseen", "board_unseen"),
     }

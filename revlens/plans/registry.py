@@ -561,21 +561,21 @@ def e2e_totals(spark, sf):
 # --- batch calls ----------------------------------------------------------------
 
 
-def _client_factory(model: str, task: str, budget: int):
+def stand_in_factory(model: str, task: str, budget: int):
     return python_backend(model, task, budget)
 
 
-# The catalogue's pace is meant for a provider; the stand-in is asked a thousand
-# times as fast, by the same slots.
-_QUICK = tuple(dataclasses.replace(m, pace_seconds=m.pace_seconds / 1000) for m in MODELS)
+# The catalogue's pace is meant for a provider; the stand-in is asked a hundred
+# thousand times as fast, by the same slots.
+QUICK = tuple(dataclasses.replace(m, pace_seconds=m.pace_seconds / 100_000) for m in MODELS)
 
 
 @query
 def batch_infer_log(spark, sf):
     """Summary calls through the batch operator, written as a log and read back."""
     reqs = prompting.requests(customer_rows(spark, sf), "summary")
-    factories = {m: _client_factory for m in MODEL_NAMES}
-    log = log_calls(batch_infer(reqs, "summary", factories, _QUICK), "batch-infer-log")
+    factories = {m: stand_in_factory for m in MODEL_NAMES}
+    log = log_calls(batch_infer(reqs, "summary", factories, QUICK), "batch-infer-log")
     return present(
         log.select(
             "task", "dataset", "review_id", "model", "review_tokens", "input_tokens",
@@ -596,9 +596,9 @@ def sentiment_leaderboard_from_log(spark, sf):
     """Requests, batch calls in committed chunks, the written log, then the scores."""
     evaluation = evaluation_rows(spark, sf)
     reqs = prompting.requests(evaluation, "sentiment")
-    factories = {m: _client_factory for m in MODEL_NAMES}
+    factories = {m: stand_in_factory for m in MODEL_NAMES}
     path = new_table_path(spark, "sentiment-log")
-    log = infer_to_log(reqs, path, "sentiment", factories, _QUICK)
+    log = infer_to_log(reqs, path, "sentiment", factories, QUICK)
     return _board_of_log(log, evaluation)
 
 
@@ -622,8 +622,8 @@ def rerun_leaderboard(spark, sf):
     reqs = prompting.requests(evaluation, "sentiment")
     factories = {m: _flaky_factory for m in MODEL_NAMES}
     path = new_table_path(spark, "rerun-log")
-    infer_to_log(reqs, path, "sentiment", factories, _QUICK)
-    log = infer_to_log(reqs, path, "sentiment", factories, _QUICK)
+    infer_to_log(reqs, path, "sentiment", factories, QUICK)
+    log = infer_to_log(reqs, path, "sentiment", factories, QUICK)
     return _board_of_log(log, evaluation)
 
 

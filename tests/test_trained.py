@@ -1,14 +1,16 @@
 """Models trained here: scores, both plans, and the client for batch calls."""
 
 import math
+import os
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import extractive, naive_bayes, perplexity, retrieval, word_vectors
+from revlens.operators import extractive, infer, naive_bayes, perplexity, retrieval, word_vectors
 from revlens.operators.infer import batch_infer
 from revlens.sources.catalog import LABELS
 
@@ -319,3 +321,59 @@ def test_bigram_prices_on_the_far_side_of_the_broadcast(spark):
         for x in (perplexity.LIMIT, 0)
     )
     assert near == far and len(near) == 6
+
+
+# --- clients of several kinds ---------------------------------------------------
+
+
+def test_a_worker_builds_a_client_once(spark):
+    """Sixteen tasks on four workers: each worker builds each model's client once. One
+    kind of client is asked row by row, one batch by batch, one fails."""
+
+    def single(model, task, budget):
+        built = f"{os.getpid()}:{uuid.uuid4().hex}"
+        return lambda request: (built, None)
+
+    class Many:
+        def __init__(self):
+            self.built = f"{os.getpid()}:{uuid.uuid4().hex}"
+
+        def ask_all(self, requests):
+            if any(r["review"] == "bad" for r in requests):
+                raise ValueError("a bad batch")
+            return [(f"{self.built}:{r['review_id']}", 1) for r in requests]
+
+    factories = {"a": single, "b": lambda model, task, budget: Many(), "c": lambda *_: 1 / 0}
+    rows = spark.range(640).repartition(16).select(
+        F.lit("sentiment").alias("task"), F.lit("customer").alias("dataset"), F.col("id").alias("review_id"),
+        F.lit("u").alias("user_name"), F.lit("").alias("prompt"), F.lit(1).cast("bigint").alias("review_tokens"),
+        F.lit(1).cast("bigint").alias("input_tokens"), F.lit("good").alias("review"),
+    )
+    reqs = rows.withColumn("model", F.explode(F.array(*map(F.lit, "abcd"))))
+    log = batch_infer(reqs, "sentiment", factories, ()).collect()
+    assert len(log) == 4 * 640 and len({(r.review_id, r.model) for r in log}) == len(log)
+    for model in "ab":
+        built = {tuple(r.raw_output.split(":")[:2]) for r in log if r.model == model}
+        assert len(built) == len({pid for pid, _ in built}) <= 8
+    assert all(r.raw_output.endswith(f":{r.review_id}") for r in log if r.model == "b")
+    assert {r.error for r in log if r.model == "c"} == {"division by zero"}
+    assert {r.error for r in log if r.model == "d"} == {"Unsupported model"}
+    bad = reqs.filter("model = 'b' and review_id < 5").withColumn("review", F.lit("bad"))
+    assert {r.error for r in batch_infer(bad, "sentiment", factories, ()).collect()} == {"a bad batch"}
+
+
+def test_the_oldest_client_makes_room(monkeypatch):
+    closed = []
+
+    class Closing:
+        def __init__(self, name):
+            self.name = name
+
+        def close(self):
+            closed.append(self.name)
+
+    monkeypatch.setattr(infer, "KEPT", 2)
+    monkeypatch.setattr(infer, "_CLIENTS", infer.OrderedDict())
+    for name in "abac":
+        assert infer.kept_client("run", name, lambda name=name: Closing(name)).name == name
+    assert closed == ["b"]
