@@ -42,6 +42,30 @@ def _weighted(value, support_total: Column) -> Column:
     return r6(total / support_total.cast("double"))
 
 
+def class_scores() -> dict[str, Column]:
+    """Accuracy and the support-weighted scores from the counts n_reviews, _right,
+    _support_<label>, _predicted_<label> and _tp_<label>."""
+
+    def precision(c: str) -> Column:
+        return _zero_if_none(F.col(f"_tp_{c}"), F.col(f"_predicted_{c}"))
+
+    def recall(c: str) -> Column:
+        return _zero_if_none(F.col(f"_tp_{c}"), F.col(f"_support_{c}"))
+
+    def f1(c: str) -> Column:
+        return _zero_if_none(
+            F.lit(2) * F.col(f"_tp_{c}"), F.col(f"_predicted_{c}") + F.col(f"_support_{c}")
+        )
+
+    n = F.col("n_reviews")
+    return {
+        "accuracy": r6(F.col("_right").cast("double") / n.cast("double")).alias("accuracy"),
+        "f1": _weighted(f1, n).alias("f1"),
+        "recall": _weighted(recall, n).alias("recall"),
+        "precision": _weighted(precision, n).alias("precision"),
+    }
+
+
 def sentiment_leaderboard(scored: DataFrame) -> DataFrame:
     """Accuracy, support-weighted F1, recall and precision, total time and cost.
 
@@ -63,26 +87,11 @@ def sentiment_leaderboard(scored: DataFrame) -> DataFrame:
         ]
     board = scored.groupBy("dataset", "model").agg(*aggs)
 
-    def precision(c: str) -> Column:
-        return _zero_if_none(F.col(f"_tp_{c}"), F.col(f"_predicted_{c}"))
-
-    def recall(c: str) -> Column:
-        return _zero_if_none(F.col(f"_tp_{c}"), F.col(f"_support_{c}"))
-
-    def f1(c: str) -> Column:
-        return _zero_if_none(
-            F.lit(2) * F.col(f"_tp_{c}"), F.col(f"_predicted_{c}") + F.col(f"_support_{c}")
-        )
-
-    n = F.col("n_reviews")
     return board.select(
         "dataset",
         "model",
         "n_reviews",
-        r6(F.col("_right").cast("double") / n.cast("double")).alias("accuracy"),
-        _weighted(f1, n).alias("f1"),
-        _weighted(recall, n).alias("recall"),
-        _weighted(precision, n).alias("precision"),
+        *class_scores().values(),
         (F.col("_micro_s") / F.lit(1e6)).alias("total_response_time"),
         F.col("_cost").cast("decimal(24,6)").alias("total_cost"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from revlens.functions.text import WS_CHARS
-from revlens.operators import extractive, naive_bayes, perplexity, retrieval
+from revlens.operators import bootstrap, extractive, naive_bayes, perplexity, retrieval
 from revlens.plans.oracle import (
     board_parts,
     build,
@@ -64,11 +64,57 @@ part(
 )
 part(
     "s_unseen",
-    f"""SELECT dataset, model, label, prediction, elapsed_s, micro FROM s_eval WHERE {_HELD}
-        UNION ALL SELECT dataset, {q(naive_bayes.NAME)}, label, prediction, 0.0, 0 FROM nb_answers WHERE held_out""",
+    f"""SELECT dataset, review_id, model, label, prediction, elapsed_s, micro FROM s_eval WHERE {_HELD}
+        UNION ALL SELECT dataset, review_id, {q(naive_bayes.NAME)}, label, prediction, 0.0, 0
+        FROM nb_answers WHERE held_out""",
     "s_eval", "nb_answers",
 )
 board_parts("_unseen", "s_unseen")
+_N, _TAIL = bootstrap.REPLICATES, bootstrap.TAIL
+_DRAW = (
+    f"('0x' || substr(sha256('boot:' || dataset || ':' || review_id || ':' || ((r - 1) // {bootstrap.PER_DIGEST})), "
+    f"(r - 1) % {bootstrap.PER_DIGEST} * 4 + 1, 4))::BIGINT"
+)
+part(
+    "b_rows",
+    f"""SELECT dataset, model, label, prediction, r,
+          CASE WHEN r = 0 THEN 1 ELSE len(list_filter({list(bootstrap.THRESHOLDS)}, lambda t: t <= {_DRAW})) END AS n
+        FROM (SELECT *, unnest(range(0, {_N + 1})) AS r FROM s_unseen)""",
+    "s_unseen",
+)
+part(
+    "b_scores",
+    f"""SELECT dataset, model, r, {r6("f1 / n")} AS f1 FROM (
+          SELECT dataset, model, r, sum(support)::BIGINT AS n,
+            sum(support * CASE WHEN predicted + support = 0 THEN 0.0::DOUBLE
+                ELSE 2 * tp::DOUBLE / (predicted + support) END ORDER BY list_position({_NAMES}, label)) AS f1
+          FROM (SELECT b.dataset, b.model, b.r, c.label,
+                  coalesce(sum(n) FILTER (b.label = c.label), 0)::BIGINT AS support,
+                  coalesce(sum(n) FILTER (b.prediction = c.label), 0)::BIGINT AS predicted,
+                  coalesce(sum(n) FILTER (b.label = c.label AND b.prediction = c.label), 0)::BIGINT AS tp
+                FROM b_rows b CROSS JOIN (SELECT unnest({_NAMES}) AS label) c GROUP BY ALL)
+          GROUP BY ALL) WHERE n > 0""",
+    "b_rows",
+)
+
+
+def _between(x: str, name: str) -> str:
+    values = f"list_sort(list({x}) FILTER (r > 0))"
+    return (
+        f"{values}[1 + least({_TAIL}, len({values}) - 1)] AS {name}_low, "
+        f"{values}[greatest(len({values}) - {_TAIL}, 1)] AS {name}_high"
+    )
+
+
+part(
+    "b_ranks",
+    f"""SELECT dataset, model, max(f1) FILTER (r = 0) AS f1, {_between("f1", "f1")},
+          max(place) FILTER (r = 0) AS model_rank, {_between("place", "rank")},
+          {r6("(count(*) FILTER (r > 0 AND place = 1))::DOUBLE / count(*) FILTER (r > 0)")} AS leads
+        FROM (SELECT *, rank() OVER (PARTITION BY dataset, r ORDER BY f1 DESC) AS place FROM b_scores)
+        GROUP BY ALL""",
+    "b_scores",
+)
 part(
     "s_mixed",
     f"""SELECT dataset, model, label, prediction, 0.0 AS elapsed_s, micro FROM s_eval
@@ -233,6 +279,7 @@ def all_sql() -> dict[str, str]:
             "open_customer", "r_best",
         ),
         "response_leaderboard_retrieved": quality("response_pairs", "response", {"c_response": "c_response_all"}),
+        "model_rank_ci": build("SELECT * FROM b_ranks", "b_ranks"),
         "dispatch_mixed": build("SELECT * EXCLUDE (total_response_time) FROM board_mixed", "board_mixed"),
         "perplexity_kn": build("SELECT * FROM ppl_kn", "ppl_kn"),
         "sentiment_leaderboard_trained": build("SELECT * FROM board_unseen", "board_unseen"),

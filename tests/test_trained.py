@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import extractive, infer, naive_bayes, perplexity, retrieval, word_vectors
+from revlens.operators import bootstrap, extractive, infer, naive_bayes, perplexity, retrieval, word_vectors
 from revlens.operators.infer import batch_infer
 from revlens.sources.catalog import LABELS
 
@@ -377,3 +377,46 @@ def test_the_oldest_client_makes_room(monkeypatch):
     for name in "abac":
         assert infer.kept_client("run", name, lambda name=name: Closing(name)).name == name
     assert closed == ["b"]
+
+
+# --- error bars -----------------------------------------------------------------
+
+
+def test_bootstrap_draws_are_poisson_and_keyed(spark):
+    rows = spark.range(3000).repartition(7)
+    drawn = [r.w for r in rows.select(bootstrap.weights([F.lit("d"), F.col("id")]).alias("w")).collect()]
+    flat = np.array(drawn).ravel()
+    assert flat.size == 3000 * bootstrap.REPLICATES
+    for k in range(4):
+        share = math.exp(-1) / math.factorial(k)
+        assert abs((flat == k).mean() - share) < 0.005
+    assert abs(flat.mean() - 1) < 0.01 and abs(flat.var() - 1) < 0.02
+    again = rows.coalesce(1).select(bootstrap.weights([F.lit("d"), F.col("id")]).alias("w")).collect()
+    assert sorted(map(tuple, drawn)) == sorted(tuple(r.w) for r in again)
+
+
+def test_intervals_hold_the_sample_and_narrow(spark):
+    """A model that is right nine times in ten leads one that is right six times; more
+    reviews give narrower intervals, and no partitioning changes a number."""
+
+    def board(n, parts):
+        rows = spark.range(n).repartition(parts).select(
+            F.lit("d").alias("dataset"), F.col("id").alias("review_id"),
+            F.element_at(F.array(*map(F.lit, LABELS)), (F.col("id") % 3 + 1).cast("int")).alias("label"),
+            F.explode(F.array(F.lit("good"), F.lit("poor"))).alias("model"),
+        )
+        right = F.when(F.col("model") == "good", F.col("id") % 10 != 3).otherwise(F.col("id") % 10 > 3)
+        rows = rows.withColumn("id", F.col("review_id"))
+        return rows.withColumn("prediction", F.when(right, F.col("label")).when(F.col("id") % 20 != 3, "neutral"))
+
+    small, large = (
+        {r.model: r for r in bootstrap.rank_intervals(board(n, 5), ["dataset", "review_id"]).collect()}
+        for n in (60, 3000)
+    )
+    other = bootstrap.rank_intervals(board(60, 1), ["dataset", "review_id"]).collect()
+    assert {r.model: r for r in other} == small
+    for out in (small, large):
+        assert all(r.f1_low <= r.f1 <= r.f1_high for r in out.values())
+        assert out["good"].model_rank == 1 and out["poor"].model_rank == 2
+    assert large["good"].f1_high - large["good"].f1_low < small["good"].f1_high - small["good"].f1_low
+    assert large["good"].leads == 1.0 and large["good"].rank_high == 1
