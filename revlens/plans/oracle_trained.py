@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from revlens.functions.text import WS_CHARS
-from revlens.operators import bootstrap, extractive, naive_bayes, perplexity, retrieval
+from revlens.operators import bootstrap, extractive, latency, naive_bayes, perplexity, retrieval
 from revlens.plans.oracle import (
     board_parts,
     build,
@@ -268,6 +270,25 @@ part(
 )
 
 
+# --- response times ----------------------------------------------------------------
+
+part(
+    "time_buckets",
+    f"""SELECT task, model, n, sum(n) OVER (PARTITION BY task, model ORDER BY bucket) AS upto,
+          sum(n) OVER (PARTITION BY task, model) AS total,
+          2.0::DOUBLE * pow({latency.GROWTH!r}::DOUBLE, bucket::DOUBLE) / {latency.GROWTH + 1!r}::DOUBLE AS value
+        FROM (SELECT task, model, ceil(ln(elapsed_s) / {math.log(latency.GROWTH)!r}::DOUBLE)::BIGINT AS bucket,
+                count(*) AS n
+              FROM (SELECT task, model, elapsed_s, err FROM c_summary UNION ALL
+                    SELECT task, model, elapsed_s, err FROM c_response)
+              WHERE err IS NULL GROUP BY ALL)""",
+    "c_summary", "c_response",
+)
+_SHARES = ", ".join(
+    f"{r6(f'min(value) FILTER (upto > floor({s}::DOUBLE * (total - 1)))')} AS p{round(100 * s)}" for s in (0.5, 0.9, 0.99)
+)
+
+
 def all_sql() -> dict[str, str]:
     return {
         "sentiment_trained": build("SELECT * FROM nb_answers", "nb_answers"),
@@ -279,6 +300,10 @@ def all_sql() -> dict[str, str]:
             "open_customer", "r_best",
         ),
         "response_leaderboard_retrieved": quality("response_pairs", "response", {"c_response": "c_response_all"}),
+        "latency_quantiles": build(
+            f"SELECT task, model, max(total)::BIGINT AS n_calls, {_SHARES} FROM time_buckets GROUP BY ALL",
+            "time_buckets",
+        ),
         "model_rank_ci": build("SELECT * FROM b_ranks", "b_ranks"),
         "dispatch_mixed": build("SELECT * EXCLUDE (total_response_time) FROM board_mixed", "board_mixed"),
         "perplexity_kn": build("SELECT * FROM ppl_kn", "ppl_kn"),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators import bootstrap, extractive, infer, naive_bayes, perplexity, retrieval, word_vectors
+from revlens.operators import bootstrap, extractive, infer, latency, naive_bayes, perplexity, retrieval, word_vectors
 from revlens.operators.infer import batch_infer
 from revlens.sources.catalog import LABELS
 
@@ -420,3 +420,46 @@ def test_intervals_hold_the_sample_and_narrow(spark):
         assert out["good"].model_rank == 1 and out["poor"].model_rank == 2
     assert large["good"].f1_high - large["good"].f1_low < small["good"].f1_high - small["good"].f1_low
     assert large["good"].leads == 1.0 and large["good"].rank_high == 1
+
+
+# --- response times -------------------------------------------------------------
+
+
+def test_quantiles_within_the_accuracy(spark):
+    """Against exact ranks, for one sketch and for many merged ones."""
+    rng = np.random.default_rng(4)
+    times = np.concatenate([rng.lognormal(-1, 1.5, 5000), [0.0] * 50, [1e-6, 1e6]])
+    rows = [(i % 7, float(t), None) for i, t in enumerate(times)] + [(0, 5e9, "failed")]
+    calls = spark.createDataFrame(rows, "part int, elapsed_s double, error string")
+    shares = (0.0, 0.005, 0.5, 0.9, 0.99, 1.0)
+    whole = latency.sketch(calls.withColumn("k", F.lit(1)), ["k"])
+    parts = latency.merged(latency.sketch(calls, ["part"]).withColumn("k", F.lit(1)), ["k"])
+    exact = [np.sort(times)[int(math.floor(s * (len(times) - 1)))] for s in shares]
+    for sketches in (whole, parts):
+        row = latency.quantiles(sketches, ["k"], shares).first()
+        assert row.n_calls == len(times)
+        for got, want in zip(list(row)[2:], exact, strict=True):
+            assert abs(got - want) <= latency.ACCURACY * want + 1e-6
+
+
+def test_sketches_read_each_file_of_the_log_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def commit(first, n, error=None):
+        rows = spark.range(first, first + n).select(
+            F.lit("summary").alias("task"), F.lit("d").alias("dataset"), F.col("id").alias("review_id"),
+            F.lit("A B/c").alias("model"), F.lit(1).alias("attempt"), F.lit("u").alias("user_name"),
+            F.lit("").alias("prompt"), F.lit(1).cast("bigint").alias("review_tokens"),
+            F.lit(1).cast("bigint").alias("input_tokens"), F.lit("x").alias("raw_output"),
+            F.lit(None).cast("bigint").alias("completion_tokens"),
+            (F.col("id") + 1).cast("double").alias("elapsed_s"), F.lit(error).cast("string").alias("error"),
+        )
+        infer.append_log(rows.coalesce(1), path)
+
+    commit(0, 100)
+    assert latency.update_sketches(spark, path) == 1
+    commit(100, 100)
+    commit(500, 5, "timeout")
+    assert latency.update_sketches(spark, path) == 2 and latency.update_sketches(spark, path) == 0
+    (row,) = latency.latency_of_log(spark, path).collect()
+    assert row.n_calls == 200 and abs(row.p50 - 100) <= 1 and abs(row.p99 - 198) <= 2
