@@ -813,7 +813,13 @@ def _text_metrics(suffix: str = "", instead: dict[str, str] | None = None) -> di
 def all_sql() -> dict[str, str]:
     from revlens.plans import oracle_trained  # it builds on the parts above
 
-    return _own_sql() | oracle_trained.all_sql()
+    own = _own_sql()
+    stored = {
+        "reviews_landed": own["reviews_unified"],
+        "rows_of_review": f"SELECT * FROM ({own['reviews_unified']}) WHERE review_id = (SELECT max(doc_id) FROM documents)",
+        "e2e_detail_bucketed": own["e2e_detail"],
+    }
+    return own | stored | oracle_trained.all_sql()
 
 
 def _own_sql() -> dict[str, str]:

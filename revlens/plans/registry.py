@@ -45,7 +45,7 @@ def query(fn: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    from revlens.plans import trained  # noqa: F401 - it registers its queries here
+    from revlens.plans import stored, trained  # noqa: F401 - they register their queries here
 
     return dict(_QUERIES)
 
@@ -526,7 +526,11 @@ def tone_alignment(spark, sf):
     )
 
 
-def _report_sentiment(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+def report_responses(spark: SparkSession, sf: str) -> DataFrame:
+    return _responses(spark, sf, version=2)
+
+
+def report_sentiment(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     labelled = rows.join(corpus.truth(spark, sf), "review_id", "left")
     return jobs.scored_sentiment(offline_calls(labelled, "sentiment", 2))
 
@@ -536,7 +540,7 @@ def e2e_detail(spark, sf):
     rows = unify.unreplied(customer_rows(spark, sf))
     return present(
         reports.e2e_detail(
-            _report_sentiment(spark, sf, rows),
+            report_sentiment(spark, sf, rows),
             jobs.priced_text(offline_calls(rows, "summary", 2)),
             _responses(spark, sf, version=2),
         )
