@@ -10,8 +10,9 @@ Candidates of all probes and tables are merged and scored exactly.
 Every vector is indexed. Equal vectors are one class: only its k + 1 smallest
 ids can be among the k nearest of anything (ties go to the smaller id), so a
 class of any size costs one index entry and nothing is lost. A bucket of any
-size is cut into packs of at most ``PACK`` vectors; a pack meets a pack of
-queries as one small matrix product, and only the best of each leave it.
+size is cut into packs of about ``PACK`` vectors; a pack meets a pack of
+queries as one small matrix product, and only the best of each leave it. The
+packs of a common bucket are dealt over many keys, so no task gets all of it.
 
 The defaults are for vectors without structure (independent normal components,
 nearest cosine about 0.3 to 0.5), where few buckets can be ruled out; clustered
@@ -39,6 +40,8 @@ from revlens.session import materialise
 
 TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 4, 4, 1.5, 32, 17
 PACK = 1024
+#: Packs of either side that meet under one key.
+TOGETHER = 4
 EVERY = 50  # fixed value: queries are the ids divisible by it
 K = 5
 
@@ -123,25 +126,45 @@ def _hashed(rows: DataFrame, hashing, probing: bool) -> DataFrame:
     )
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Buckets cut into packs of about ``size`` rows: (slot, bucket, ids, flat vectors)."""
-    sizes = rows.groupBy("slot", "bucket").agg(
-        F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_packs")
-    )
+def _packed(rows: DataFrame, own: str, name: str) -> DataFrame:
+    """Buckets cut into their ``own`` number of packs: ids and flat vectors of each."""
     return (
-        rows.join(sizes, ["slot", "bucket"])
-        .withColumn("_pack", F.pmod(F.xxhash64("class"), F.col("_packs")))
-        .groupBy("slot", "bucket", "_pack")
+        rows.withColumn("_pack", F.pmod(F.xxhash64("class"), F.col(own)).cast("int"))
+        .groupBy("slot", "bucket", "q_packs", "c_packs", "_pack")
         .agg(F.collect_list(F.struct("class", "v")).alias("_m"))
         .select(
             "slot",
             "bucket",
+            "q_packs",
+            "c_packs",
+            F.floor(F.col("_pack") / TOGETHER).cast("int").alias(f"{name}_part"),
             F.transform("_m", lambda m: m["class"]).alias(f"{name}_ids"),
             F.flatten(F.transform("_m", lambda m: m["v"])).alias(f"{name}_flat"),
         )
     )
 
 
+def _meetings(asking: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Each pack of queries beside each pack of vectors of its bucket. One key of the join
+    is TOGETHER packs of either side, so a bucket of any size is spread over many tasks;
+    the packs of a side are repeated once for each such part of the other."""
+
+    def sizes(rows: DataFrame, size: int, name: str) -> DataFrame:
+        packs = F.ceil(F.count(F.lit(1)) / size).cast("int")
+        return rows.groupBy("slot", "bucket").agg(packs.alias(name))
+
+    both = sizes(asking, PACK // 4, "q_packs").join(sizes(indexed, PACK, "c_packs"), ["slot", "bucket"])
+    both = materialise(both, "pack-sizes")
+
+    def parts(packs: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.floor((F.col(packs) - 1) / TOGETHER).cast("int")))
+
+    key = ["slot", "bucket"]
+    q = _packed(asking.join(both, key), "q_packs", "q").withColumn("c_part", parts("c_packs"))
+    c = _packed(indexed.join(both, key), "c_packs", "c").withColumn("q_part", parts("q_packs"))
+    return q.join(c, [*key, "q_part", "c_part"])
+
+
 def _best(pairs: DataFrame, keep: int) -> DataFrame:
     """(q, c, score): of each pair of packs the best ``keep`` classes of each query."""
 
@@ -218,9 +241,8 @@ def nearest(
     asked = materialise(asked, "queries")
     hashing = spark.sparkContext.broadcast(Hashing(dim, tables, functions, width, probes, seed))
     query_rows = classes.join(asked.select("class").distinct(), "class", "left_semi")
-    index = _packed(_hashed(classes, hashing, False), PACK, "c")
-    probe = _packed(_hashed(query_rows, hashing, True), PACK // 4, "q")
-    found = materialise(_best(probe.join(index, ["slot", "bucket"]), k + 1), "neighbours")
+    met = _meetings(_hashed(query_rows, hashing, True), _hashed(classes, hashing, False))
+    found = materialise(_best(met, k + 1), "neighbours")
     named = materialise(_named(found, classes, asked, k), "named")
     # a query whose probes met fewer than k others is compared with all vectors, in packs
     short = materialise(
@@ -232,9 +254,8 @@ def nearest(
     if not short.isEmpty():
         left = classes.join(short.select("class").distinct(), "class", "left_semi")
         here = F.lit(0).cast("bigint").alias("bucket"), F.lit(0).alias("slot")
-        asking = _packed(left.select("class", "v", *here), PACK // 4, "q").drop("slot")
-        all_of = _packed(classes.select("class", "v", *here), PACK, "c").drop("slot")
-        rest = _named(_best(asking.join(all_of, "bucket"), k + 1), classes, short, k)
+        met = _meetings(left.select("class", "v", *here), classes.select("class", "v", *here))
+        rest = _named(_best(met, k + 1), classes, short, k)
         named = named.join(short, "query_id", "left_anti").unionByName(rest)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

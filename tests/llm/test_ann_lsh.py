@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from revlens.llm import ann_lsh
 from revlens.llm.ann_lsh import EVERY, Hashing, nearest
 
 
@@ -72,3 +73,22 @@ def test_copies_ties_and_odd_rows(spark):
     assert nearest(frame.limit(0), F.col("id") >= 0).count() == 0
     few = collected(nearest(frame.filter("vec_id in (1000, 1001, 1002)"), F.col("id") == 1000, probes=81))
     assert len(few[1000]) == 2
+
+
+def test_one_bucket_of_everything_is_spread(spark, monkeypatch):
+    """Cells so wide that all vectors share a bucket, in small packs: as by brute force,
+    and no key of the join has more than a few packs."""
+    monkeypatch.setattr(ann_lsh, "PACK", 32)
+    monkeypatch.setattr(ann_lsh, "TOGETHER", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(nearest(frame, F.col("id") % 10 == 0, tables=1, width=1e6, probes=1))
+    want = brute(rows, [i for i, _ in rows if i % 10 == 0])
+    assert {q: [v for v, _ in found] for q, found in got.items()} == {
+        q: [v for v, _ in found] for q, found in want.items()
+    }
+    one = frame.select(F.col("vec_id").alias("class"), F.col("embedding").alias("v"), F.lit(0).alias("slot"), F.lit(0).alias("bucket"))
+    met = ann_lsh._meetings(one.filter("class % 10 = 0"), one)
+    keys = met.groupBy("q_part", "c_part").count().collect()
+    assert max(r["count"] for r in keys) <= 4 and len(keys) > 50
