@@ -29,6 +29,8 @@ from revlens.functions.arrays import let
 from revlens.llm.words import GAP
 from revlens.session import materialise
 
+#: Hashes of ids that a share is taken of: fine enough for any number of labels.
+HASHES = 10**15
 MAX_ROWS = 20_000
 FOLDS = 5
 CUT = 0.3  # fixed value: the score from which a text is predicted good
@@ -158,9 +160,10 @@ def fit_rules(
         .filter(remainder(F.col("doc_id")) != 0)
         .groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
+        .join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
     )
     share = min(1.0, max_rows / max(1, marks.count()))
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < int(share * HASHES))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw"))
     stats = [f"s_{n}" for n in STATS]
     # at most about max_rows ids; the label travels with the id
