@@ -10,8 +10,9 @@ a toxic text's grade is the tercile of its share of telltale terms among the
 toxic texts, so grades run from 0 (not toxic) to 3.
 
 The model is fitted on about ``max_rows`` labelled texts, chosen by a hash of the
-id, from both classes; the longest are fitted on as excerpts from all over the text,
-so that no text takes the room of another. Every text is scored whole. Edge cases: null and empty texts get the
+id, from both classes. Their terms are counted whole in Spark, so the driver sees no
+text: it gets the vocabulary (a bounded number of terms) and how often each text has
+each of these. Every text is scored whole. Edge cases: null and empty texts get the
 severity of a text without terms; rows without a label, or whose label is null,
 are not learned from; an id labelled both ways counts as toxic; with no toxic or
 no other labelled text nothing is rejected (severity 0), with a warning in the log if
@@ -37,18 +38,22 @@ from revlens.session import materialise
 
 _log = logging.getLogger(__name__)
 
-#: Bound of the labelled sample that is fitted on the driver, in texts and characters.
+#: Bound of the labelled sample, in texts.
 MAX_ROWS = 4000
-MAX_CHARS = 16_000_000
 #: A class has at least one text in this many of the sample, if it has that many.
 RARE = 20
-#: Places of a long text that its excerpt is made of.
-PIECES = 16
 VOCABULARY = 4000
 MIN_TEXTS = 4
 STEMS = (4, 5, 6, 7)
 GRADES = 3
 REJECT_AT = 0.4  # P(grade > 0) from which a text is rejected
+BAG = T.StructType(
+    [
+        T.StructField("total", T.LongType()),
+        T.StructField("terms", T.ArrayType(T.StringType())),
+        T.StructField("times", T.ArrayType(T.LongType())),
+    ]
+)
 SCORE = T.StructType(
     [
         T.StructField("severity", T.DoubleType()),
@@ -123,18 +128,30 @@ def _grades(counted: tuple[np.ndarray, ...], toxic: np.ndarray, z: np.ndarray) -
     return np.where(toxic, 1 + np.searchsorted(edges, share, side="right"), 0)
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400, ridge: float = 0.0005) -> Model | None:
-    """Full-batch Adam on the penalised likelihood of the grades."""
+def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
+    """The model of texts at hand; None without both classes."""
     toxic = np.asarray(toxic, dtype=bool)
     if not toxic.any() or toxic.all():
         return None
     index, z = _vocabulary(texts, toxic)
-    if not index:
+    return fit_counts(_counted(texts, index), toxic, index, z)
+
+
+def fit_counts(
+    counted: tuple[np.ndarray, ...],
+    toxic: np.ndarray,
+    index: dict[str, int],
+    z: np.ndarray,
+    rounds: int = 400,
+    ridge: float = 0.0005,
+) -> Model | None:
+    """Full-batch Adam on the penalised likelihood of the grades; ``counted`` has row,
+    feature and count of the known terms, and the number of all terms of each row."""
+    if not index or not toxic.any() or toxic.all():
         return None
-    counted = _counted(texts, index)
     grade = _grades(counted, toxic, z)
     rows, cols, vals = counted[0], counted[1], np.log1p(counted[2])
-    n, d = len(texts), len(index)
+    n, d = len(toxic), len(index)
     # cuts[0] free, the gaps between cuts positive through exp
     theta = np.concatenate([np.zeros(d), [1.0], np.zeros(GRADES - 1)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -190,28 +207,65 @@ def sample(
     return texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("_toxic").alias("toxic"))
 
 
-def text_bound(sizes: list[int], total: int) -> int:
-    """The most characters of one text such that all texts together have at most ``total``."""
-    left = total
-    for i, size in enumerate(sorted(sizes)):
-        if size * (len(sizes) - i) > left:
-            return left // (len(sizes) - i)
-        left -= size
-    return total
-
-
-def _excerpt(text: Column, bound: int) -> Column:
-    """A text of at most ``bound`` characters whole, of a longer one that many in
-    ``PIECES`` parts spread evenly over it."""
-    size = bound // PIECES - 1
-    if size < 1:
-        return F.substring(text, 1, bound)
-    far = F.length(text) - size
-    parts = [
-        F.substring(text, (1 + F.floor(far * i / (PIECES - 1))).cast("int"), F.lit(size))
-        for i in range(PIECES)
+def _bags(texts: list[str]) -> list[list]:
+    bags = [terms(text) for text in texts]
+    return [[sum(b.values()) for b in bags], [list(b) for b in bags], [list(b.values()) for b in bags]]
+
+
+def counted_sample(found: DataFrame, max_rows: int) -> DataFrame:
+    """(no, toxic, total, terms, times) of the sampled texts (text, toxic), whole; of
+    ids with many texts the first ones by hash, for each class."""
+    key = {"toxic": F.col("toxic"), "h": F.xxhash64("text")}
+    bags = map_texts(found, key, F.col("text"), lambda: _bags, BAG)
+    bags = materialise(bags.withColumn("no", F.monotonically_increasing_id()), "labelled-bags")
+    kept = [
+        bags.filter(F.col("toxic") == y).select("no", "h").orderBy("h", "no").limit(max_rows).select("no")
+        for y in (True, False)
     ]
-    return F.when(F.length(text) <= bound, text).otherwise(F.concat_ws("\n", *parts))
+    return bags.join(F.broadcast(kept[0].union(kept[1])), "no")  # at most twice max_rows numbers
+
+
+def _vocabulary_of(bags: DataFrame, sizes: dict[bool, int]) -> list:
+    """(term, z) of the terms that speak most clearly for either side."""
+    toxic = F.col("toxic").cast("double")
+    seen = (
+        bags.select("toxic", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").cast("double").alias("n"), F.sum(toxic).alias("a"))
+        .filter(F.col("n") >= MIN_TEXTS)
+        .withColumn("b", F.col("n") - F.col("a"))
+    )
+    n1, n0 = (F.lit(float(max(1, sizes[y]))) for y in (True, False))
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    odds = F.log(a / (n1 - F.col("a") + 0.5)) - F.log(b / (n0 - F.col("b") + 0.5))
+    z = (odds / F.sqrt(1 / a + 1 / b)).alias("z")
+    return seen.select("term", z).orderBy(F.desc(F.abs("z")), "term").limit(VOCABULARY).collect()
+
+
+def fit_bags(bags: DataFrame) -> Model | None:
+    """The model of counted texts. The driver gets at most VOCABULARY terms, and a row
+    and column number and a count for each of them in each text."""
+    sizes = {False: 0, True: 0} | {r[0]: r[1] for r in bags.groupBy("toxic").count().collect()}
+    if not sizes[True] or not sizes[False]:
+        return None
+    best = _vocabulary_of(bags, sizes)
+    index = {r.term: j for j, r in enumerate(best)}
+    spark = bags.sparkSession
+    rows = bags.select("no", "toxic", "total").orderBy("no").toPandas()
+    if not index:
+        return None
+    names = spark.createDataFrame(list(index.items()), "term string, col int")
+    known = (
+        bags.select("no", F.explode(F.arrays_zip("terms", "times")).alias("t"))
+        .select("no", F.col("t.terms").alias("term"), F.col("t.times").alias("n"))
+        .join(F.broadcast(names), "term")
+        .select("no", "col", "n")
+        .toPandas()
+        .sort_values(["no", "col"])  # so that sums come in one order
+    )
+    place = np.searchsorted(rows["no"].to_numpy(), known["no"].to_numpy())
+    counted = (place, known["col"].to_numpy(np.int64), known["n"].to_numpy(), rows["total"].to_numpy())
+    return fit_counts(counted, rows["toxic"].to_numpy(bool), index, np.array([r.z for r in best]))
 
 
 def fit_model(
@@ -220,30 +274,18 @@ def fit_model(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = MAX_ROWS,
-    max_chars: int = MAX_CHARS,
 ) -> Model | None:
-    """The model of a bounded labelled sample: about ``max_rows`` texts, all of them taken;
-    those longer than the bound that keeps them within ``max_chars`` together as excerpts."""
+    """The model of a bounded labelled sample: about ``max_rows`` texts, whole."""
     marks = present(docs, labels, id_col)
     sizes = {False: 0, True: 0} | {r[0]: r[1] for r in marks.groupBy("_toxic").count().collect()}
-    found = materialise(sample(docs, marks, sizes, id_col, text_col, max_rows), "labelled-texts")
-    # of ids with many texts the first ones by hash, for each class
-    kept = [
-        found.filter(F.col("toxic") == y).orderBy(F.xxhash64("text")).limit(max_rows)
-        for y in (True, False)
-    ]
-    kept = kept[0].union(kept[1])
-    bound = text_bound([r[0] for r in kept.select(F.length("text")).collect()], max_chars)
-    texts, toxic = [], []
-    for row in kept.select(_excerpt(F.col("text"), bound).alias("text"), "toxic").toLocalIterator():
-        texts.append(row.text)
-        toxic.append(row.toxic)
-    model = fit(texts, np.array(toxic, dtype=bool))
+    model = None
+    if sizes[True] and sizes[False]:
+        found = sample(docs, marks, sizes, id_col, text_col, max_rows)
+        model = fit_bags(materialise(counted_sample(found, max_rows), "fit-bags"))
     if model is None and not labels.filter("toxic > 0").isEmpty():
         _log.warning(
-            "no toxicity model, nothing is rejected: of the labelled documents %d are toxic and %d "
-            "are not; %d and %d texts were fitted on",
-            sizes[True], sizes[False], sum(toxic), len(toxic) - sum(toxic),
+            "no toxicity model, nothing is rejected: of the labelled documents %d are toxic and %d are not",
+            sizes[True], sizes[False],
         )
     return model
 

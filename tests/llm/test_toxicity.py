@@ -1,7 +1,19 @@
+import math
+
 import numpy as np
 import pytest
 
-from revlens.llm.toxicity import Scorer, drop_rejected, fit, fit_model, terms, text_bound, toxicity
+from revlens.llm.toxicity import (
+    Scorer,
+    counted_sample,
+    drop_rejected,
+    fit,
+    fit_bags,
+    fit_counts,
+    fit_model,
+    terms,
+    toxicity,
+)
 
 
 @pytest.fixture(scope="module")
@@ -60,18 +72,13 @@ def test_edge_cases(spark, odd_docs, no_docs):
     assert drop_rejected(no_docs, model).count() == 0
 
 
-def test_text_bound():
-    assert text_bound([3, 5, 1], 9) == 9 and text_bound([], 9) == 9
-    assert text_bound([100, 2, 100, 2], 14) == 5 and text_bound([100], 14) == 14
-
-
 def test_long_texts_leave_room_for_all(spark):
-    """One text over the whole bound, and long toxic ones, do not end the sample."""
+    """Very long texts, toxic or not, are counted whole and end no sample."""
     rows = [(i, "kind words here", 0) for i in range(60)]
     rows += [(100 + i, "trash talk scum " * (1 + 40 * (i % 2)), 1) for i in range(20)]
     rows += [(200 + i, "plain prose " * 3000, 0) for i in range(4)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = fit_model(frame.select("doc_id", "text"), frame.drop("text"), max_chars=30_000)
+    model = fit_model(frame.select("doc_id", "text"), frame.drop("text"))
     assert Scorer(model).score(["some scum and trash", "kind words"])[1][0] > 0.9
     said = toxicity(frame.select("doc_id", "text"), model).filter("rejected").collect()
     assert {r.doc_id for r in said} == set(range(100, 120))
@@ -91,3 +98,65 @@ def test_no_model_is_said(spark, caplog):
     labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
     assert fit_model(docs, labels) is None
     assert "no toxicity model" in caplog.text
+
+
+def test_counted_in_spark_like_in_memory(spark, labelled):
+    """The same vocabulary, cuts and scores from bags counted in tasks."""
+    rows = labelled[:600]
+    frame = spark.createDataFrame(rows, "text string, toxic boolean").repartition(5)
+    model = fit_bags(counted_sample(frame, 1000))
+    want = fit([t for t, _ in rows], np.array([y for _, y in rows]))
+    assert set(model.index) == set(want.index)
+    assert np.allclose(model.cuts, want.cuts, atol=1e-3)
+    texts = [t for t, _ in labelled[600:700]]
+    assert np.allclose(Scorer(model).score(texts)[0], Scorer(want).score(texts)[0], atol=1e-2)
+    few = counted_sample(frame, 10).groupBy("toxic").count().collect()
+    assert {r["count"] for r in few} == {10}
+
+
+def brute_score(model, text):
+    """P(grade <= k) = sigmoid(cut_k - w.x), term by term."""
+    x = {t: math.log1p(n) for t, n in terms(text).items() if t in model.index}
+    eta = sum(model.weights[model.index[t]] * v for t, v in x.items())
+    above = [1 - 1 / (1 + math.exp(-(c - eta))) for c in model.cuts]
+    p = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+    return sum(above), above[0], p.index(max(p))
+
+
+def test_scores_by_the_formula(labelled):
+    rows = labelled[:300]
+    model = fit([t for t, _ in rows], np.array([y for _, y in rows]))
+    texts = [t for t, _ in labelled[300:360]] + ["", "Idiot IDIOTS idiotic", "é 123"]
+    for text, *got in zip(texts, *Scorer(model).score(texts), strict=True):
+        severity, p_toxic, grade = brute_score(model, text)
+        assert abs(got[0] - severity) < 1e-9 and abs(got[1] - p_toxic) < 1e-9 and got[2] == grade
+
+
+def test_the_fit_is_at_a_minimum():
+    """No step of one weight or cut makes the penalised likelihood of the grades better by
+    more than the last rounds of the fit still do."""
+    rng = np.random.default_rng(2)
+    n, d = 200, 5
+    toxic = np.arange(n) % 2 == 0
+    rows, cols = (a.ravel() for a in np.meshgrid(np.arange(n), np.arange(d), indexing="ij"))
+    counts = rng.poisson(1 + 2 * toxic[rows] * (cols < 2))
+    totals = np.bincount(rows, counts)
+    index, z = {f"t{j}": j for j in range(d)}, np.array([9.0, 8.0, 0.0, 0.0, 0.0])
+    counted = (rows, cols, counts, totals)
+    model = fit_counts(counted, toxic, index, z, rounds=4000)
+    telltale = np.bincount(rows, counts * (cols < 2), minlength=n) / np.maximum(1, totals)
+    edges = np.quantile(telltale[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + np.searchsorted(edges, telltale, side="right"), 0)
+
+    def loss(w, cuts):
+        eta = np.bincount(rows, np.log1p(counts) * w[cols], minlength=n)
+        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+        p = [1 / (1 + np.exp(-(edge[grade + k] - eta))) for k in (1, 0)]
+        return -np.log(p[0] - p[1]).mean() + 0.0005 / 2 * (w**2).sum()
+
+    best = loss(model.weights, model.cuts)
+    for j in range(d + len(model.cuts)):
+        for step in (-0.05, 0.05):
+            w, cuts = model.weights.copy(), model.cuts.copy()
+            (w if j < d else cuts)[j if j < d else j - d] += step
+            assert loss(w, cuts) > best - 1e-6
