@@ -2,16 +2,16 @@
 
 Training is one aggregate of (term, label) counts. With add-one smoothing a token
 adds ln(n + 1) - ln(N + V) to a label's score, where n counts the term under the
-label, N all its tokens and V the vocabulary; a term never seen adds ln(1) = 0 in
-the first part. So a text's score needs only the terms that the model knows, its
-number of words, and one row of totals. Logarithms are kept in billionths, so the
+label, N all its tokens and V the vocabulary: the terms seen at least ``MIN_COUNT``
+times. Other terms say nothing (else a text of misspellings would go to the label with
+the fewest tokens), so a score needs the known terms and one row of totals. Logarithms are kept in billionths, so the
 sums are exact and do not depend on the order of tasks.
 
 The term table is broadcast where its measured size allows; beyond that, terms are
 joined by a shuffle that spreads the words measured as hot. Both give one result.
 :func:`client_factory` wraps a model of bounded size as a client for batch calls.
 
-A text without words gets the label that most training reviews have; ties go to the
+A text without known words gets the label that most training reviews have; ties go to the
 earlier of the labels; rows without text count as empty.
 """
 
@@ -38,6 +38,8 @@ NAME = "Naive Bayes"
 MODEL = Model(NAME, Decimal(0), Decimal(0), 0.0, "clean", "user")
 #: One in so many reviews, by a hash of its id, is kept from training.
 FOLDS = 5
+#: Terms seen less often are not learned.
+MIN_COUNT = 10
 #: Largest measured size, in bytes, of a term table that is broadcast or shipped.
 LIMIT = 64 * 2**20
 
@@ -59,14 +61,15 @@ def _billionths(x: Column) -> Column:
     return F.floor(F.log(x.cast("double")) * F.lit(1e9) + F.lit(0.5)).cast("bigint")
 
 
-def train(labelled: DataFrame, text: str = "review") -> Trained:
+def train(labelled: DataFrame, text: str = "review", min_count: int = MIN_COUNT) -> Trained:
     """Of rows with a text and a ``label``; the caller leaves out what is held out."""
     label = F.col("label")
     told = labelled.filter(label.isin(*LABELS)).select("label", words(F.col(text)).alias("_words"))
     counts = materialise(
         told.select("label", F.explode("_words").alias("term"))
         .groupBy("term")
-        .agg(*[F.count_if(label == x).alias(f"n_{x}") for x in LABELS]),
+        .agg(F.count("*").alias("n"), *[F.count_if(label == x).alias(f"n_{x}") for x in LABELS])
+        .filter(F.col("n") >= min_count),
         "term-label-counts",
     )
     terms = counts.select("term", *[_billionths(F.col(f"n_{x}") + 1).alias(f"w_{x}") for x in LABELS])
@@ -93,7 +96,7 @@ def _size(terms: DataFrame) -> int:
 def classify(
     rows: DataFrame, model: Trained, key: Sequence[str], text: str = "review", limit: int = LIMIT
 ) -> DataFrame:
-    """(key, n_words, prediction, margin) of every row: the best label and how far, in
+    """(key, n_known, prediction, margin) of every row: the best label and how far, in
     billionths of a natural logarithm, it is ahead of the second."""
     key = list(key)
     counted = rows.select(*key, F.explode_outer(term_counts(words(F.col(text)))).alias("_t")).select(
@@ -105,7 +108,7 @@ def classify(
         uses = counted.groupBy("term").agg(F.count("*").alias("n_rows"))
         met = hot_key_join(counted, model.terms, ["term"], uses, key)
     sums = met.groupBy(*key).agg(
-        F.coalesce(F.sum("_times"), F.lit(0)).alias("n_words"),
+        F.sum(F.when(F.col(f"w_{LABELS[0]}").isNotNull(), F.col("_times")).otherwise(0)).alias("n_known"),
         *[F.coalesce(F.sum(F.col(f"w_{x}") * F.col("_times")), F.lit(0)).alias(f"s_{x}") for x in LABELS],
     )
     scored = sums.crossJoin(F.broadcast(model.totals))  # one row
@@ -113,7 +116,7 @@ def classify(
         F.array(
             *[
                 F.struct(
-                    (F.col(f"s_{x}") + F.col(f"prior_{x}") - F.col("n_words") * F.col(f"base_{x}")).alias("score"),
+                    (F.col(f"s_{x}") + F.col(f"prior_{x}") - F.col("n_known") * F.col(f"base_{x}")).alias("score"),
                     F.lit(-i).alias("order"),
                     F.lit(x).alias("label"),
                 )
@@ -124,7 +127,7 @@ def classify(
     )
     best, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
     return scored.withColumn("_ranked", ranked).select(
-        *key, "n_words", best["label"].alias("prediction"), (best["score"] - second["score"]).alias("margin")
+        *key, "n_known", best["label"].alias("prediction"), (best["score"] - second["score"]).alias("margin")
     )
 
 
@@ -158,7 +161,7 @@ class Client:
     def __call__(self, request: dict) -> tuple[str, int | None]:
         times = Counter(_words(request["review"] or ""))
         weighed = [(k, self.known[t]) for t, k in times.items() if t in self.known]
-        n, scores = sum(times.values()), []
+        n, scores = sum(k for k, _ in weighed), []
         for i in range(len(LABELS)):
             hits = sum(k * weights[i] for k, weights in weighed)
             scores.append(hits + self.prior[i] - n * self.base[i])

@@ -33,7 +33,8 @@ part(
     "nb_counts",
     f"""SELECT term, {", ".join(f"count(*) FILTER (label = {q(x)}) AS n_{x}" for x in LABELS)}
         FROM (SELECT label, unnest({words("review")}) AS term FROM evaluation
-              WHERE dataset = 'customer' AND NOT {_HELD}) GROUP BY term""",
+              WHERE dataset = 'customer' AND NOT {_HELD})
+        GROUP BY term HAVING count(*) >= {naive_bayes.MIN_COUNT}""",
     "evaluation",
 )
 part(
@@ -47,7 +48,7 @@ part(
 )
 part(
     "nb_sums",
-    f"""SELECT e.dataset, e.review_id, e.label, count(term) AS n_words,
+    f"""SELECT e.dataset, e.review_id, e.label, count(n_{LABELS[0]}) AS n_known,
           {", ".join(f"coalesce(sum({_ln(f'n_{x} + 1')}), 0)::BIGINT AS s_{x}" for x in LABELS)}
         FROM evaluation e
         LEFT JOIN (SELECT dataset, review_id, unnest({words("review")}) AS term FROM evaluation) w
@@ -55,11 +56,11 @@ part(
         LEFT JOIN nb_counts USING (term) GROUP BY ALL""",
     "evaluation", "nb_counts",
 )
-_SCORES = "[" + ", ".join(f"s_{x} + prior_{x} - n_words * base_{x}" for x in LABELS) + "]"
+_SCORES = "[" + ", ".join(f"s_{x} + prior_{x} - n_known * base_{x}" for x in LABELS) + "]"
 _NAMES = "[" + ", ".join(q(x) for x in LABELS) + "]"
 part(
     "nb_answers",
-    f"""SELECT dataset, review_id, label, n_words, {_NAMES}[list_position(sc, list_max(sc))] AS prediction,
+    f"""SELECT dataset, review_id, label, n_known, {_NAMES}[list_position(sc, list_max(sc))] AS prediction,
           list_reverse_sort(sc)[1] - list_reverse_sort(sc)[2] AS margin, {_HELD} AS held_out
         FROM (SELECT *, {_SCORES} AS sc FROM nb_sums, nb_totals)""",
     "nb_sums", "nb_totals",

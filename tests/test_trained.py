@@ -24,7 +24,8 @@ ASKED = ["good light", "BAD lamp broken", "a lamp", "unknown words", "", None, "
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return naive_bayes.train(spark.createDataFrame(TRAIN, "review_id bigint, review string, label string"))
+    rows = spark.createDataFrame(TRAIN, "review_id bigint, review string, label string")
+    return naive_bayes.train(rows, min_count=1)
 
 
 @pytest.fixture(scope="module")
@@ -41,11 +42,11 @@ def expected(text):
         if label:
             docs[label] += 1
             counts[label].update(naive_bayes._words(review or ""))
-    vocabulary = len(set().union(*counts.values()))
+    known = set().union(*counts.values())
+    ws = [w for w in naive_bayes._words(text or "") if w in known]
     scores = []
     for x in LABELS:
-        ws = naive_bayes._words(text or "")
-        total = sum(counts[x].values()) + vocabulary
+        total = sum(counts[x].values()) + len(known)
         scores.append(
             sum(naive_bayes.billionths(counts[x][w] + 1) for w in ws)
             - len(ws) * naive_bayes.billionths(total) + naive_bayes.billionths(docs[x] + 1)
@@ -85,6 +86,13 @@ def test_client_answers_like_the_columns(spark, model, asked):
         naive_bayes.client_factory(model, limit=10)
 
 
+def test_rare_terms_are_not_learned(spark):
+    rows = spark.createDataFrame(TRAIN, "review_id bigint, review string, label string")
+    model = naive_bayes.train(rows, min_count=3)
+    assert {r.term for r in model.terms.collect()} == {"good", "lamp", "bad"}
+    assert model.totals.first().base_negative == naive_bayes.billionths(3 + 1 + 3)
+
+
 def test_nothing_to_learn_from(spark, asked):
     empty = naive_bayes.train(spark.createDataFrame([], "review_id bigint, review string, label string"))
     out = naive_bayes.classify(asked, empty, ["review_id"]).collect()
