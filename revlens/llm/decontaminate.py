@@ -2,19 +2,23 @@
 
 1. The words of the benchmark are counted in the corpus.
 2. Every window (``WINDOW`` consecutive words of an item, or a shorter item
-   whole) names its ``ANCHORS`` rarest words; a window with a word that the
-   corpus lacks cannot occur.
-3. The index stores the postings (word, document, position) of the anchor words.
-4. Postings are shifted by the anchor's place in the item; those that meet at
-   one offset of one document are intersected: only an offset where enough
-   anchors of a window stand can hold it.
-5. At those offsets the document's words are compared with the item's: exact
-   phrase matches. Anchors that meet within ``SLACK`` words of one offset, in
-   any exactness, are proximity matches.
-
-Only benchmark-sized tables are broadcast, after their size is measured. A word,
-a document or a passage that is everywhere only makes more rows of its postings:
-nothing is collected by word, and counts are summed before they are shuffled.
+   whole) names its ``ANCHORS`` rarest words that the corpus has; a window with
+   too many words that the corpus lacks can be neither there nor near.
+3. The index stores the postings (word, document, position) of the anchor words,
+   and each document's length as the posting of the empty word.
+4. Postings are shifted by the anchor's place in the item; those that meet within
+   ``SLACK`` words of one offset of one document are intersected: only an offset
+   with as many anchors around it as a window has is a candidate.
+5. At those offsets the document's words are compared with the item's. An exact
+   phrase match is a window that stands there word for word. A proximity match is
+   a window of which at least ``NEAR`` percent of the words stand within ``SLACK``
+   words of their place; it is reported with its item and the place in the
+   document where the window would start.
+
+Only benchmark-sized tables are broadcast, after their size is measured; beyond
+that, words that are everywhere are dealt over several tasks. A word, a document or
+a passage that is everywhere only makes more rows of its postings: nothing is
+collected by word, and counts are summed before they are shuffled.
 
 Edge cases: null and empty texts have no words and no hits; an item without
 words or without an id takes no part; rows that share an id are told apart by
@@ -24,17 +28,19 @@ columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.arrays import let
-from revlens.llm.sizes import broadcast_if_small
+from revlens.functions.skew import hot_key_join
+from revlens.llm.sizes import BROADCAST_BYTES, broadcast_if_small, is_small
 from revlens.llm.words import whole_row, words
 from revlens.session import materialise
 
 WINDOW = 13
 ANCHORS = 3
 SLACK = 13
+NEAR = 75
 SHARE = 20  # fixed value: contaminated when at least one word in so many is hit
 
 
@@ -68,15 +74,15 @@ def benchmark_items(items: DataFrame, id_col: str, text_col: str, window: int) -
     )
 
 
-def term_counts(keyed: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, n): how often each of ``terms`` stands in the corpus."""
+def term_counts(keyed: DataFrame) -> DataFrame:
+    """(word, n): how often each word stands in the corpus."""
     seen = keyed.select(F.explode(words(F.col("_text"))).alias("word"))
-    found = seen.join(broadcast_if_small(terms), "word")
-    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, per_window: int) -> DataFrame:
-    """(item, place, word, need): the rarest words of each window that can occur."""
+def anchors(items: DataFrame, counts: DataFrame, per_window: int, near: int) -> DataFrame:
+    """(item, place, word, need, len): the rarest words of each window that can be there
+    or near, among those that the corpus has."""
     placed = items.select("item", "size", F.posexplode("w").alias("place", "word"))
     ranked = (
         placed.join(counts, "word", "left")
@@ -89,41 +95,90 @@ def anchors(items: DataFrame, counts: DataFrame, per_window: int) -> DataFrame:
     )
 
     def rarest(start: Column) -> Column:
-        window = F.slice(F.col("p"), start, F.col("size"))
-        order = F.array_sort(
-            F.transform(window, lambda x: F.struct(x["n"], x["place"], x["word"]))
-        )
+        seen = F.filter(F.slice(F.col("p"), start, F.col("size")), lambda x: x["n"] > 0)
+        order = F.array_sort(F.transform(seen, lambda x: F.struct(x["n"], x["place"], x["word"])))
         return let(
             order,
-            lambda o: F.when(F.get(o, F.lit(0))["n"] > 0, F.slice(o, 1, per_window)).otherwise(
-                F.slice(o, 1, 0)
+            lambda o: F.slice(
+                o, 1, F.when(100 * F.size(o) >= near * F.col("size"), per_window).otherwise(0)
             ),
         )
 
     windows = F.transform(F.sequence(F.lit(1), F.size("p") - F.col("size") + 1), rarest)
+    need = F.least(F.lit(per_window), F.col("size"))
+    return ranked.select(
+        "item",
+        need.alias("need"),
+        F.size("p").alias("len"),
+        F.explode(F.array_distinct(F.flatten(windows))).alias("a"),
+    ).select("item", "a.place", "a.word", "need", "len")
+
+
+def postings(keyed: DataFrame, rare: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+    """The index: (word, doc_id, _h, at) of every occurrence of the words of ``rare``,
+    and one row a document whose word is empty and whose ``at`` is its length.
+    ``counts`` (word, n) names the words that are hot in a shuffled join."""
+    ends = F.concat(words(F.col("_text")), F.array(F.lit("")))
+    at = keyed.select("doc_id", "_h", F.posexplode(ends).alias("at", "word"))
+    if is_small(rare, limit):
+        return at.join(F.broadcast(rare), "word", "left_semi").select("word", "doc_id", "_h", "at")
+    found = hot_key_join(
+        at,
+        rare.withColumn("_rare", F.lit(True)),
+        ["word"],
+        counts.withColumnRenamed("n", "n_rows"),
+        ["doc_id", "_h", "at"],
+    )
+    return found.filter(F.col("_rare")).select("word", "doc_id", "_h", "at")
+
+
+def candidates(index: DataFrame, wanted: DataFrame, counts: DataFrame, slack: int, limit: int) -> DataFrame:
+    """(doc_id, _h, item, offset, len, whole): offsets with at least ``need`` anchors
+    within ``slack`` words; ``whole`` where so many meet at the offset itself."""
+    if is_small(wanted, limit):
+        met = index.join(F.broadcast(wanted), "word")
+    else:
+        met = hot_key_join(
+            index.filter("word <> ''"),
+            wanted,
+            ["word"],
+            counts.withColumnRenamed("n", "n_rows"),
+            ["doc_id", "_h", "at"],
+        )
+    # rows that are equal in id and text put their postings here once each
+    copies = (
+        index.filter("word = ''").groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("copies"))
+    )
+    repeated = broadcast_if_small(materialise(copies.filter("copies > 1"), "repeated"), limit)
+    # dealt by document and item once, for the sum at an offset and for the one around it
+    offsets = (
+        met.select("doc_id", "_h", "item", "need", "len", (F.col("at") - F.col("place")).alias("offset"))
+        .repartition("doc_id", "_h", "item")
+        .groupBy("doc_id", "_h", "item", "offset", "need", "len")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    around = Window.partitionBy("doc_id", "_h", "item").orderBy("offset").rangeBetween(-slack, slack)
+    met_near = offsets.withColumn("m", F.sum("n").over(around)).filter("m >= need")
+    one = F.coalesce("copies", F.lit(1))
     return (
-        ranked.select("item", "size", F.explode(F.array_distinct(F.flatten(windows))).alias("a"))
+        met_near.alias("o")
+        .join(repeated.alias("r"), _same_doc("o", "r"), "left")
+        .filter(F.col("m") >= one * F.col("need"))
         .select(
-            "item", "a.place", "a.word", F.least(F.lit(per_window), F.col("size")).alias("need")
+            "o.doc_id", "o._h", "item", "offset", "len",
+            (F.col("n") >= one * F.col("need")).alias("whole"),
         )
-    )
-
-
-def postings(keyed: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: (word, doc_id, _h, at) of every occurrence of the terms."""
-    at = keyed.select("doc_id", "_h", F.posexplode(words(F.col("_text"))).alias("at", "word"))
-    return at.join(broadcast_if_small(terms), "word")
+    )
 
 
-def _matches(offsets: DataFrame, keyed: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, _h, n_hit, matched): the exact phrase matches of candidate offsets."""
-    per_doc = (
-        offsets.join(items.select("item", "item_id", "w", "size"), "item")
-        .groupBy("doc_id", "_h")
-        .agg(F.collect_list(F.struct("item_id", "offset", "w", "size")).alias("c"))
+def _stretches(offsets: DataFrame, keyed: DataFrame, slack: int, limit: int) -> DataFrame:
+    """The candidates with ``lead`` and ``ws``: the words of the document from ``lead``
+    on that an item at this offset could hold; besides n_words."""
+    per_doc = offsets.groupBy("doc_id", "_h").agg(
+        F.collect_list(F.struct("item", "offset", "len", "whole")).alias("c")
     )
     per_doc = materialise(per_doc, "candidates")
-    keys = broadcast_if_small(per_doc.select("doc_id", "_h"))
+    keys = broadcast_if_small(per_doc.select("doc_id", "_h"), limit)
     # equal rows are compared once
     texts = (
         keyed.alias("d")
@@ -133,71 +188,63 @@ def _matches(offsets: DataFrame, keyed: DataFrame, items: DataFrame) -> DataFram
         .select("doc_id", "_h", words(F.col("_text")).alias("words"))
     )
 
-    def hits(words_of_doc: Column, c: Column) -> Column:
-        """Places of the document inside an occurrence of a window of one candidate."""
-        equal = F.array_join(
-            F.transform(
-                c["w"],
-                lambda x, i: F.when(F.get(words_of_doc, c["offset"] + i) == x, "1").otherwise("0"),
-            ),
-            "",
-        )
-
-        def covered(line: Column) -> Column:
-            starts = F.filter(
-                F.sequence(F.lit(0), F.size(c["w"]) - c["size"]),
-                lambda s: F.substring(line, s + 1, c["size"]) == F.repeat(F.lit("1"), c["size"]),
-            )
-            return F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        starts,
-                        lambda s: F.sequence(c["offset"] + s, c["offset"] + s + c["size"] - 1),
-                    )
-                )
-            )
-
-        return let(equal, covered)
+    def cut(of: Column, c: Column) -> Column:
+        lead = F.greatest(F.lit(0), c["offset"] - slack)
+        size = F.greatest(F.lit(0), c["offset"] + c["len"] + slack - lead)
+        return F.struct(
+            c["item"].alias("item"), c["offset"].alias("offset"), c["whole"].alias("whole"),
+            lead.alias("lead"), F.slice(of, lead + 1, size).alias("ws"),
+        )
 
     both = texts.alias("t").join(per_doc.alias("p"), _same_doc("t", "p"))
-    found = both.select(
+    return both.select(
         "t.doc_id",
         "t._h",
-        let(
-            F.col("t.words"),
-            lambda ws: F.filter(
-                F.transform(
-                    F.col("p.c"),
-                    lambda c: F.struct(c["item_id"].alias("item_id"), hits(ws, c).alias("places")),
-                ),
-                lambda x: F.size(x["places"]) > 0,
-            ),
-        ).alias("m"),
-    ).filter(F.size("m") > 0)
-    return found.select(
-        "doc_id",
-        "_h",
-        F.size(F.array_distinct(F.flatten(F.transform("m", lambda x: x["places"])))).alias("n_hit"),
-        F.array_distinct(F.transform("m", lambda x: x["item_id"])).alias("matched"),
-    )
+        F.size("t.words").cast("bigint").alias("n_words"),
+        F.explode(let(F.col("t.words"), lambda of: F.transform("p.c", lambda c: cut(of, c)))).alias("c"),
+    ).select("doc_id", "_h", "n_words", "c.*")
 
 
-def _near(offsets: DataFrame, wanted: DataFrame, slack: int) -> DataFrame:
-    """(doc_id, _h, near): items of which at least half of the anchors, and three,
-    stand within ``slack`` words of one offset."""
-    total = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("all"))
-    cell = F.floor(F.col("offset") / slack)
-    return (
-        offsets.select("doc_id", "_h", "item", "n", F.explode(F.array(cell, cell + 1)).alias("cell"))
-        .groupBy("doc_id", "_h", "item", "cell")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("doc_id", "_h", "item")
-        .agg(F.max("n").alias("n"))
-        .join(total, "item")
-        .filter((F.col("n") >= 3) & (2 * F.col("n") >= F.col("all")))
-        .groupBy("doc_id", "_h")
-        .agg(F.count(F.lit(1)).alias("n_near"))
-    )
+def _judged(stretches: DataFrame, items: DataFrame, slack: int, near: int, limit: int) -> DataFrame:
+    """doc_id, _h, n_words, item_id, size, hits and nears (places of the document where a
+    window of the item stands, and would start)."""
+    told = items.select("item", "item_id", "w", "size")
+    rows = stretches.join(broadcast_if_small(told, limit), "item")
+    ws, offset, lead, size = (F.col(c) for c in ("ws", "offset", "lead", "size"))
+
+    def marks(test) -> Column:
+        return F.array_join(
+            F.transform("w", lambda x, j: F.when(test(x, offset + j), "1").otherwise("0")), ""
+        )
+
+    def stands(x: Column, place: Column) -> Column:
+        return F.get(ws, place - lead) == x
+
+    def close(x: Column, place: Column) -> Column:
+        first = F.greatest(place - slack, lead)
+        return F.array_contains(
+            F.slice(ws, first - lead + 1, F.greatest(F.lit(0), place + slack - first + 1)), x
+        )
+
+    def windows(line: Column, percent: int) -> Column:
+        """Places of the windows with that share of marks."""
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size("w") - size),
+            lambda s: 100 * F.length(F.replace(F.substring(line, s + 1, size), F.lit("0"), F.lit("")))
+            >= percent * size,
+        )
+        return F.transform(starts, lambda s: (offset + s).cast("bigint"))
+
+    none = F.array().cast("array<bigint>")
+    return rows.select(
+        "doc_id",
+        "_h",
+        "n_words",
+        "item_id",
+        "size",
+        F.when(F.col("whole"), let(marks(stands), lambda m: windows(m, 100))).otherwise(none).alias("hits"),
+        let(marks(close), lambda m: windows(m, near)).alias("nears"),
+    ).filter("size(hits) > 0 or size(nears) > 0")
 
 
 def find_benchmark(
@@ -210,66 +257,95 @@ def find_benchmark(
     window: int = WINDOW,
     per_window: int = ANCHORS,
     slack: int = SLACK,
+    near: int = NEAR,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """doc_id, _h, n_hit, matched (item ids) and n_near of the documents that have
-    an exact or a proximity match; one row for each (id, text)."""
-    keyed = _keyed(docs, id_col, text_col)
-    items = materialise(benchmark_items(benchmark, item_col, item_text_col, window), "items")
+    """The documents that have an exact or a proximity match, one row for each (id,
+    text): doc_id, _h, n_words, n_hit, matched (item ids with exact matches) and near
+    (item_id and first place of every item with proximity matches, the exact ones
+    among them)."""
+    return _find(
+        _keyed(docs, id_col, text_col),
+        materialise(benchmark_items(benchmark, item_col, item_text_col, window), "items"),
+        per_window, slack, near, broadcast_bytes,
+    )[0]
+
+
+def _find(
+    keyed: DataFrame, items: DataFrame, per_window: int, slack: int, near: int, limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """What ``find_benchmark`` returns, and the index."""
     terms = materialise(items.select(F.explode("w").alias("word")).distinct(), "terms")
-    counts = materialise(term_counts(keyed, terms), "term-counts")
-    wanted = materialise(anchors(items, counts, per_window), "anchors")
-    rare = materialise(wanted.select("word").distinct(), "anchor-terms")
-    index = materialise(postings(keyed, rare), "postings")
-    offsets = (
-        index.join(broadcast_if_small(wanted), "word")
-        .select("doc_id", "_h", "item", "need", (F.col("at") - F.col("place")).alias("offset"))
-        .groupBy("doc_id", "_h", "item", "offset", "need")
-        .agg(F.count(F.lit(1)).alias("n"))
+    if is_small(terms, limit):
+        counts = term_counts(keyed).join(F.broadcast(terms), "word", "left_semi")
+        all_counts = counts = materialise(counts, "term-counts")
+    else:
+        # all words, since those that are nobody's anchor can be hot as well
+        all_counts = materialise(term_counts(keyed), "word-counts")
+        counts = all_counts.join(terms, "word", "left_semi")
+    wanted = materialise(anchors(items, counts, per_window, near), "anchors")
+    empty = terms.sparkSession.range(1).select(F.lit("").alias("word"))
+    rare = materialise(wanted.select("word").distinct().union(empty), "anchor-terms")
+    index = materialise(postings(keyed, rare, all_counts, limit), "postings")
+    stretches = _stretches(candidates(index, wanted, all_counts, slack, limit), keyed, slack, limit)
+    judged = materialise(_judged(stretches, items, slack, near, limit), "matches")
+    doc = ["doc_id", "_h"]
+    # words inside windows: each window counts from where those before it end
+    hits = judged.select(*doc, "size", F.explode("hits").alias("at")).groupBy(*doc, "at").agg(F.max("size").alias("size"))
+    before = Window.partitionBy(*doc).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("at") + F.col("size")
+    fresh = F.greatest(F.lit(0), end - F.greatest("at", F.coalesce(F.max(end).over(before), "at")))
+    n_hit = hits.withColumn("fresh", fresh).groupBy(*doc).agg(F.sum("fresh").cast("bigint").alias("n_hit"))
+    by_item = judged.groupBy(*doc, "item_id").agg(
+        F.max("n_words").alias("n_words"),
+        F.max(F.size("hits") > 0).alias("exact"),
+        F.min(F.array_min("nears")).alias("at"),
     )
-    # equal rows of the corpus have put their postings here once each
-    copies = keyed.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("copies"))
-    repeated = materialise(copies.filter("copies > 1"), "repeated")
-    offsets = materialise(
-        offsets.alias("o")
-        .join(broadcast_if_small(repeated).alias("r"), _same_doc("o", "r"), "left")
-        .select(
-            "o.doc_id", "o._h", "item", "need", "offset",
-            (F.col("n") / F.coalesce("copies", F.lit(1))).cast("bigint").alias("n"),
-        ),
-        "offsets",
-    )
-    exact = _matches(offsets.filter("n >= need"), keyed, items)
-    near = _near(offsets, wanted, slack)
-    joined = exact.alias("e").join(near.alias("n"), _same_doc("e", "n"), "full")
-    return joined.select(
-        F.coalesce("e.doc_id", "n.doc_id").alias("doc_id"),
-        F.coalesce("e._h", "n._h").alias("_h"),
-        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        "matched",
-        F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
+    per_doc = by_item.groupBy(*doc).agg(
+        F.max("n_words").alias("n_words"),
+        F.collect_list(F.when(F.col("exact"), F.col("item_id"))).alias("matched"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("at").isNotNull(), F.struct("item_id", "at")))
+        ).alias("near"),
     )
+    found = per_doc.alias("p").join(n_hit.alias("n"), _same_doc("p", "n"), "left")
+    return found.select(
+        "p.doc_id", "p._h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "matched", "near"
+    ), index
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (SHARE * n_hit >= n_words)
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document with its hits and whether it is contaminated."""
-    found = materialise(find_benchmark(docs, benchmark), "found")
-    sized = _keyed(docs, "doc_id", "text").select(
-        "doc_id", "_h", F.size(words(F.col("_text"))).cast("bigint").alias("n_words")
+def contamination_report(
+    docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """One row for each document with its hits, whether it is contaminated, and its
+    proximity matches (``near_items``: item and place of the first of each item)."""
+    items = materialise(benchmark_items(benchmark, "item_id", "text", WINDOW), "items")
+    found, index = _find(
+        _keyed(docs, "doc_id", "text"), items, ANCHORS, SLACK, NEAR, broadcast_bytes
     )
+    found = broadcast_if_small(materialise(found, "found"), broadcast_bytes)
+    sized = index.filter("word = ''").select("doc_id", "_h", F.col("at").cast("bigint").alias("n_words"))
     rows = sized.alias("d").join(found.alias("f"), _same_doc("d", "f"), "left")
     ids = F.array_sort(F.transform("matched", lambda x: x.cast("string")))
+    near = F.array_sort(F.transform("near", lambda x: F.concat_ws(":", x["item_id"], x["at"])))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
+
+    def size(array: str) -> Column:
+        return F.when(F.col(array).isNull(), 0).otherwise(F.size(array)).cast("bigint")
+
     return rows.select(
         "d.doc_id",
-        "n_words",
+        "d.n_words",
         n_hit.alias("n_hit"),
-        F.coalesce(F.size(F.coalesce("matched", F.array())), F.lit(0)).cast("bigint").alias("n_items"),
+        size("matched").alias("n_items"),
         F.sha2(F.coalesce(F.array_join(ids, ","), F.lit("")), 256).alias("items_sha256"),
-        contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+        contaminated(n_hit, F.col("d.n_words")).alias("contaminated"),
+        size("near").alias("n_near"),
+        F.coalesce(F.array_join(near, ","), F.lit("")).alias("near_items"),
     )
 
 
@@ -277,13 +353,12 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    found = find_benchmark(docs, benchmark, id_col, text_col).filter("n_hit > 0")
-    hit = materialise(found.select("doc_id", "_h", "n_hit"), "hit-documents")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = find_benchmark(docs, benchmark, id_col, text_col)
+    hit = found.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id", "_h")
+    hit = broadcast_if_small(materialise(hit, "hit-documents"))
     rows = docs.select(
-        whole_row(docs), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_h"), text.alias("_text")
+        whole_row(docs),
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"),
     )
-    joined = rows.alias("d").join(broadcast_if_small(hit).alias("f"), _same_doc("d", "f"), "left")
-    n_words = F.when(F.col("n_hit").isNotNull(), F.size(words(F.col("_text"))))
-    bad = F.coalesce(contaminated(F.col("n_hit"), n_words), F.lit(False))
-    return joined.filter(~bad).select("_row.*")
+    return rows.alias("d").join(hit.alias("f"), _same_doc("d", "f"), "left_anti").select("_row.*")

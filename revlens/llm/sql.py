@@ -25,11 +25,38 @@ hit AS (
   FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM found) GROUP BY rid),
 items AS (
   SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM found) GROUP BY rid)
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM found) GROUP BY rid),
+posts AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS q FROM d),
+counts AS (SELECT word, count(*) AS n FROM posts GROUP BY word),
+bi AS (SELECT row_number() OVER () AS iid, item_id, w, least(13, len(w)) AS k
+  FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
+bw AS (SELECT iid, k, len(w) AS size, unnest(w) AS word, unnest(range(len(w))) AS place FROM bi),
+win AS (SELECT iid, k, unnest(range(len(w) - k + 1)) AS s FROM bi),
+ranked AS (
+  SELECT iid, k, place, word, row_number() OVER (PARTITION BY iid, s ORDER BY n, place) AS r,
+    count(*) OVER (PARTITION BY iid, s) AS seen
+  FROM win JOIN bw USING (iid, k) JOIN counts USING (word) WHERE place BETWEEN s AND s + k - 1),
+anchors AS (SELECT DISTINCT iid, k, place, word FROM ranked WHERE r <= 3 AND 100 * seen >= 75 * k),
+shifted AS (
+  SELECT rid, iid, o, count(*) OVER (PARTITION BY rid, iid ORDER BY o RANGE BETWEEN 13 PRECEDING AND 13 FOLLOWING) AS m, k
+  FROM (SELECT rid, iid, k, q - place AS o FROM posts JOIN anchors USING (word))),
+cand AS (SELECT DISTINCT rid, iid, o FROM shifted WHERE m >= least(3, k)),
+marked AS (
+  SELECT rid, item_id, o, k, list_transform(range(len(bi.w)),
+    lambda j: CASE WHEN list_contains(d.w[greatest(1, o + j - 12):greatest(0, o + j + 14)], bi.w[j + 1]) THEN 1 ELSE 0 END) AS m
+  FROM cand JOIN d USING (rid) JOIN bi USING (iid)),
+nears AS (
+  SELECT rid, item_id, min(o + s) AS p
+  FROM (SELECT rid, item_id, o, k, m, unnest(range(len(m) - k + 1)) AS s FROM marked)
+  WHERE 100 * list_sum(m[s + 1:s + k]) >= 75 * k GROUP BY rid, item_id),
+near AS (
+  SELECT rid, count(*) AS n_near, string_agg(p, ',' ORDER BY p) AS near_items
+  FROM (SELECT rid, item_id::VARCHAR || ':' || p::VARCHAR AS p FROM nears) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)
 """,
 }
 

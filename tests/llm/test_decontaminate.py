@@ -1,8 +1,10 @@
+import collections
 import hashlib
 import random
 import re
 
 from revlens.llm.decontaminate import contamination_report, drop_contaminated, find_benchmark
+from revlens.llm.sizes import BROADCAST_BYTES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -50,14 +52,83 @@ def test_against_all_windows(spark):
     assert kept == sorted(repr((i, t)) for i, t in docs if not brute(t, items)[-1])
 
 
+def near_places(docs, items):
+    """Proximity matches by trying every anchor offset of every item in every text."""
+    texts, wanted, found = [words(t) for _, t in docs], {}, []
+    counts = collections.Counter(w for t in texts for w in t)
+    for item_id, item_text in items:
+        item = words(item_text)
+        k, places = min(13, len(item)), set()
+        for s in range(len(item) - k + 1 if k else 0):
+            seen = sorted((counts[item[j]], j) for j in range(s, s + k) if counts[item[j]])
+            places |= {j for _, j in seen[:3]} if 100 * len(seen) >= 75 * k else set()
+        if item_id is not None and k:
+            wanted[item_id, tuple(item)] = (k, places)
+    for text in texts:
+        first = {}
+        for (item_id, item), (k, places) in wanted.items():
+            offsets = [q - p for p in places for q, x in enumerate(text) if x == item[p]]
+            for o in set(offsets):
+                if sum(abs(o - x) <= 13 for x in offsets) < min(3, k):
+                    continue
+                close = [item[j] in text[max(0, o + j - 13) : max(0, o + j + 14)] for j in range(len(item))]
+                for s in range(len(item) - k + 1):
+                    if 100 * sum(close[s : s + k]) >= 75 * k:
+                        first[item_id] = min(first.get(item_id, o + s), o + s)
+        found.append((len(first), ",".join(sorted(f"{i}:{at}" for i, at in first.items()))))
+    return found
+
+
+def edited(rng, item):
+    out = [w for w in item if rng.random() > 0.08]
+    out.insert(rng.randint(0, len(out)), "quite")
+    return " ".join(out)
+
+
+def test_proximity_against_every_offset(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice((1, 2, 4, 13, 20, 45)))) for _ in range(24)]
+    items = [*enumerate(texts), (3, "w1 w2 w3 w4"), (40, f"{texts[5]} absent words"), (None, texts[0])]
+    docs = []
+    for i in range(60):
+        item = words(items[i % 24][1])
+        start = rng.randint(0, len(item) // 2)
+        filler = rng.choices(vocabulary, k=rng.randint(0, 60))
+        docs.append((i, " ".join([*filler, edited(rng, item[start:]), *rng.choices(vocabulary, k=20)])))
+    docs += [(60, docs[4][1]), (61, docs[4][1]), (61, docs[4][1]), (62, None), (63, texts[3])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wanted = sorted((i, *near) for (i, _), near in zip(docs, near_places(docs, items), strict=True))
+    for limit in (BROADCAST_BYTES, 0):
+        rows = contamination_report(frame, bench, limit).collect()
+        assert sorted((r.doc_id, r.n_near, r.near_items) for r in rows) == wanted
+        assert sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256) for r in rows) == sorted(
+            (i, *brute(t, [x for x in items if x[0] is not None])[1:4]) for i, t in docs
+        )
+    assert sum(n for _, n, _ in wanted) > 30
+
+
+def test_shuffled_joins_deal_a_word_that_is_everywhere(spark):
+    docs = [(i, "the " * 3000 + f"red fox {i} jumps") for i in range(8)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the red fox"), (2, "the"), (3, "7 jumps")], "item_id long, text string")
+    small, large = (
+        sorted(map(tuple, contamination_report(frame, bench, limit).collect()))
+        for limit in (BROADCAST_BYTES, 0)
+    )
+    assert small == large and [r[2] for r in small] == [3002] * 7 + [3004]
+
+
 def test_proximity_matches_need_no_exact_phrase(spark):
     passage = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar"
     loose = passage.replace(" delta", " delta quite").replace(" kilo", "")
-    frame = spark.createDataFrame([(1, f"so {loose} end"), (2, "alpha is far from oscar")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
-    frame = frame.union(spark.createDataFrame([(3, passage)], "doc_id long, text string"))
+    docs = [(1, f"so {loose} end"), (2, "alpha is far from oscar"), (3, passage)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
     rows = {r.doc_id: r for r in find_benchmark(frame, bench).collect()}
-    assert rows[1].n_hit == 0 and rows[1].n_near == 1 and rows[3].n_hit == 15
+    assert rows[1].n_hit == 0 and [n.item_id for n in rows[1].near] == [7]
+    assert rows[3].n_hit == 15 and rows[3].matched == [7] and rows[3].n_words == 15
     assert 2 not in rows
 
 
