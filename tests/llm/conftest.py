@@ -1,5 +1,7 @@
 import pytest
 
+from revlens.llm import line_dedup, mixing
+
 LONG = " ".join(f"word{i % 977} line" for i in range(30_000))
 CLASHING = {
     "_row": "x", "_h": 7, "_text": "t", "score": 0.5, "severity": 1, "rejected": True, "fp": 3,
@@ -35,3 +37,13 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.limit(0)
+
+
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """No table counts as small: the joins beyond the size checks run."""
+    for module in (line_dedup, mixing):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df, limit=0: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -102,6 +102,14 @@ def test_against_all_pairs(spark, t, hot, size):
     assert {r.doc_id: r.text.split("\n") for r in kept.collect()} == want
 
 
+def test_all_pairs_beyond_the_size_check(spark, shuffled):
+    docs = corpus(random.Random(77), 24, 3, 12)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dedup_lines(frame, keep_empty=True, max_edits=2, min_chars=8, hot=3)
+    want = brute(docs, 2, 8)
+    assert {r.doc_id: r.text for r in got.collect()} == {i: "\n".join(v) for i, v in want.items()}
+
+
 def test_report_and_edge_cases(spark, odd_docs, no_docs):
     line = "A line that is long enough to be looked at, with some words."
     more = spark.createDataFrame(

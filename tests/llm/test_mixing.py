@@ -123,6 +123,14 @@ def test_selection_against_one_by_one(spark, sf):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_selection_beyond_the_size_check(spark, sf, shuffled):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    got = mix(docs, corpus_levels(), {}, 1, 110, 3, seed="t")
+    got = got.select("doc_id", "mix_domain", "mix_lang", "mix_source", "n_tokens", "copies")
+    want = brute_mix([tuple(r) for r in docs.collect()], {}, 110, 3, "t")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_edge_cases(odd_docs, no_docs):
     got = mix(odd_docs, corpus_levels(), {}, 1, 1000, 2)
     assert [c for c in got.columns if c in odd_docs.columns] == [
