@@ -256,6 +256,22 @@ def test_soft_match_with_odd_vectors(spark):
     assert scores[0][0] == scores[0][1] == 1.0 and scores[0][2] == scores[0][3] == 0.0
 
 
+def test_soft_match_in_blocks_scores_every_row(spark, monkeypatch):
+    """Without a broadcast, blocks fetch vectors; rows of one key are scored each for itself."""
+    monkeypatch.setattr("revlens.operators.soft_match.BLOCK_TOKENS", 10)
+    vectors = spark.createDataFrame(
+        [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(12)], "vec_id bigint, embedding array<double>"
+    )
+    rows = [(i % 3, i, [rng.randrange(14) for _ in range(1 + i % 5)], [rng.randrange(12) for _ in range(4)])
+            for i in range(20)]
+    pairs = spark.createDataFrame(rows, "id int, no int, c_ids array<bigint>, r_ids array<bigint>")
+    small, large = (
+        {r.no: round(r.soft_f1, 9) for r in soft_match(pairs, vectors, ["id"], **how).collect()}
+        for how in ({}, {"broadcast_limit": 0, "near": ["id"]})
+    )
+    assert len(small) == 20 and small == large
+
+
 def test_best_reference_with_null_and_repeated_numbers(spark):
     refs = [("u", 1, None), ("u", 1, "good match here"), ("u", 1, "no"), ("u", None, "other words"),
             (None, 1, "good match here"), ("u", 10**12, "good match here")]
