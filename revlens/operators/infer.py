@@ -36,6 +36,10 @@ _LOG_COLUMNS = [c.strip().split(" ")[0] for c in schemas.CALL_LOG.split(",")]
 _ASKED = _LOG_COLUMNS[: _LOG_COLUMNS.index("raw_output")]
 
 
+#: Into how many files at most the requests of a commit are written.
+FILES_PER_COMMIT = 16
+
+
 def _ask(client: Client | str, request: dict) -> dict:
     """One call as a log row; ``client`` is the message where there is none."""
     row = {c: request.get(c) for c in _ASKED}
@@ -179,7 +183,8 @@ def log_calls(calls: DataFrame, name: str = "calls") -> DataFrame:
 
 
 def append_log(calls: DataFrame, path: str) -> None:
-    calls.write.mode("append").partitionBy("task", "model").parquet(path)
+    writer = calls.write.mode("append").partitionBy("task", "model")
+    writer.option("compression", "zstd").parquet(path)  # prompts are most of it
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -188,28 +193,41 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_calls(log: DataFrame) -> DataFrame:
     """One row per call key: a finished call before a failed one, then the latest
-    attempt. A partial aggregate, so a key tried often costs no window."""
-    rest = [c for c in _LOG_COLUMNS if c not in schemas.CALL_KEYS]
+    attempt. A partial aggregate, so a key tried often costs no window. The prompt, by far
+    the longest column, is chosen beside the others: who does not use it does not move it."""
+    rest = [c for c in _LOG_COLUMNS if c not in (*schemas.CALL_KEYS, "prompt")]
     rank = F.struct(F.col("error").isNull().alias("_done"), "attempt", *[c for c in rest if c != "attempt"])
-    best = log.groupBy(*schemas.CALL_KEYS).agg(F.max(rank).alias("_best"))
-    return best.select(*[F.col(c if c in schemas.CALL_KEYS else f"_best.{c}").alias(c) for c in _LOG_COLUMNS])
+    best = log.groupBy(*schemas.CALL_KEYS).agg(
+        F.max(rank).alias("_best"), F.max_by("prompt", rank).alias("prompt")
+    )
+    kept = (*schemas.CALL_KEYS, "prompt")
+    return best.select(*[F.col(c if c in kept else f"_best.{c}").alias(c) for c in _LOG_COLUMNS])
 
 
-def _same_key(a: str, b: str):
+def _same(a: str, b: str, columns: tuple[str, ...]):
     out = F.lit(True)
-    for c in schemas.CALL_KEYS:
+    for c in columns:
         out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
     return out
 
 
+#: What the requests of all models to one review agree in.
+_REVIEW = tuple(c for c in schemas.CALL_KEYS if c != "model")
+
+
 def pending(reqs: DataFrame, log: DataFrame) -> DataFrame:
-    """Requests without a finished call, with the number of their next attempt."""
+    """Requests without a finished call, with the number of their next attempt. The log
+    is gathered by review, so that the requests of one review, which repeat its text, stay
+    side by side."""
     tried = log.groupBy(*schemas.CALL_KEYS).agg(
-        F.max("attempt").alias("_tried"), F.max(F.col("error").isNull()).alias("_done")
+        F.max("attempt").alias("tried"), F.max(F.col("error").isNull()).alias("done")
     )
-    left = reqs.drop("attempt").alias("r").join(tried.alias("l"), _same_key("r", "l"), "left")
-    return left.filter(~F.coalesce("_done", F.lit(False))).select(
-        "r.*", (F.coalesce("_tried", F.lit(0)) + 1).alias("attempt")
+    by_review = tried.groupBy(*_REVIEW).agg(F.collect_list(F.struct("model", "tried", "done")).alias("_tried"))
+    left = reqs.drop("attempt").alias("r").join(by_review.alias("l"), _same("r", "l", _REVIEW), "left")
+    own = F.get(F.filter("l._tried", lambda t: t["model"].eqNullSafe(F.col("r.model"))), F.lit(0))
+    left = left.select("r.*", own.alias("_own"))
+    return left.filter(~F.coalesce("_own.done", F.lit(False))).select(
+        *[c for c in left.columns if c != "_own"], (F.coalesce("_own.tried", F.lit(0)) + 1).alias("attempt")
     )
 
 
@@ -228,9 +246,16 @@ def infer_to_log(
     if spark.conf.get("spark.speculation", "false") == "true":
         raise RuntimeError("paid calls need spark.speculation=false")
     append_log(spark.createDataFrame([], schemas.CALL_LOG), path)
-    due = materialise(pending(reqs, read_log(spark, path)), "due-calls")
+    log = read_log(spark, path)
+    due = reqs.withColumn("attempt", F.lit(1)) if log.isEmpty() else pending(reqs, log)
     chunks = -(-due.count() // calls_per_commit)
-    dealt = F.pmod(F.xxhash64(*schemas.CALL_KEYS), F.lit(max(1, chunks)))
+    review = F.xxhash64(*_REVIEW)
+    # each chunk in files of its own, so that a commit reads no other's requests
+    dealt = due.withColumn("_chunk", F.pmod(review, F.lit(max(1, chunks)))).repartition(
+        "_chunk", F.pmod(F.xxhash64(review), F.lit(FILES_PER_COMMIT))
+    )
+    due = materialise(dealt, "due-calls", partition_by=("_chunk",))
     for chunk in range(chunks):
-        append_log(batch_infer(due.filter(dealt == chunk), task, factories, models, **how), path)
+        asked = due.filter(F.col("_chunk") == chunk).drop("_chunk")
+        append_log(batch_infer(asked, task, factories, models, **how), path)
     return latest_calls(read_log(spark, path))

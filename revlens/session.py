@@ -87,7 +87,7 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = new_table_path(spark, name)
     _remove_at_exit(spark, path)
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -264,6 +264,32 @@ def test_rerun_counts_each_call_once(spark, rows, tmp_path):
     assert all(r.prompt for r in log.collect())
 
 
+def test_a_commit_reads_its_own_requests_alone(spark, rows, tmp_path, monkeypatch):
+    """However many commits there are, each request is read for one of them; the requests
+    of a review stay together, and prompts move only where they are used."""
+    read, ask = [], infer.batch_infer
+
+    def watched(reqs, *args, **how):
+        files = reqs.select(F.input_file_name().alias("file")).distinct()
+        read.append(({r.file for r in files.collect()}, {r.review_id for r in reqs.collect()}))
+        return ask(reqs, *args, **how)
+
+    monkeypatch.setattr(infer, "batch_infer", watched)
+    reqs = prompting.requests(rows, "sentiment", models=("m", "n"))
+    client = lambda model, task, budget: lambda request: ("positive", None)
+    log = infer.infer_to_log(
+        reqs, str(tmp_path / "log"), "sentiment", {"m": client, "n": client}, (), calls_per_commit=2
+    )
+    assert log.count() == reqs.count()
+    read = [(files, ids) for files, ids in read if ids]
+    assert len(read) > 1
+    for i, (files, ids) in enumerate(read):
+        for other_files, other_ids in read[i + 1 :]:
+            assert not files & other_files and not ids & other_ids
+    plan = log.select("review_id", "raw_output")._jdf.queryExecution().optimizedPlan().toString()
+    assert "prompt" not in plan.split("Relation")[0]
+
+
 def test_a_failing_factory_and_missing_models_become_rows(spark, rows):
     def no_key(model, task, budget):
         raise KeyError("API key")
