@@ -44,7 +44,9 @@ def _ids(text: str) -> Column:
     return word_ids(words(F.coalesce(F.col(text), F.lit(""))))
 
 
-def cooccurrence(corpus: DataFrame, text: str, window: int, min_count: int) -> DataFrame:
+def cooccurrence(
+    corpus: DataFrame, text: str, window: int, min_count: int, limit: int = LIMIT
+) -> DataFrame:
     """(a, b, n): how often two words stand within ``window`` words, in both orders."""
     told = corpus.select(_ids(text).alias("_w"))
     known = told.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -59,9 +61,11 @@ def cooccurrence(corpus: DataFrame, text: str, window: int, min_count: int) -> D
         )
     )
     once = told.select(F.explode(near).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    kept = once.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(
-        known.withColumnRenamed("word", "b"), "b", "left_semi"
-    )
+    small = _size(known, 1) <= limit
+    kept = once
+    for side in ("a", "b"):
+        words_ = known.withColumnRenamed("word", side)
+        kept = kept.join(F.broadcast(words_) if small else words_, side, "left_semi")
     kept = materialise(kept.select("a", "b", "n"), "pair-counts")
     return kept.union(kept.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
 
@@ -79,15 +83,20 @@ def _joined(pairs: DataFrame, side: DataFrame, on: str, size: int, limit: int, s
 
 
 def positive_pmi(counts: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(a, b, m) of all pairs of a positive weight."""
+    """(a, b, m) of all pairs of a positive weight, those of a word side by side: a task of
+    a product then has few words, and their sums are nearly all that it has to shuffle."""
     sums = materialise(counts.groupBy("a").agg(F.sum("n").alias("n_a")), "word-sums")
     total = sums.agg(F.sum("n_a").cast("double").alias("total"))
     size = _size(sums, 1)
+    # counts are dealt before they are weighed where nothing deals them out again: they are shorter
+    counts = counts.repartition("a") if size <= limit else counts
     both = _joined(counts, sums, "a", size, limit, "b")
     both = _joined(both, sums.select(F.col("a").alias("b"), F.col("n_a").alias("n_b")), "b", size, limit, "a")
     ratio = F.col("n") * F.col("total") / (F.col("n_a").cast("double") * F.col("n_b").cast("double"))
     weighed = both.crossJoin(F.broadcast(total)).select("a", "b", F.log(ratio).alias("m"))  # one row
-    return materialise(weighed.filter("m > 0"), "positive-pmi")
+    positive = weighed.filter("m > 0")
+    together = positive if size <= limit else positive.repartition("a")
+    return materialise(together.sortWithinPartitions("a", "b"), "positive-pmi")
 
 
 def _products(left: str, right: str | None):
@@ -161,7 +170,7 @@ def train(
 ) -> DataFrame:
     """(vec_id, embedding): a vector for each frequent word, under the word's digest."""
     width = dim + EXTRA
-    pmi = positive_pmi(cooccurrence(corpus, text, window, min_count), limit)
+    pmi = positive_pmi(cooccurrence(corpus, text, window, min_count, limit), limit)
     sign = [
         F.when(F.xxhash64("b", F.lit(j)).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
         for j in range(width)

@@ -471,3 +471,31 @@ def test_sketches_read_each_file_of_the_log_once(spark, tmp_path):
     assert latency.update_sketches(spark, path) == 2 and latency.update_sketches(spark, path) == 0
     (row,) = latency.latency_of_log(spark, path).collect()
     assert row.n_calls == 200 and abs(row.p50 - 100) <= 1 and abs(row.p99 - 198) <= 2
+
+
+def test_a_word_of_the_matrix_is_in_one_task(spark):
+    """The rows of a word lie in one file, so the sums of a product are few."""
+    rows = [(i, " ".join(f"w{'abcdefghij'[(i * k) % 10]}" for k in range(1, 9))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "review_id bigint, review string")
+    docs = docs.repartition(6)
+    for limit in (word_vectors.LIMIT, 0):
+        pmi = word_vectors.positive_pmi(word_vectors.cooccurrence(docs, "review", 4, 1, limit), limit)
+        files = pmi.select("a", F.input_file_name().alias("f")).distinct().groupBy("a").count()
+        assert pmi.count() and files.filter("count > 1").count() == 0
+
+
+def test_perplexity_in_blocks(spark, monkeypatch):
+    """Each block gets the price of each of its n-grams once; repeated keys are one text."""
+    monkeypatch.setattr(perplexity, "BLOCK_GRAMS", 8)
+    asked = []
+    merge = perplexity._block_sums
+    monkeypatch.setattr(perplexity, "_block_sums", lambda key: asked.append(key) or merge(key))
+    corpus = spark.createDataFrame([("a b a c b a",), ("b c c a",)], "review string")
+    rows = [(i % 7, "a b d a", ) for i in range(20)] + [(9, ""), (9, None), (8, "c " * 30)]
+    texts = spark.createDataFrame(rows, "id bigint, output string")
+    model = perplexity.train(corpus)
+    small, large = (
+        sorted(map(tuple, perplexity.perplexity(texts, model, ["id"], broadcast_limit=x).collect()))
+        for x in (perplexity.LIMIT, 0)
+    )
+    assert small == large and len(small) == 8 and asked == [["id"]]
