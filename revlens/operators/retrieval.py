@@ -5,8 +5,8 @@ of the terms it shares with the review; impacts are kept in millionths, so score
 are exact. Replies with the same leading term stand together in blocks of ``BLOCK``,
 and a block knows the largest impact of each of its terms. For a review the sum of
 these maxima bounds what any reply of the block can reach, so blocks are scored from
-the highest bound on, until no bound reaches the best score found: the answer is
-that of scoring all of them.
+the highest bound on, and blocks whose bound does not reach the best score found are left
+out: the answer is that of scoring all of them.
 
 The index is built by aggregates and joins and written as rows of packed arrays. It
 is searched shard by shard: a shard has at most ``LIMIT`` bytes, is sent to every
@@ -38,6 +38,8 @@ MODEL = Model(NAME, Decimal(0), Decimal(0), 0.0, "clean", "user")
 K1, B = 1.2, 0.75
 BLOCK = 16
 LIMIT = 64 * 2**20
+#: So many blocks are scored one by one before the rest.
+SINGLY = 8
 NO_REPLY = "no reply shares a word"
 _INDEX = (
     "first_orders array<bigint>, second_orders array<bigint>, doc array<int>, terms array<bigint>, "
@@ -102,6 +104,14 @@ def build_index(replies: DataFrame, order: tuple[str, str], text: str = "text")
     return materialise(sorted_.mapInArrow(_pack, _INDEX), "reply-index")
 
 
+def _added(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, what: np.ndarray, n: int) -> np.ndarray:
+    """``what`` of the ranges from ``starts`` to ``ends``, added up at its places ``at``; whole
+    numbers far below 2 ** 53, so the sums are exact."""
+    sizes = ends - starts
+    ranges = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return np.bincount(at[ranges], weights=what[ranges], minlength=n).astype(np.int64)
+
+
 class Shard:
     """Some blocks of the index, with the blocks of each term and their largest impact."""
 
@@ -119,23 +129,42 @@ class Shard:
         self.terms, self.starts = np.unique(terms[by_term], return_index=True)
         self.ends = np.append(self.starts[1:], terms.size)
         self.block, self.top = block[by_term], tops[by_term]
+        # the same replies by term: where many blocks are left, a term's are added up at once
+        self.orders = [np.concatenate([b[i] for b in self.blocks]) for i in (0, 1)]
+        sizes = np.array([len(b[0]) for b in self.blocks])
+        first = np.cumsum(sizes) - sizes
+        self.block_of = np.repeat(np.arange(len(sizes)), sizes)
+        posts = np.concatenate([b[3] for b in self.blocks])
+        by_term = np.argsort(posts, kind="stable")
+        self.reply = np.concatenate([b[2] + at for b, at in zip(self.blocks, first, strict=True)])[by_term]
+        self.impact = np.concatenate([b[4] for b in self.blocks])[by_term]
+        self.post_ends = np.searchsorted(posts[by_term], self.terms, "right")
+        self.post_starts = np.append(0, self.post_ends[:-1])
 
-    def bounds(self, query: np.ndarray) -> np.ndarray:
-        """For each block a score that none of its replies exceeds."""
+    def _known(self, query: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.terms, query), self.terms.size - 1)
-        at = at[self.terms[at] == query]
-        out = np.zeros(len(self.blocks), np.int64)
-        for start, end in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True):
-            out[self.block[start:end]] += self.top[start:end]  # a term has a block once
-        return out
+        return at[self.terms[at] == query]
+
+    def bounds(self, known: np.ndarray) -> np.ndarray:
+        """For each block a score that none of its replies exceeds."""
+        return _added(self.starts[known], self.ends[known], self.block, self.top, len(self.blocks))
+
+    def scores(self, known: np.ndarray) -> np.ndarray:
+        """The score of each reply."""
+        starts, ends = self.post_starts[known], self.post_ends[known]
+        return _added(starts, ends, self.reply, self.impact, self.block_of.size)
 
     def best(self, query: np.ndarray, found: tuple) -> tuple[tuple, int]:
         """The better of ``found`` (minus the score, order columns) and the shard's best, and
-        how many blocks were scored. ``query`` is sorted."""
-        bounds, scored = self.bounds(query), 0
-        for i in np.argsort(-bounds, kind="stable").tolist():
+        how many blocks were scored. ``query`` is sorted. The blocks of the highest bounds are
+        scored one by one; all whose bound is still not below the best then go together."""
+        known = self._known(query)
+        bounds = self.bounds(known)
+        order = np.argsort(-bounds, kind="stable")
+        scored = 0
+        for i in order[:SINGLY].tolist():
             if bounds[i] <= 0 or bounds[i] < -found[0]:
-                break
+                return found, scored
             scored += 1
             first, second, doc, terms, impacts = self.blocks[i]
             at = np.minimum(np.searchsorted(query, terms), query.size - 1)
@@ -145,7 +174,16 @@ class Shard:
             top = int(scores.max())
             ties = np.flatnonzero(scores == top)
             found = min(found, *((-top, int(first[t]), int(second[t])) for t in ties))
-        return found, scored
+        left = np.zeros(len(self.blocks), bool)
+        left[order[SINGLY:]] = True
+        left &= (bounds > 0) & (bounds >= -found[0])
+        if left.any():
+            scores = np.where(left[self.block_of], self.scores(known), 0)
+            top = int(scores.max())
+            first, second = self.orders
+            ties = np.flatnonzero(scores == top) if top > 0 else ()
+            found = min([found, *((-top, int(first[t]), int(second[t])) for t in ties)])
+        return found, scored + int(left.sum())
 
 
 _FOUND = "score bigint, first bigint, second bigint, scored bigint"

@@ -193,6 +193,26 @@ def test_retrieval_like_scoring_all_replies(spark, limit):
     assert scored < 0.6 * blocks * len(reviews), (scored, blocks)
 
 
+def test_blocks_that_bounds_cannot_rule_out_are_scored_together(spark, monkeypatch):
+    """Long reviews share words with every block: a term's replies are added up at once."""
+    passes = []
+    scores = retrieval.Shard.scores
+    monkeypatch.setattr(retrieval.Shard, "scores", lambda self, known: passes.append(1) or scores(self, known))
+    replies, reviews = some_replies(600)
+    long_review = " ".join(t for _, _, t in replies[:200] if t)
+    index = retrieval.build_index(
+        spark.createDataFrame(replies, "conv_id bigint, turn bigint, text string"), ("conv_id", "turn")
+    )
+    shard = retrieval.Shard(index.collect())
+    digests = spark.createDataFrame([(long_review,)], "t string").select(
+        F.array_distinct(retrieval.word_ids(retrieval.words(F.col("t"))))
+    )
+    query = np.sort(np.array(digests.first()[0], np.int64))
+    found, scored = shard.best(query, (0, 0, 0))
+    assert (-found[0], found[1:]) == exhaustive(replies, long_review)
+    assert passes == [1] and retrieval.SINGLY < scored <= index.count()
+
+
 def test_retrieval_without_replies(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, text string")
     rows = spark.createDataFrame(
