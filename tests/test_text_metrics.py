@@ -299,3 +299,24 @@ def test_running_starts(spark):
     out = frame.select("s", running_starts(F.col("s"), block=4).alias("got")).collect()
     for r in out:
         assert r.got == [sum(r.s[:i]) for i in range(len(r.s))]
+
+
+def test_overlap_counts_are_neither_sorted_nor_shuffled(spark, pairs):
+    """The counts come from one Arrow stage, without a sort of each pair's n-grams."""
+    c, r = F.col("c"), F.col("r")
+    for score in (rouge_n(c, r)["n2"]["set"], bleu(c, r), meteor(c, r)):
+        plan = pairs.select("id", score.alias("s"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert "sort_array" not in plan and "Exchange" not in plan
+
+
+def test_overlap_of_null_and_long_texts(spark):
+    long = " ".join(f"w{i % 997}" for i in range(20_000))
+    rows = [(0, None, "a"), (1, "a", None), (2, None, None), (3, long, long), (4, "", "")]
+    frame = spark.createDataFrame(rows, "id int, c string, r string")
+    c, r = F.col("c"), F.col("r")
+    columns = [rouge_n(c, r)["n2"]["multiset"], bleu(c, r), meteor(c, r)]
+    got = {x[0]: tuple(x)[1:] for x in frame.select("id", *columns).collect()}
+    assert got[0] == got[1] == got[2] == (None, None, None)
+    assert got[3][:2] == (1.0, 1.0) and got[3][2] == pytest.approx(1.0)
+    assert got[4] == (0.0, 0.0, 0.0)
