@@ -1,75 +1,46 @@
 """Reproducible character noise.
 
 int(level * length) draws with replacement; each draw hits one character
-position and replaces it. The draws come from md5(review_id:i:seed), so every
+position and replaces it. The draws come from md5(key:i:seed), so every
 engine and every retried task makes the same ones; on a position hit twice the
-later draw counts. All steps are local to the row, with cost near-linear in the
-text: sort the draws, then join the untouched stretches between them.
+later draw counts. All steps are local to the row and linear in the text; they run in
+Arrow batches, where a draw is one digest and one list item (as array functions it was
+a struct, a sort key and a joined stretch of characters).
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import let
-
 # What a drawn character becomes.
 REPLACEMENTS = ("x", "y", "z", " ", "123")
 
 
-def _draw(key: Column, seed: str, i: Column, length: Column) -> Column:
-    digest = F.md5(F.concat(key.cast("string"), F.lit(":"), i.cast("string"), F.lit(f":{seed}")))
-
-    def number(hexes: Column) -> Column:
-        return F.conv(hexes, 16, 10).cast("bigint")
-
-    return let(
-        digest,
-        lambda d: F.struct(
-            (number(F.substring(d, 1, 8)) % length).cast("int").alias("pos"),
-            i.alias("i"),
-            F.get(
-                F.array(*[F.lit(r) for r in REPLACEMENTS]),
-                (number(F.substring(d, 9, 8)) % len(REPLACEMENTS)).cast("int"),
-            ).alias("repl"),
-        ),
-    )
-
-
-def _apply(chars: Column, hits: Column) -> Column:
-    """Join the stretches between the hit positions with their replacements."""
-    pieces = F.transform(
-        hits,
-        lambda d, j: let(
-            F.coalesce(F.get(hits, j - 1)["pos"], F.lit(-1)),
-            lambda prev: F.concat(
-                F.array_join(F.slice(chars, prev + 2, d["pos"] - prev - 1), ""), d["repl"]
-            ),
-        ),
-    )
-    last = F.get(hits, F.size(hits) - 1)["pos"]
-    tail = F.array_join(F.slice(chars, last + 2, F.size(chars)), "")
-    return F.concat(F.array_join(pieces, ""), tail)
+def _noisy(text: str, n_draws: int, key: str, seed: str) -> str:
+    chars, length, prefix = list(text), len(text), f"{key}:"
+    for i in range(n_draws):
+        drawn = hashlib.md5(f"{prefix}{i}:{seed}".encode()).digest()
+        place = int.from_bytes(drawn[:4], "big") % length
+        chars[place] = REPLACEMENTS[int.from_bytes(drawn[4:8], "big") % len(REPLACEMENTS)]
+    return "".join(chars)
 
 
 def add_noise(text: Column, key: Column, level: float = 0.1, seed: str = "noise") -> Column:
-    def with_length(length: Column) -> Column:
-        n_draws = F.floor(F.lit(float(level)) * length).cast("int")
-        draws = F.transform(
-            F.sequence(F.lit(0), n_draws - 1), lambda i: _draw(key, seed, i, length)
-        )
-        last_per_position = let(
-            F.sort_array(draws),
-            lambda s: F.filter(
-                s,
-                lambda d, j: F.coalesce(F.get(s, j + 1)["pos"] != d["pos"], F.lit(True)),
-            ),
-        )
-        noisy = let(
-            F.struct(F.split(text, "").alias("chars"), last_per_position.alias("hits")),
-            lambda b: _apply(b["chars"], b["hits"]),
-        )
-        return F.when(n_draws > 0, noisy).otherwise(text)
-
-    return let(F.length(text), with_length)
+    """``text`` with its noise; null for a text with draws but without a key."""
+
+    @F.pandas_udf("string")
+    def noisy(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        out: list[str | None] = []
+        for told, of in zip(texts, keys):
+            n_draws = 0 if told is None else math.floor(level * len(told))
+            if n_draws > 0:
+                told = None if of is None else _noisy(told, n_draws, of, seed)
+            out.append(told)
+        return pd.Series(out, dtype="object")
+
+    return noisy(text, key.cast("string"))

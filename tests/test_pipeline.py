@@ -155,6 +155,15 @@ def test_noise_against_a_plain_loop(spark):
         assert {r.id: r.n for r in got} == {i: _noisy(t, i, level) for i, t in enumerate(texts)}
 
 
+def test_noise_needs_a_key_and_sorts_no_draws(spark):
+    rows = [(None, "x" * 20), (None, "short"), (5, None), (6, "é" * 20)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    noisy = df.select("id", "t", add_noise(F.col("t"), F.col("id")).alias("n"))
+    assert [r.n for r in noisy.collect()] == [None, "short", None, _noisy("é" * 20, 6, 0.1)]
+    plan = noisy._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "sort_array" not in plan
+
+
 # --- prompts, calls, cost ---
 
 
