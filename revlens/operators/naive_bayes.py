@@ -7,8 +7,8 @@ times. Other terms say nothing (else a text of misspellings would go to the labe
 the fewest tokens), so a score needs the known terms and one row of totals. Logarithms are kept in billionths, so the
 sums are exact and do not depend on the order of tasks.
 
-The term table is broadcast where its measured size allows; beyond that, terms are
-joined by a shuffle that spreads the words measured as hot. Both give one result.
+The term table is broadcast where its measured size allows; beyond that, the different
+words of blocks of texts meet it (functions/priced.py). Both give one result.
 :func:`client_factory` wraps a model of bounded size as a client for batch calls.
 
 A text without known words gets the label that most training reviews have; ties go to the
@@ -27,9 +27,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import term_counts
 from revlens.functions.hashing import h32
-from revlens.functions.skew import hot_key_join
+from revlens.functions.priced import price_sums, table_size
 from revlens.functions.text import count_tokens, words
 from revlens.session import materialise
 from revlens.sources.catalog import LABELS, Model
@@ -88,35 +87,20 @@ def train(labelled: DataFrame, text: str = "review", min_count: int = MIN_COUNT)
     return Trained(materialise(terms, "naive-bayes-terms"), materialise(totals, "naive-bayes-totals"))
 
 
-def _size(terms: DataFrame) -> int:
-    per_row = F.octet_length("term") + F.lit(8 * len(LABELS) + 32)
-    return terms.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0
-
-
 def classify(
     rows: DataFrame, model: Trained, key: Sequence[str], text: str = "review", limit: int = LIMIT
 ) -> DataFrame:
     """(key, n_known, prediction, margin) of every row: the best label and how far, in
     billionths of a natural logarithm, it is ahead of the second."""
     key = list(key)
-    counted = rows.select(*key, F.explode_outer(term_counts(words(F.col(text)))).alias("_t")).select(
-        *key, F.col("_t.term").alias("term"), F.col("_t.n").alias("_times")
-    )
-    if _size(model.terms) <= limit:
-        met = counted.join(F.broadcast(model.terms), "term", "left")
-    else:
-        uses = counted.groupBy("term").agg(F.count("*").alias("n_rows"))
-        met = hot_key_join(counted, model.terms, ["term"], uses, key)
-    sums = met.groupBy(*key).agg(
-        F.sum(F.when(F.col(f"w_{LABELS[0]}").isNotNull(), F.col("_times")).otherwise(0)).alias("n_known"),
-        *[F.coalesce(F.sum(F.col(f"w_{x}") * F.col("_times")), F.lit(0)).alias(f"s_{x}") for x in LABELS],
-    )
+    weights = [f"w_{x}" for x in LABELS]
+    sums = price_sums(rows, model.terms.select("term", *weights), key, text, limit).withColumnRenamed("n_hits", "n_known")
     scored = sums.crossJoin(F.broadcast(model.totals))  # one row
     ranked = F.sort_array(
         F.array(
             *[
                 F.struct(
-                    (F.col(f"s_{x}") + F.col(f"prior_{x}") - F.col("n_known") * F.col(f"base_{x}")).alias("score"),
+                    (F.col(f"w_{x}") + F.col(f"prior_{x}") - F.col("n_known") * F.col(f"base_{x}")).alias("score"),
                     F.lit(-i).alias("order"),
                     F.lit(x).alias("label"),
                 )
@@ -174,7 +158,7 @@ class Client:
 def client_factory(model: Trained, limit: int = LIMIT) -> Callable[[str, str, int], Client]:
     """A factory for batch calls whose clients hold the whole model. A model larger than
     ``limit`` is refused: use :func:`classify`, which joins."""
-    if (size := _size(model.terms)) > limit:
+    if (size := table_size(model.terms)) > limit:
         raise ValueError(f"the term table has {size} bytes, more than {limit}")
     spark = model.terms.sparkSession
     known = {r[0]: tuple(r)[1:] for r in model.terms.select("term", *[f"w_{x}" for x in LABELS]).collect()}

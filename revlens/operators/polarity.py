@@ -1,9 +1,9 @@
 """Polarity of a text: the mean polarity of its words that a lexicon knows.
 
-The lexicon is a table (word, polarity). Each text's words are counted inside its
-row, matched with the lexicon, which is broadcast where its measured size allows and
-else joined by a shuffle that spreads the words measured as hot (a frequent word is in
-every text), and averaged in fixed point; a text without a hit has polarity 0.
+The lexicon is a table (word, polarity). Each text's words are matched with the lexicon,
+which is broadcast where its measured size allows and else meets the different words of
+blocks of texts (functions/priced.py), and averaged in fixed point; a text without a hit
+has polarity 0.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.arrays import term_counts
 from revlens.functions.numeric import micros, r6
-from revlens.functions.skew import hot_key_join
+from revlens.functions.priced import price_sums
 from revlens.functions.text import words
 from revlens.session import materialise
 
@@ -49,26 +48,16 @@ def polarity(
     key: Sequence[str],
     text: str = "review",
     broadcast_limit: int = LIMIT,
+    near: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(key, n_hits, polarity) for every text."""
+    """(key, n_hits, polarity) for every text. ``near``: columns of the key in which texts
+    of one origin agree."""
     key = list(key)
-    counted = texts.select(
-        *key, F.explode_outer(term_counts(words(F.col(text)))).alias("_t")
-    ).select(*key, F.col("_t.term").alias("word"), F.col("_t.n").alias("_times"))
     priced = materialise(
-        lexicon.select("word", micros(F.col("polarity")).alias("_micro")), "lexicon"
+        lexicon.select(F.col("word").alias("term"), micros(F.col("polarity")).alias("_sum")), "lexicon"
     )
-    size = F.sum((F.octet_length("word") + F.lit(40)).cast("bigint"))
-    if (priced.agg(size).first()[0] or 0) <= broadcast_limit:
-        met = counted.join(F.broadcast(priced), "word", "left")
-    else:
-        uses = counted.groupBy("word").agg(F.count("*").alias("n_rows"))
-        met = hot_key_join(counted, priced, ["word"], uses, key)
-    hits = F.sum(F.when(F.col("_micro").isNotNull(), F.col("_times")).otherwise(0))
-    total = F.sum(F.coalesce(F.col("_micro") * F.col("_times"), F.lit(0)))
     return (
-        met.groupBy(*key)
-        .agg(hits.alias("n_hits"), total.alias("_sum"))
+        price_sums(texts, priced, key, text, broadcast_limit, near)
         .select(
             *key, "n_hits",
             F.when(

@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from revlens.functions import priced
 from revlens.functions.arrays import matched_from_end, overlaps, running_starts, term_counts, word_ids
 from revlens.functions.text import strip, tokens
 from revlens.operators.lcs import rouge_l
@@ -320,3 +322,25 @@ def test_overlap_of_null_and_long_texts(spark):
     assert got[0] == got[1] == got[2] == (None, None, None)
     assert got[3][:2] == (1.0, 1.0) and got[3][2] == pytest.approx(1.0)
     assert got[4] == (0.0, 0.0, 0.0)
+
+
+def test_words_are_priced_alike_by_a_broadcast_and_in_blocks(spark, monkeypatch):
+    """Repeated and null keys, repeated and null words, texts without words; beyond the
+    limit no row per word and text is shuffled, texts meet their blocks' words instead."""
+    monkeypatch.setattr(priced, "BLOCK_CHARS", 40)
+    rows = [(i % 9, None if i % 7 == 0 else " ".join(rng.choices("Good bad fine So so x1y".split(), k=i))) for i in range(30)]
+    rows += [(None, "good good"), (None, "bad"), (50, ""), (51, None), (52, "unknown")]
+    texts = spark.createDataFrame(rows, "id bigint, review string")
+    words = [("good", 0.5), ("bad", -1.0), ("so", 0.25), ("so", 0.75), ("fine", None), (None, 1.0)]
+    lexicon = spark.createDataFrame(words, "word string, polarity double")
+    want = {}
+    for i, text in rows:
+        seen = want.setdefault(i, [])
+        for w in re.findall("[a-z]+", (text or "").lower()):
+            seen += [p for word, p in words if word == w and p is not None]
+    for limit in (priced.BLOCK_CHARS * 10**6, 0):
+        found = polarity(texts, lexicon, ["id"], broadcast_limit=limit)
+        got = {r.id: (r.n_hits, r.polarity) for r in found.collect()}
+        assert got == {i: (len(p), pytest.approx(sum(p) / len(p) if p else 0.0, abs=1e-6)) for i, p in want.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators import bootstrap, extractive, infer, latency, naive_bayes, perplexity, retrieval, word_vectors
 from revlens.operators.infer import batch_infer
+from revlens.plans import jobs, trained
 from revlens.sources.catalog import LABELS
 
 TRAIN = [
@@ -63,6 +64,14 @@ def test_naive_bayes_like_the_formula(model, asked, limit):
     assert got == {i: expected(t) for i, t in enumerate(ASKED)}
 
 
+def test_training_makes_no_noisy_copies(spark, sf, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("noise is not part of the training rows")
+
+    monkeypatch.setattr(jobs, "add_noise", refuse)
+    assert trained._naive_bayes(spark, sf).terms.count() > 0
+
+
 def test_scores_are_probabilities(model):
     """The kept weights are those of the textbook: ln((n + 1) / (N + V))."""
     row = model.terms.filter("term = 'good'").first()
