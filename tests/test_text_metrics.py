@@ -344,3 +344,15 @@ def test_words_are_priced_alike_by_a_broadcast_and_in_blocks(spark, monkeypatch)
         assert got == {i: (len(p), pytest.approx(sum(p) / len(p) if p else 0.0, abs=1e-6)) for i, p in want.items()}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_sentences_hold_a_token(spark):
+    """Every white space of str.split(); no sentence is cut into tokens to find one."""
+    blank = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [None, "", "...", blank, f"{blank}.a{blank}!{blank}?😀\n{blank}", "one. two two.\u200b. !", "x"]
+    texts += ["".join(rng.choice(blank + ".!?\nab😀") for _ in range(30)) for _ in range(40)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", corpus.sentences(F.col("t")).alias("s"))
+    for t, s in frame.collect():
+        assert s == (None if t is None else [x for x in re.split(corpus.SENTENCE_END, t) if x.split()])
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
