@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from revlens import schemas
 from revlens.functions.numeric import r6
 from revlens.operators.infer import read_log
+from revlens.session import materialise
 
 ACCURACY = 0.01
 GROWTH = (1 + ACCURACY) / (1 - ACCURACY)
@@ -71,10 +72,6 @@ def quantiles(sketches: DataFrame, by: list[str], shares: tuple[float, ...]) ->
     )
 
 
-def _base(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]+)$", 1)
-
-
 def read_sketches(spark: SparkSession, path: str) -> DataFrame:
     """The sketches of the log at ``path``, a set of rows for each of its files."""
     spark.createDataFrame([], SKETCH).write.mode("append").parquet(f"{path}-latency")
@@ -89,8 +86,9 @@ def update_sketches(spark: SparkSession, path: str) -> int:
     new = [f for f in files if f.rsplit("/", 1)[1] not in known]
     if new:
         calls = spark.read.schema(schemas.CALL_LOG).option("basePath", path).parquet(*new)
-        calls = calls.withColumn("file", _base(F.input_file_name()))
-        rows = sketch(calls, ["file", "task", "model"])
+        calls = calls.withColumn("file", F.col("_metadata.file_name"))
+        # written first: the files without rows are told from it, and the log is read once
+        rows = materialise(sketch(calls, ["file", "task", "model"]), "sketches")
         empty = spark.createDataFrame([(f.rsplit("/", 1)[1],) for f in new], "file string").join(
             rows.select("file"), "file", "left_anti"
         )

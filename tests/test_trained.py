@@ -528,3 +528,27 @@ def test_perplexity_in_blocks(spark, monkeypatch):
         for x in (perplexity.LIMIT, 0)
     )
     assert small == large and len(small) == 8 and asked == [["id"]]
+
+
+def test_an_update_of_sketches_reads_each_call_once(spark, tmp_path, monkeypatch):
+    path, read, plain = str(tmp_path / "log"), spark.sparkContext.accumulator(0), latency.sketch
+    rows = [("summary", "d", i, "m", 0.5 if i % 3 else 0.0, None if i % 3 else "lost") for i in range(60)]
+    calls = spark.createDataFrame(rows, "task string, dataset string, review_id bigint, model string, elapsed_s double, error string")
+    known = {f.name for f in calls.schema.fields}
+    log = spark.createDataFrame([], latency.schemas.CALL_LOG)
+    made = [F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema.fields]
+    infer.append_log(calls.select(*made).repartition(3), path)
+
+    def counted(frame, by):
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return plain(frame.mapInArrow(run, frame.schema), by)
+
+    monkeypatch.setattr(latency, "sketch", counted)
+    files = {os.path.basename(f) for f in spark.read.parquet(path).inputFiles()}
+    assert latency.update_sketches(spark, path) == len(files) and read.value == 60
+    kept = latency.read_sketches(spark, path).collect()
+    assert {r.file for r in kept} == files and sum(r.n for r in kept) == 40
