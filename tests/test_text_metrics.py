@@ -6,11 +6,14 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from revlens.functions import priced
 from revlens.functions.arrays import matched_from_end, overlaps, running_starts, term_counts, word_ids
+from revlens.functions.hashing import h32, h32s
 from revlens.functions.text import strip, tokens
 from revlens.operators.lcs import rouge_l
 from revlens.operators.nearest_reference import best_reference
@@ -274,6 +277,38 @@ def test_soft_match_in_blocks_scores_every_row(spark, monkeypatch):
     assert len(small) == 20 and small == large
 
 
+def test_soft_match_in_tiles_of_any_size(spark, monkeypatch):
+    """Long texts are compared tile by tile, lists may hold nulls, and floats stay floats."""
+    from revlens.operators import soft_match as module
+
+    vectors = spark.createDataFrame(
+        [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id bigint, embedding array<float>"
+    )
+    rows = [(i, None if i == 7 else i % 2, [rng.randrange(70) for _ in range(i * 9)] + [None],
+             [rng.randrange(70) for _ in range(40)]) for i in range(8)]
+    pairs = spark.createDataFrame(rows, "id int, of int, c_ids array<bigint>, r_ids array<bigint>")
+    large = {r.id: round(r.soft_f1, 9) for r in soft_match(pairs, vectors, ["id"], broadcast_limit=0, near=["of"]).collect()}
+    known = {r.vec_id: np.array(r.embedding) for r in vectors.collect()}
+    for size in (1, 12, 100, 262_144):
+        matrix = module._unit(np.array([known[i] for i in range(60)], np.float32))
+        monkeypatch.setattr(module, "TILE", size)
+        monkeypatch.setattr(module, "_TILE_WIDTH", max(1, size // 4))
+        lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (2, 3)]
+        scores = module._scores(*lists, np.arange(60), matrix).to_pylist()
+        assert {i: round(x, 9) for i, x in enumerate(scores)} == large
+    c, r = (np.array([known[t] / np.linalg.norm(known[t]) for t in ts if t is not None and t < 60]) for ts in rows[5][2:])
+    sims = c @ r.T
+    p, q = sims.max(axis=1).mean(), sims.max(axis=0).mean()
+    assert large[5] == pytest.approx(2 * p * q / (p + q), abs=1e-6)
+
+
+def test_draws_of_a_list_are_the_draws_of_its_texts(spark):
+    texts = [["a", "b", "a", "ä:b"], [], None, ["", None, "b"]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t array<string>")
+    one = F.transform("t", lambda x: h32(x))
+    assert all(r.a == r.b for r in frame.select(one.alias("a"), h32s(F.col("t")).alias("b")).collect())
+
+
 def test_best_reference_with_null_and_repeated_numbers(spark):
     refs = [("u", 1, None), ("u", 1, "good match here"), ("u", 1, "no"), ("u", None, "other words"),
             (None, 1, "good match here"), ("u", 10**12, "good match here")]
