@@ -349,6 +349,21 @@ def test_kneser_ney_like_the_textbook(spark, limit):
     assert {r.perplexity for r in perplexity.perplexity_kn(rows, none, ["id"]).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_kneser_ney_with_middle_words_of_several_blocks(spark, monkeypatch, size):
+    """A word in the middle of very many trigrams is dealt to several blocks and added up."""
+    monkeypatch.setattr(perplexity, "BLOCK_TRIGRAMS", size)
+    texts = ["the lamp is bright", "a lamp was cheap", "the lamp is a lamp", "my lamp is bright", "the the the", None]
+    asked = ["the lamp is bright", "unknown lamp was a lamp", "lamp bright lamp", "cheap"]
+    model = perplexity.KneserNey(spark.createDataFrame([(t,) for t in texts], "review string").repartition(2))
+    assert model.any_shared == (size < 1000) and (model.blocks > 1) == (size < 1000)
+    rows = spark.createDataFrame(list(enumerate(asked)), "id int, output string")
+    got = {r.id: r for r in perplexity.perplexity_kn(rows, model, ["id"]).collect()}
+    for i, t in enumerate(asked):
+        n, want = kn_perplexity(texts, t)
+        assert got[i].n_tokens == n and math.isclose(got[i].perplexity, want, abs_tol=2e-6, rel_tol=1e-6)
+
+
 def test_bigram_prices_on_the_far_side_of_the_broadcast(spark):
     corpus = spark.createDataFrame([("a b a b c",), ("b c",)], "review string")
     model = perplexity.train(corpus)
