@@ -178,8 +178,11 @@ def batch_infer(
 
 
 def log_calls(calls: DataFrame, name: str = "calls") -> DataFrame:
-    """Write the log once, partitioned by task and model, and read it back."""
-    return materialise(calls, name, partition_by=("task", "model")).select(*_LOG_COLUMNS)
+    """Write the log once and read it back. Calls are written as they come, so that the
+    requests of one review, which repeat its prompt, stay side by side and compress to about
+    one; a folder for each model would have every task sort its calls, prompts and all, and
+    keep the prompt once for each."""
+    return materialise(calls, name).select(*_LOG_COLUMNS)
 
 
 def append_log(calls: DataFrame, path: str) -> None:

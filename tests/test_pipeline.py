@@ -203,6 +203,16 @@ def test_batch_operator_equals_column_backend(spark, rows, task):
     assert got.exceptAll(want).count() == 0
 
 
+def test_the_log_is_written_as_the_calls_come(spark, rows):
+    """No sort by model takes a review's calls, which repeat its prompt, apart."""
+    batch = infer.batch_infer(prompting.requests(rows.coalesce(1), "summary"), "summary", {}, models=())
+    log = infer.log_calls(batch)
+    assert not any("model=" in f for f in log.inputFiles())
+    written = [(r.review_id, r.model) for r in log.select("review_id", "model").collect()]
+    assert written == [(i, m) for i, _ in written[::7] for m in MODEL_NAMES] and len(written) == 60 * 7
+    assert log.filter("prompt is null or task <> 'summary'").isEmpty()
+
+
 def test_one_client_per_partition(spark, rows, tmp_path):
     marks = str(tmp_path)
 
