@@ -356,8 +356,14 @@ def test_kneser_ney_with_middle_words_of_several_blocks(spark, monkeypatch, size
     texts = ["the lamp is bright", "a lamp was cheap", "the lamp is a lamp", "my lamp is bright", "the the the", None]
     asked = ["the lamp is bright", "unknown lamp was a lamp", "lamp bright lamp", "cheap"]
     model = perplexity.KneserNey(spark.createDataFrame([(t,) for t in texts], "review string").repartition(2))
-    assert model.any_shared == (size < 1000) and (model.blocks > 1) == (size < 1000)
     rows = spark.createDataFrame(list(enumerate(asked)), "id int, output string")
+    # texts without any corpus are dealt, too
+    none = perplexity.KneserNey(spark.createDataFrame([], "review string"))
+    used = perplexity._used(perplexity._told(rows, ["id"], None, perplexity._trigrams(F.col("output"))))
+    for trained in (model, none):
+        blocks = perplexity._Blocks(trained, used)
+        assert (blocks.number > 1) == blocks.any_shared == (size < 1000)
+    assert {r.perplexity for r in perplexity.perplexity_kn(rows, none, ["id"]).collect()} == {1.0}
     got = {r.id: r for r in perplexity.perplexity_kn(rows, model, ["id"]).collect()}
     for i, t in enumerate(asked):
         n, want = kn_perplexity(texts, t)
