@@ -1,5 +1,6 @@
 import __spark_entry__ as entry_points
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 
@@ -41,3 +42,20 @@ def test_run_gives_the_last_stage(stages, spark, sf):
     got = sorted(repr(tuple(r)) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == sorted(repr(tuple(r)) for r in stages[-1][2].collect())
     assert entry_points.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_long_texts_reach_python_in_small_batches(spark):
+    """Rows and sizes of the batches that a stage sends: none far above the bound, none lost."""
+
+    def sizes(batches):
+        for batch in batches:
+            n = len(batch)
+            yield pa.RecordBatch.from_pydict({"n": [n], "b": [sum(map(len, batch.column(0).to_pylist()))]})
+
+    docs = spark.range(0, 300, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 5000) as text")
+    stage = corpus_pipeline._shipped(
+        lambda spark, docs, sf_dir: docs.select("text").mapInArrow(sizes, "n bigint, b bigint")
+    )
+    got = stage(spark, docs, "").collect()
+    assert sum(r.n for r in got) == 300 and sum(r.b for r in got) == 300 * 55_000
+    assert max(r.b for r in got) <= 2 * corpus_pipeline.BATCH_BYTES
