@@ -2,6 +2,7 @@
 
 import math
 import os
+import pickle
 import random
 import uuid
 from collections import Counter
@@ -222,6 +223,37 @@ def test_blocks_that_bounds_cannot_rule_out_are_scored_together(spark, monkeypat
     assert passes == [1] and retrieval.SINGLY < scored <= index.count()
 
 
+@pytest.mark.parametrize(("few", "dense", "again"), [(0, 1 / 64, 4096), (0, 2.0, 4096), (0, 1 / 20, 0), (200, 1 / 20, 3)])
+def test_reviews_scored_together_get_the_best_reply(spark, monkeypatch, few, dense, again):
+    """By a matrix of common terms and by lists, in single precision first: as all pairs say."""
+    for name, value in (("FEW", few), ("DENSE", dense), ("AGAIN", again), ("LISTED", 10.0**6), ("TOGETHER", 5000)):
+        monkeypatch.setattr(retrieval, name, value)
+    replies, reviews = some_replies(600)
+    index = retrieval.build_index(
+        spark.createDataFrame(replies, "conv_id bigint, turn bigint, text string"), ("conv_id", "turn")
+    )
+    shard = pickle.loads(pickle.dumps(retrieval.Shard(index.toArrow(), read=False)))
+    assert (len(shard.matrix) == 0) == (dense > 1)
+    asked = spark.createDataFrame([(i, t or "") for i, t in reviews], "i int, t string")
+    digests = asked.select("i", F.array_distinct(retrieval.word_ids(retrieval.words(F.col("t")))).alias("q"))
+    queries = {r.i: np.sort(np.array(r.q, np.int64)) for r in digests.collect()}
+    found, scored = shard.best_of_each([queries[i] for i, _ in reviews], [(0, 0, 0)] * len(reviews))
+    got = [(-f[0], f[1:]) if f[0] else None for f in found]
+    assert got == [exhaustive(replies, t) for _, t in reviews]
+    assert max(scored) <= index.count()
+
+
+def test_reviews_are_not_written_between_shards(spark, monkeypatch):
+    replies, reviews = some_replies(300)
+    index = retrieval.build_index(
+        spark.createDataFrame(replies, "conv_id bigint, turn bigint, text string"), ("conv_id", "turn")
+    )
+    monkeypatch.setattr(retrieval, "materialise", None)
+    asked = spark.createDataFrame(reviews, "review_id bigint, review string")
+    assert retrieval.shards(index, 20_000)[1] > 1
+    assert retrieval.retrieve(asked, index, ["review_id"], limit=20_000).count() == len(reviews)
+
+
 def test_retrieval_without_replies(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, text string")
     rows = spark.createDataFrame(
