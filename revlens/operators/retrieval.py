@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from revlens.functions.arrays import term_counts, word_ids
 from revlens.functions.skew import hot_key_join
 from revlens.functions.text import count_tokens, words
-from revlens.session import materialise
+from revlens.session import materialise, one_at_a_time
 from revlens.sources.catalog import Model
 
 NAME = "Retrieval"
@@ -328,11 +328,9 @@ def _search(shared: list, n_key: int):
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             queries = [np.sort(q) for q in np.split(flat, ends[:-1])] if len(lists) else []
             found, scored = [(0, 0, 0)] * len(queries), np.zeros(len(queries), np.int64)
-            for part in shared:
-                found, n = part.value.best_of_each(queries, found)
+            for shard in one_at_a_time(shared):
+                found, n = shard.best_of_each(queries, found)
                 scored += np.array(n, np.int64)
-                if len(shared) > 1:
-                    vars(part).pop("_value", None)  # one shard at a time is held
             made = [-np.array([f[0] for f in found], np.int64), *(np.array([f[i] for f in found], np.int64) for i in (1, 2)), scored]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n_key], *(pa.array(c) for c in made)], names=[*batch.schema.names[:n_key], "score", "first", "second", "scored"]

@@ -7,6 +7,9 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -92,3 +95,20 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table that :func:`materialise` wrote and that nothing will read again, where
+    many of them would add up before the application ends."""
+    jvm = written.sparkSession.sparkContext._jvm
+    for file in written.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+        folder.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def one_at_a_time(shared: list[Broadcast]) -> Iterator:
+    """In a task: the value of each broadcast, of which only one is held in memory."""
+    for part in shared:
+        yield part.value
+        if len(shared) > 1:
+            vars(part).pop("_value", None)

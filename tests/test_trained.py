@@ -322,6 +322,49 @@ def test_vectors_like_a_dense_decomposition(spark, limit):
     assert close("glim", "lume") > 0.8 > 0.3 > max(close("glim", w) for w in others)
 
 
+def test_packed_counts():
+    rng = np.random.default_rng(5)
+    keys, counts = rng.integers(0, 2**45, 3000) % 2000 * 2**33, rng.integers(1, 9, 3000)
+    for top in (1, 2**40):  # a sum that fits beside a key in one number, and one that does not
+        got = word_vectors.added(keys, counts * top)
+        want = Counter()
+        for k, n in zip(keys.tolist(), (counts * top).tolist()):
+            want[k] += n
+        assert list(zip(*map(np.ndarray.tolist, got))) == sorted(want.items())
+        assert [x.tolist() for x in word_vectors.unpack(word_vectors.pack(*got))] == [x.tolist() for x in got]
+    assert word_vectors.pack(keys[:0], counts[:0]) == b"" and len(word_vectors.unpack(b"")[0]) == 0
+    near = np.cumsum(rng.integers(1, 1000, 10**5))
+    assert len(word_vectors.pack(near, np.ones(10**5, np.int64))) < 2 * 10**5
+
+
+def test_training_in_many_blocks_leaves_only_its_vectors(spark, monkeypatch):
+    """Rows of a block stay together; what was written on the way is removed."""
+    docs = spark.createDataFrame([(t,) for t in planted_corpus()], "review string").repartition(3)
+    whole = {r.vec_id: r.embedding for r in word_vectors.train(docs, dim=8).collect()}
+    monkeypatch.setattr(word_vectors, "BLOCK_PAIRS", 2000)
+    folder = os.path.join(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "revlens")
+    before = set(os.listdir(folder))
+    counts = word_vectors.cooccurrence(docs, "review", 4, 5, 0)
+    assert counts.count() > 4 and max(len(r.packed) for r in counts.collect()) > 1
+    before |= set(os.listdir(folder))
+    vectors = word_vectors.train(docs, dim=8, limit=0)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("word-vectors")
+    got = {r.vec_id: r.embedding for r in vectors.collect()}
+    assert set(got) == set(whole) and all(np.allclose(got[w], whole[w], atol=2e-5) for w in got)
+
+
+def test_vectors_of_repeated_texts_go_to_the_texts(spark):
+    """Rows of one key are added up, null keys too; no word becomes a row of the plan."""
+    vectors = spark.createDataFrame([("lamp", [1.0, 2.0]), ("boat", [0.5, 0.0]), ("sail", [4.0, 1.0])], "w string, embedding array<double>")
+    vectors = vectors.select(F.xxhash64("w").alias("vec_id"), "embedding")
+    rows = spark.createDataFrame([(1, "lamp boat lamp"), (1, "sail"), (None, "boat"), (None, "boat"), (2, "none"), (3, None)], "id int, t string")
+    for limit in (word_vectors.LIMIT, 0):
+        sums = word_vectors.text_vectors(rows, vectors, ["id"], "t", limit)
+        assert {r.id: r.v for r in sums.collect()} == {1: [6.5, 5.0], None: [1.0, 0.0]}
+        assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_vectors_and_cosine(spark):
     docs = spark.createDataFrame([(t,) for t in planted_corpus()], "review string")
     vectors = word_vectors.train(docs, dim=8)
