@@ -20,6 +20,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark import TaskContext
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens import schemas
-from revlens.session import materialise
+from revlens.session import discard, materialise
 from revlens.sources.catalog import MODELS, TASK_BY_NAME, UNSUPPORTED, Model
 
 Client = Callable[[dict], tuple[str, int | None]]
@@ -36,8 +37,10 @@ _LOG_COLUMNS = [c.strip().split(" ")[0] for c in schemas.CALL_LOG.split(",")]
 _ASKED = _LOG_COLUMNS[: _LOG_COLUMNS.index("raw_output")]
 
 
-#: Into how many files at most the requests of a commit are written.
+#: Into how many files the requests of a commit are written, where a task has that many.
 FILES_PER_COMMIT = 16
+#: So many reviews at most are told to all tasks by their digest.
+OPEN_REVIEWS = 2_000_000
 
 
 def _ask(client: Client | str, request: dict) -> dict:
@@ -234,6 +237,31 @@ def pending(reqs: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def _of_open_reviews(reqs: DataFrame, log: DataFrame) -> DataFrame:
+    """The requests of reviews of which a call is missing, and perhaps a few others: the texts
+    of finished reviews are then not moved to find that out."""
+    done = log.filter(F.col("error").isNull()).select(*schemas.CALL_KEYS).distinct()
+    left = reqs.select(*schemas.CALL_KEYS).alias("r").join(done.alias("l"), _same("r", "l", schemas.CALL_KEYS), "left_anti")
+    review = F.xxhash64(*_REVIEW).alias("_review")
+    left = materialise(left.select(review).distinct(), "open-reviews")
+    if left.count() > OPEN_REVIEWS:
+        return reqs
+    return reqs.withColumn("_review", review).join(F.broadcast(left), "_review", "left_semi").drop("_review")
+
+
+def _commits(due: DataFrame, calls: int) -> list[list[str]]:
+    """The files of ``due`` in groups of about so many calls each."""
+    counted = due.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    groups, n = [], calls
+    for file, rows in sorted((unquote(r.file), r.n) for r in counted.collect()):
+        if n >= calls:
+            groups.append([])
+            n = 0
+        groups[-1].append(file)
+        n += rows
+    return groups
+
+
 def infer_to_log(
     reqs: DataFrame,
     path: str,
@@ -250,15 +278,11 @@ def infer_to_log(
         raise RuntimeError("paid calls need spark.speculation=false")
     append_log(spark.createDataFrame([], schemas.CALL_LOG), path)
     log = read_log(spark, path)
-    due = reqs.withColumn("attempt", F.lit(1)) if log.isEmpty() else pending(reqs, log)
-    chunks = -(-due.count() // calls_per_commit)
-    review = F.xxhash64(*_REVIEW)
-    # each chunk in files of its own, so that a commit reads no other's requests
-    dealt = due.withColumn("_chunk", F.pmod(review, F.lit(max(1, chunks)))).repartition(
-        "_chunk", F.pmod(F.xxhash64(review), F.lit(FILES_PER_COMMIT))
-    )
-    due = materialise(dealt, "due-calls", partition_by=("_chunk",))
-    for chunk in range(chunks):
-        asked = due.filter(F.col("_chunk") == chunk).drop("_chunk")
+    due = reqs.withColumn("attempt", F.lit(1)) if log.isEmpty() else pending(_of_open_reviews(reqs, log), log)
+    # written as it comes, the requests of a review side by side, in files that commits share out
+    due = materialise(due, "due-calls", rows_per_file=max(1, calls_per_commit // FILES_PER_COMMIT))
+    for files in _commits(due, calls_per_commit):
+        asked = spark.read.schema(due.schema).parquet(*files)
         append_log(batch_infer(asked, task, factories, models, **how), path)
+    discard(due)
     return latest_calls(read_log(spark, path))

@@ -81,7 +81,9 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(
+    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows_per_file: int | None = None
+) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result must not be computed twice (paid model calls) or where
@@ -93,6 +95,8 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 import time
 from decimal import Decimal
@@ -309,6 +310,39 @@ def test_a_commit_reads_its_own_requests_alone(spark, rows, tmp_path, monkeypatc
     assert "prompt" not in plan.split("Relation")[0]
 
 
+def test_requests_are_not_dealt_out_and_finished_reviews_stay(spark, rows, tmp_path, monkeypatch):
+    """The first run writes its requests as they come; a rerun moves the texts of reviews with
+    a missing call alone, with null keys as with others, and removes what it wrote."""
+    written, write = {}, infer.materialise
+
+    def watched(df, name, **how):
+        written[name] = df._jdf.queryExecution().executedPlan().toString()
+        watched.last = write(df, name, **how)
+        return watched.last
+
+    def flaky(model, task, budget):
+        def call(request):
+            if request["attempt"] == 1 and request["review_id"] == 1 and model == "n":
+                raise RuntimeError("boom")
+            return "positive", None
+
+        return call
+
+    monkeypatch.setattr(infer, "materialise", watched)
+    reqs = prompting.requests(rows, "sentiment", models=("m", "n"))
+    reqs = reqs.unionByName(reqs.filter("review_id = 2").withColumn("dataset", F.lit(None).cast("string")))
+    path = str(tmp_path / "log")
+    infer.infer_to_log(reqs, path, "sentiment", {"m": flaky, "n": flaky}, (), calls_per_commit=4)
+    assert "Exchange" not in written["due-calls"]
+    left = infer._of_open_reviews(reqs, infer.read_log(spark, path))
+    assert sorted((r.review_id, r.model) for r in left.collect()) == [(1, "m"), (1, "n")]
+    monkeypatch.setattr(infer, "OPEN_REVIEWS", 0)
+    again = infer.infer_to_log(reqs, path, "sentiment", {"m": flaky, "n": flaky}, ())
+    assert infer.read_log(spark, path).count() == reqs.count() + 1
+    assert again.filter("error is not null").count() == 0 and again.count() == reqs.count()
+    assert not os.path.exists(os.path.dirname(watched.last.inputFiles()[0].removeprefix("file://")))
+
+
 def test_a_failing_factory_and_missing_models_become_rows(spark, rows):
     def no_key(model, task, budget):
         raise KeyError("API key")
