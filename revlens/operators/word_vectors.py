@@ -45,7 +45,7 @@ MIN_COUNT = 5
 DIM, EXTRA, ROUNDS = 32, 8, 3
 LIMIT = 64 * 2**20
 #: Pairs that a task counts together, and pairs of a block before equal ones are one.
-PAIRS, BLOCK_PAIRS = 2**23, 2**22
+PAIRS, BLOCK_PAIRS = 3 * 2**19, 2**21
 #: What a word of a piece of vectors may take, in bytes.
 WORD_BYTES = 512
 #: Entries of a row that are multiplied together.
@@ -103,8 +103,11 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return keys, counts
     free = 63 - int(keys.max()).bit_length()
     if int(counts.max()).bit_length() <= free:  # a number that holds both sorts fastest
-        both = np.sort((keys << free) | counts)
+        both = keys << free
+        both |= counts
+        both.sort()
         keys, counts = both >> free, both & ((1 << free) - 1)
+        del both
     else:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
@@ -152,14 +155,16 @@ def _pairs(shared: list[Broadcast], n_words: int, rows: int, window: int):
     """(block, packed): the counted pairs of some millions at a time, in both orders."""
 
     def sent(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held))
+        keys = np.concatenate(held)
         held.clear()
+        keys.sort()
         new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
         counts = np.diff(np.append(new, len(keys)))
         keys = keys[new]
         a, b = np.divmod(keys, max(n_words, 1))
         other = a != b
         turned = (b * n_words + a)[other]
+        del a, b
         keys, counts = added(np.concatenate([keys, turned]), np.concatenate([counts, counts[other]]))
         size = rows * n_words
         blocks = np.unique(keys // max(size, 1))
