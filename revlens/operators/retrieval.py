@@ -43,7 +43,7 @@ NAME = "Retrieval"
 MODEL = Model(NAME, Decimal(0), Decimal(0), 0.0, "clean", "user")
 K1, B = 1.2, 0.75
 BLOCK = 16
-LIMIT = 128 * 2**20
+LIMIT = 96 * 2**20
 #: So many blocks are scored one by one before the rest.
 SINGLY = 8
 #: A review that meets no more postings than this goes by the bounds.
@@ -179,7 +179,7 @@ class Shard:
         n = len(self.orders[0])
         self.reply_starts = np.append(0, self.reply_ends[:-1])
         self.block_starts = np.append(0, self.block_ends[:-1])
-        self.block_of = np.repeat(np.arange(len(self.block_ends)), self.block_ends - self.block_starts)
+        self.block_of = np.repeat(np.arange(len(self.block_ends), dtype=np.int32), self.block_ends - self.block_starts)
         # (impact, reply) side by side, as a list of postings is read as one
         self.posts = np.empty(len(self.place), np.int64)
         self.impact, self.reply = (self.posts.view(np.int32)[i::2] for i in (0, 1))
@@ -331,6 +331,7 @@ def _search(shared: list, n_key: int):
             for shard in one_at_a_time(shared):
                 found, n = shard.best_of_each(queries, found)
                 scored += np.array(n, np.int64)
+                del shard  # before the next one is read
             made = [-np.array([f[0] for f in found], np.int64), *(np.array([f[i] for f in found], np.int64) for i in (1, 2)), scored]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n_key], *(pa.array(c) for c in made)], names=[*batch.schema.names[:n_key], "score", "first", "second", "scored"]
